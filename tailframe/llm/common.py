@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +33,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the executors' Python workers, once a Spark application: they need
+    not find it on a path of their own."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent.parent
+    made = Path(tempfile.mkdtemp(prefix="tailframe-")) / "tailframe_package.zip"
+    with zipfile.ZipFile(made, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, str(file.relative_to(package.parent)))
+    context.addPyFile(str(made))
+    _shipped.add(context.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or (only where
     that is unset, as in local tests) a temporary one."""
@@ -49,6 +69,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts the lineage, is
     computed once, and survives the loss of any executor."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/tailframe-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -69,6 +90,7 @@ def map_texts(
     by default); one whose name clashes with a new field (in any case) is replaced.
     rows: rows that are held as Python objects at once.
     """
+    ship(df.sparkSession)
     new = {f.name.lower() for f in fields}
     carried = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     needed = list(dict.fromkeys([*carried, *inputs]))

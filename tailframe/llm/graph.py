@@ -7,11 +7,12 @@ equi-joins that adaptive execution can split.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import ship, stored
 
 #: Edges that one local union-find holds.
 LOCAL_EDGES = 200_000
@@ -39,6 +40,25 @@ def forest(pairs) -> list[tuple]:
     return [(x, find(x)) for x in list(parent)]
 
 
+def merge_labels(root: np.ndarray, pairs: list[np.ndarray]) -> np.ndarray:
+    """root: the label of each index, its group's least index. The labels once the groups that the
+    pairs (arrays of 2 x n indexes) join are one."""
+    if not pairs:
+        return root
+    a, b = np.concatenate(pairs, axis=1)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        new = new[root]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _contract(batches):
     names, held = ["a", "b"], []
 
@@ -59,7 +79,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges: (a long, b long), undirected, repeats and loops allowed. Returns (node, root)
     for each node that has an edge to another and isn't its component's smallest; all other
     nodes are their own root. Large-star and small-star rounds until nothing changes."""
-    spark = edges.sparkSession
+    ship(edges.sparkSession)
     now = stored(edges.where("a <> b").select("a", "b").mapInArrow(_contract, "a long, b long").distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
@@ -77,4 +97,4 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         now = stored(small, "edges")
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")) if spark else now
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

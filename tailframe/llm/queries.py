@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, sharding, simhash, tokencount, urlfilter
+from . import bpe, brownlm, mixing, quality, sharding, simhash, tokencount, urlfilter, vecdedup
 from .common import read_table
 
 
@@ -23,10 +23,24 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id"])
 
 
+def op3_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brownlm.score_texts(read_table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(read_table(spark, sf_dir, "pages"), urlfilter.RULES, keep=["page_id"])
 
 
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    weights = quality.train(documents, read_table(spark, sf_dir, "labels"))
+    return quality.judge(documents, weights, keep=["doc_id"])
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -41,6 +55,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_round_trip, op4_url_filter, op8_source_mix, op9_feistel_shards, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_round_trip, op3_brown_lm, op4_url_filter, op5_vector_dedup, op6_line_quality, op8_source_mix, op9_feistel_shards, op10_simhash)}
 
-ORACLES = {"op4_url_filter": urlfilter.oracle(), "op8_source_mix": mixing.oracle()}
+ORACLES = {"op4_url_filter": urlfilter.oracle(), "op5_vector_dedup": vecdedup.oracle(), "op8_source_mix": mixing.oracle()}

@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import ship
+
 ROUNDS = 8
 #: Rows that one bucket of the numbering holds about, and the least number of buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 200_000, 256
@@ -89,6 +91,7 @@ def shard(df: DataFrame, shards: int = 8, seed: int = 20_240_607, id_col: str =
     nothing that is returned. Only id and text are read, so other columns can't clash. An
     empty table gives an empty one.
     """
+    ship(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = df.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     rows, n = numbered(own, ["id", "text_crc32", "size"])

@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lower_words, map_texts, stored
-from .graph import components
+from .common import lower_words, map_texts, ship, stored
+from .graph import components, merge_labels
 
 BITS = 64
 #: Rows of 64 bits that are summed at once.
@@ -133,31 +133,13 @@ class Ring:
                 if len(hit):
                     pairs.append(np.stack([hit, at[hit]]))
                 if len(pairs) > 32:
-                    root = _merge(root, pairs)
+                    root = merge_labels(root, pairs)
                     pairs = []
-            root = _merge(root, pairs)
+            root = merge_labels(root, pairs)
         moved = np.flatnonzero(root != np.arange(g))
         return fps[moved], fps[root[moved]]
 
 
-def _merge(root: np.ndarray, pairs: list[np.ndarray]) -> np.ndarray:
-    """Labels with the components of the pairs joined; a label is its component's least index."""
-    if not pairs:
-        return root
-    a, b = np.concatenate(pairs, axis=1)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        while (new[new] != new).any():
-            new = new[new]
-        new = new[root]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _emit(key: int, fps: np.ndarray, ring: Ring) -> list[np.ndarray]:
     start = np.uint64((key >> 40) * ring.width)
     back = lambda x: ((x >> start) | (x << (np.uint64(BITS) - start))) if start else x
@@ -167,6 +149,7 @@ def _emit(key: int, fps: np.ndarray, ring: Ring) -> list[np.ndarray]:
 def link_edges(fps: DataFrame, ring: Ring) -> DataFrame:
     """fps: distinct `fp` (long). Edges (a, b) that connect exactly what links of at most
     ring.distance bits connect."""
+    ship(fps.sparkSession)
     arc = BITS - ring.equal * ring.width
     places = F.explode(
         F.array(
