@@ -192,9 +192,9 @@ def encode(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | N
     return map_texts(df, make, [text_col], FIELDS, keep, rows=256)
 
 
-def round_trip(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """df with n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256
-    (of the text decoded from the ids, in UTF-8). Nulls and clashes as in encode()."""
+def round_trip(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
+    """df with n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the
+    text decoded from the ids, in UTF-8) and, if asked for, ids. Nulls and clashes as in encode()."""
 
     def make():
         codec = codec_of(path)
@@ -203,16 +203,17 @@ def round_trip(df: DataFrame, path: str, text_col: str = "text", keep: list[str]
         def run(cols):
             got = codec.encode_batch([t or "" for t in cols[0].to_pylist()])
             text_of = codec.text_of.__getitem__
-            return [
+            out = [
                 pa.array(map(len, got), pa.int64()),
                 pa.array([digest(",".join(map(text_of, ids)).encode()) for ids in got], pa.string()),
                 pa.array([digest(codec.decode(ids).encode()) for ids in got], pa.string()),
             ]
+            return [*out, pa.array(got, pa.list_(pa.int32()))] if with_ids else out
 
         return run
 
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return map_texts(df, make, [text_col], fields, keep, rows=256)
+    fields = [FIELDS[0], T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return map_texts(df, make, [text_col], fields + FIELDS[1:] * with_ids, keep, rows=256)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:

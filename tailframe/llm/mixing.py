@@ -73,6 +73,16 @@ def thresholds(sized: DataFrame, shares: DataFrame) -> DataFrame:
     return todo.alias("l").join(cuts.alias("r"), same, "left").select("l.source", "source_size", "target", "base", F.coalesce("cut", F.lit(1 << HASH_BITS)).alias("cut"))
 
 
+def _planned(own: DataFrame, weights, factor, most) -> DataFrame:
+    """own: source, size and h of each row. The cuts by source, stored."""
+    shares = stored(targets(own.groupBy("source").agg(F.sum("size").alias("source_size")), weights, factor, most), "targets")
+    return stored(thresholds(own, shares), "cuts")
+
+
+def _copies() -> Column:
+    return F.col("base") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0)
+
+
 def mix(
     df: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
@@ -93,11 +103,20 @@ def mix(
     """
     own = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
     sized = stored(own.select("id", "source", word_count(F.col("text")).alias("size"), place(F.col("id"), seed).alias("h")), "sizes")
-    shares = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, factor, most), "targets")
-    cuts = stored(thresholds(sized, shares), "cuts")
-    copies = F.col("base") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0)
+    cuts = _planned(sized, weights, factor, most)
     joined = sized.alias("l").join(cuts.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source")))
-    return joined.select(F.col("id").alias(id_col), F.col("l.source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return joined.select(F.col("id").alias(id_col), F.col("l.source").alias(source_col), "size", "source_size", "target", _copies().alias("copies"), (_copies() * F.col("size")).alias("taken"))
+
+
+def mixed_rows(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = 1.5, most: int = 2, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The mix itself: each row of df as often as mix() takes it, with df's columns and no other.
+    Rows aren't shuffled for it: a row's copies follow from its own id and its source's cut."""
+    row = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    keyed = row.withColumn("source", F.col(f"row.`{source_col}`").cast("string")).withColumn("h", place(F.col(f"row.`{id_col}`"), seed))
+    sized = stored(keyed.select("source", word_count(F.col(f"row.`{text_col}`")).alias("size"), "h"), "sizes")
+    cuts = _planned(sized, weights, factor, most)
+    joined = keyed.alias("l").join(cuts.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source")))
+    return joined.select("row", F.explode(F.array_repeat(F.lit(1), _copies().cast("int")))).select("row.*")
 
 
 def oracle(seed: str = "mix") -> str:

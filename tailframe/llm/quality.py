@@ -249,3 +249,9 @@ def judge(df: DataFrame, weights: list[float], least_share: float = 0.5, text_co
         return run
 
     return map_texts(df, make, [text_col], FIELDS, keep)
+
+
+def keep_good(df: DataFrame, weights: list[float], least_share: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of df that judge() keeps, with df's columns and no other."""
+    row = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    return judge(row, weights, least_share, "text", ["row"]).where("kept").select("row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brownlm, mixing, quality, sharding, simhash, tokencount, urlfilter, vecdedup
+from . import bpe, brownlm, mixing, quality, sharding, simhash, tokencount, urlfilter, vecdedup, wrapper
 from .common import read_table
 
 
@@ -41,6 +41,10 @@ def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents, weights, keep=["doc_id"])
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_texts(read_table(spark, sf_dir, "pages"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -55,6 +59,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_round_trip, op3_brown_lm, op4_url_filter, op5_vector_dedup, op6_line_quality, op8_source_mix, op9_feistel_shards, op10_simhash)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_round_trip, op3_brown_lm, op4_url_filter, op5_vector_dedup, op6_line_quality, op7_main_text, op8_source_mix, op9_feistel_shards, op10_simhash, pipeline)}
 
 ORACLES = {"op4_url_filter": urlfilter.oracle(), "op5_vector_dedup": vecdedup.oracle(), "op8_source_mix": mixing.oracle()}

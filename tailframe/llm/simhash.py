@@ -20,6 +20,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -199,6 +200,15 @@ def fingerprint(df: DataFrame, words: int = 3, seed: int = 42, text_col: str = "
     return map_texts(df, make, [text_col], [T.StructField("fp", T.LongType())], keep)
 
 
+def _groups(marked: DataFrame, distance: int) -> DataFrame:
+    """marked: stored id and fp of each row. (fp, root, component_id) for each fp."""
+    fps = stored(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    found = components(link_edges(fps.select("fp"), Ring(distance)))
+    placed = fps.join(found, fps.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return placed.join(smallest, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(df: DataFrame, distance: int = 2, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of df: id_col, fingerprint (16 hex digits) and component_id, the
     smallest id that links of at most `distance` bits reach.
@@ -210,10 +220,17 @@ def near_duplicates(df: DataFrame, distance: int = 2, words: int = 3, seed: int
     """
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = stored(fingerprint(own, words, seed, "text", ["id"]), "fingerprints")
-    fps = stored(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    found = components(link_edges(fps.select("fp"), Ring(distance)))
-    placed = fps.join(found, fps.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    # Fingerprints that link with nothing know their smallest id already.
-    roots = placed.join(smallest, "root").select("fp", "component_id")
-    return marked.join(roots, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    groups = _groups(marked, distance)
+    return marked.join(groups, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, distance: int = 2, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df, all columns and no other, less all but one of each group of
+    near_duplicates(): the row whose id is the group's component_id stays. If several rows of a
+    group have that id, or if none has an id, one of them stays."""
+    row = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    row = fingerprint(row, words, seed, "text", ["row", "id"]).withColumn("place", F.monotonically_increasing_id())
+    marked = stored(row, "marked")
+    first = marked.select("id", "fp", "place").join(_groups(marked.select("id", "fp"), distance), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
+    stays = first.withColumn("n", F.row_number().over(W.partitionBy("root").orderBy("place"))).where("n = 1").select("place")
+    return marked.join(stays, "place", "left_semi").select("row.*")
