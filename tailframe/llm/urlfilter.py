@@ -44,7 +44,7 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 class UrlTrie:
     """Longest match: the rule with the longest host + path that fits wins; of two equal ones
-    a block wins over an allow."""
+    a block wins over an allow, and of two equal blocks or allows the longer host."""
 
     def __init__(self, rules: list[Rule]):
         if len(rules) > MAX_RULES or sum(len(r.host) + len(r.path) for r in rules) > MAX_CHARS:
@@ -62,7 +62,7 @@ class UrlTrie:
             node.ends.append((last, len(rule.host) + len(rule.path), rule))
 
     def match(self, host: str, path: str) -> Rule | None:
-        best, most = None, (-1, False)
+        best, most = None, (-1, False, 0)
         node = self.root
         segments = path.split("/")
         for label in reversed(host.split(".")):
@@ -74,8 +74,9 @@ class UrlTrie:
                 if at is None:
                     break
                 for start, length, rule in at.ends:
-                    if (length, rule.verdict == "block") > most and segment.startswith(start):
-                        best, most = rule, (length, rule.verdict == "block")
+                    rank = (length, rule.verdict == "block", len(rule.host))
+                    if rank > most and segment.startswith(start):
+                        best, most = rule, rank
                 at = at.children.get(segment)
         return best
 
@@ -125,7 +126,7 @@ WITH rules(verdict, rhost, rpath) AS (VALUES {rows}),
 u AS (SELECT page_id, url, row_number() OVER () AS k, coalesce(regexp_matches(url, '://'), false) AS ok FROM pages),
 p AS (SELECT *, CASE WHEN ok THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
   CASE WHEN ok THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM u),
-m AS (SELECT k, rhost || rpath AS rule, r.verdict, row_number() OVER (PARTITION BY k ORDER BY length(rhost) + length(rpath) DESC, r.verdict DESC) AS n
+m AS (SELECT k, rhost || rpath AS rule, r.verdict, row_number() OVER (PARTITION BY k ORDER BY length(rhost) + length(rpath) DESC, r.verdict DESC, length(rhost) DESC) AS n
   FROM p JOIN rules r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN (SELECT * FROM m WHERE n = 1) USING (k)
 """
