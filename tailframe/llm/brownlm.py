@@ -33,14 +33,31 @@ from .common import lower_words, ship, stored
 #: Words with a unit of their own, units for the others, and classes.
 FREQUENT, ENDINGS, CLASSES = 1000, 500, 48
 ENDING_BYTES = 3
-#: Words of text in one chunk, about.
-CHUNK_WORDS = 300_000
+#: Words of text in one chunk, about; the larger, the fewer dictionary entries in all.
+CHUNK_WORDS = 1_000_000
+#: Words whose counts are broadcast: the most frequent ones, which nearly every chunk has. All
+#: others get their counts by a join.
+BROADCAST_WORDS = 50_000
 END = b"\n"  # no word holds white space
 
 
+def packed(tokens: np.ndarray) -> bytes:
+    """Compressed indexes; the bytes of equal weight stand together, as most high ones are 0."""
+    planes = np.ascontiguousarray(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(tokens).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], 4 * n, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 class Model(NamedTuple):
     """Everything that scoring needs beside the words' counts; its size is fixed."""
 
+    units: dict[bytes, int]  # of the frequent words
+    frequent: int
     endings: int
     tokens: int  # N
     words: int  # V, the end included
@@ -59,13 +76,13 @@ def coded(df: DataFrame, id_col: str, text_col: str, learns: Column) -> DataFram
     kind = df.schema[id_col].dataType
     schema = T.StructType(
         [
-            T.StructField("chunk", T.StringType()),
+            T.StructField("chunk", T.LongType()),
             T.StructField("words", T.ArrayType(T.BinaryType())),
             T.StructField("trained", T.ArrayType(T.LongType())),
             T.StructField("ids", T.ArrayType(kind)),
             T.StructField("learns", T.ArrayType(T.BooleanType())),
             T.StructField("lengths", T.ArrayType(T.IntegerType())),
-            T.StructField("tokens", T.ArrayType(T.IntegerType())),
+            T.StructField("tokens", T.BinaryType()),
         ]
     )
 
@@ -76,8 +93,8 @@ def coded(df: DataFrame, id_col: str, text_col: str, learns: Column) -> DataFram
             t = np.concatenate(tokens)
             of = np.repeat(np.array(learned), lengths)
             one = lambda values, kind: pa.array([values], pa.list_(kind))
-            out = [pa.array([uuid.uuid4().hex]), one(list(place), pa.binary()), one(np.bincount(t[of], minlength=len(place)), pa.int64())]
-            out += [pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), pa.concat_arrays(ids)), one(learned, pa.bool_()), one(np.array(lengths, dtype=np.int32), pa.int32()), one(t, pa.int32())]
+            out = [pa.array([uuid.uuid4().int >> 65]), one(list(place), pa.binary()), one(np.bincount(t[of], minlength=len(place)), pa.int64())]
+            out += [pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), pa.concat_arrays(ids)), one(learned, pa.bool_()), one(np.array(lengths, dtype=np.int32), pa.int32()), pa.array([packed(t)])]
             return pa.RecordBatch.from_arrays(out, names=schema.fieldNames())
 
         held = 0
@@ -170,8 +187,13 @@ def _log(x):
         return np.log10(x)
 
 
+def units_by(units: dict[bytes, int], frequent: int, endings: int, words: list[bytes]) -> np.ndarray:
+    get, crc = units.get, zlib.crc32
+    return np.array([u if (u := get(w)) is not None else frequent + 1 + crc(w[-ENDING_BYTES:]) % endings for w in words], dtype=np.int64)
+
+
 def learn(chunks: DataFrame, frequent: int = FREQUENT, endings: int = ENDINGS, classes: int = CLASSES) -> tuple[DataFrame, Model]:
-    """The vocabulary (word, n, unit), distributed, and the model."""
+    """The counts of all words (word, n), distributed, and the model."""
     pairs = chunks.select(F.explode(F.arrays_zip("words", "trained")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.trained").alias("n")).where("n > 0")
     counts = stored(pairs.groupBy("word").agg(F.sum("n").alias("n")), "counts")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -182,15 +204,14 @@ def learn(chunks: DataFrame, frequent: int = FREQUENT, endings: int = ENDINGS, c
     shared = spark.sparkContext.broadcast(units)  # `frequent` words at most
 
     def unit_of(words):
-        get = shared.value.get
-        return np.array([u if (u := get(w)) is not None else frequent + 1 + zlib.crc32(w[-ENDING_BYTES:]) % endings for w in words], dtype=np.int64)
+        return units_by(shared.value, frequent, endings, words)
 
     def bigrams(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 unit = unit_of(batch.column(0)[k].as_py())
-                learns, lengths, tokens = (np.array(batch.column(i)[k].values.to_numpy(zero_copy_only=False)) for i in (1, 2, 3))
-                u = unit[tokens[np.repeat(learns.astype(bool), lengths)]]
+                learns, lengths = (batch.column(i)[k].values.to_numpy(zero_copy_only=False) for i in (1, 2))
+                u = unit[unpacked(batch.column(3)[k].as_py())[np.repeat(learns.astype(bool), lengths)]]
                 # Every text ends with the end, so what stands before a text's first word is one too.
                 code, times = np.unique(np.concatenate([[0], u[:-1]]) * n_units + u, return_counts=True)
                 if len(u):
@@ -204,50 +225,59 @@ def learn(chunks: DataFrame, frequent: int = FREQUENT, endings: int = ENDINGS, c
     member = np.eye(classes)[label]
     c = member.T @ m @ member
 
-    small = spark.createDataFrame([(w, u) for w, u in units.items()], "word binary, own int")
-    ending = (F.lit(frequent + 1) + F.crc32(F.substring("word", -ENDING_BYTES, ENDING_BYTES)) % endings).cast("int")
-    # A word shorter than the ending is its own ending.
-    ending = F.when(F.octet_length("word") <= ENDING_BYTES, (F.lit(frequent + 1) + F.crc32("word") % endings).cast("int")).otherwise(ending)
-    vocabulary = stored(counts.join(F.broadcast(small), "word", "left").select("word", "n", F.coalesce("own", ending).alias("unit")), "vocabulary")
-    once = vocabulary.where("n = 1").groupBy("unit").count().toArrow()  # a row a unit at most
+    def units_of(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(unit_of(batch.column(0).to_pylist()))], names=["unit"])
+
+    once = counts.where("n = 1").select("word").mapInArrow(units_of, "unit long").groupBy("unit").count().toArrow()  # a row a unit at most
     singles = np.zeros(classes)
     np.add.at(singles, label[once.column("unit").to_numpy()], once.column("count").to_numpy())
     total = c.sum(axis=0)
     unseen = np.clip(singles / np.maximum(total, 1), 0, 0.5)
     p = transitions(c)
-    return vocabulary, Model(endings, int(n), int(v), label, _log(p), total, unseen, _log(p @ unseen + 1e-12))
+    return counts, Model(units, frequent, endings, int(n), int(v), label, _log(p), total, unseen, _log(p @ unseen + 1e-12))
 
 
-def score(chunks: DataFrame, vocabulary: DataFrame, model: Model, id_col: str) -> DataFrame:
+def score(chunks: DataFrame, counts: DataFrame, model: Model, id_col: str) -> DataFrame:
     spark = chunks.sparkSession
-    words = chunks.select(F.col("chunk").alias("of"), F.posexplode("words").alias("at", "word"))
-    known = words.join(vocabulary, "word").select("of", "at", "n", "unit")
+    top = counts.orderBy(F.desc("n"), "word").limit(BROADCAST_WORDS).toArrow()
+    top = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True))
+    common = spark.sparkContext.broadcast(top)  # BROADCAST_WORDS words at most
+
+    def rare(batches):
+        """The words of a chunk whose counts aren't broadcast."""
+        for batch in batches:
+            for k in range(batch.num_rows):
+                words = batch.column(1)[k].values
+                at = np.flatnonzero([w not in common.value for w in words.to_pylist()])
+                for i in range(0, len(at), 10_000):
+                    part = pa.array(at[i : i + 10_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), batch.column(0)[k].as_py())), part.cast(pa.int32()), words.take(part), batch.column(2)[k].values.take(part)], names=["of", "at", "word", "own"])
+
+    words = chunks.select("chunk", "words", "trained").mapInArrow(rare, "of long, at int, word binary, own long")
+    # A word that no other chunk has needs no row: the chunk knows its count.
+    known = words.join(counts, "word").where("n <> own").select("of", "at", "n")
     shared = spark.sparkContext.broadcast(model)
     kind = chunks.schema["ids"].dataType.elementType
     fields = [T.StructField(id_col, kind), T.StructField("held_out", T.BooleanType())]
     fields += [T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")]
     schema = T.StructType(fields + [T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
-    n_units, endings = len(model.unit_class), model.endings
-
-    def unit_by_ending(word: bytes) -> int:
-        return n_units - endings + zlib.crc32(word[-ENDING_BYTES:]) % endings
-
     def run(one: pa.Table, found: pa.Table) -> pa.Table:
         out = []
         m = shared.value
         for k in range(one.num_rows):  # a chunk has one row
             get = lambda c: one.column(c)[k].values  # noqa: B023, E731
-            n = np.zeros(len(get("words")), dtype=np.int64)
-            at = found.column("at").to_numpy()
-            n[at] = found.column("n").to_numpy()
+            words, top = get("words").to_pylist(), common.value.get
+            n = get("trained").to_numpy(zero_copy_only=False).copy()
+            n[found.column("at").to_numpy()] = found.column("n").to_numpy()
+            n = np.array([top(w, own) for w, own in zip(words, n.tolist(), strict=True)])
             # Of an unknown word only the class matters, as history for the next one.
-            unit = np.array([unit_by_ending(w) for w in get("words").to_pylist()])
-            unit[at] = found.column("unit").to_numpy()
+            unit = units_by(m.units, m.frequent, m.endings, words)
             cls = m.unit_class[unit]
             base = np.log10((n + 0.1) / (m.tokens + 0.1 * (m.words + 1)))
             emits = _log((1 - m.unseen[cls]) * np.maximum(n, 1) / np.maximum(m.total[cls], 1))
-            tokens, lengths = get("tokens").to_numpy(zero_copy_only=False), get("lengths").to_numpy(zero_copy_only=False)
+            tokens, lengths = unpacked(one.column("tokens")[k].as_py()), get("lengths").to_numpy(zero_copy_only=False)
             here = cls[tokens]
             before = np.concatenate([[0], here[:-1]])  # class 0 is the end's
             p = np.where(n[tokens] > 0, m.transition[before, here] + emits[tokens], m.unknown[before])
@@ -276,5 +306,5 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     the base is uniform and the score of every text follows from nothing but unknown words.
     """
     chunks = stored(coded(df, id_col, text_col, ~held_out(F.col(id_col))), "chunks")
-    vocabulary, model = learn(chunks, frequent, ENDINGS, classes)
-    return score(chunks, vocabulary, model, id_col)
+    counts, model = learn(chunks, frequent, ENDINGS, classes)
+    return score(chunks, counts, model, id_col)
