@@ -39,7 +39,8 @@ def betainc(a: float, b: float, x: float) -> float:
 
 
 def t_cdf(x: float, v: float) -> float:
-    tail = 0.5 * betainc(v / 2.0, 0.5, v / (v + x * x))
+    # Near 0 the complement is the accurate one of the two forms.
+    tail = 0.5 * (betainc(v / 2.0, 0.5, v / (v + x * x)) if x * x > 1.0 else 1.0 - betainc(0.5, v / 2.0, x * x / (v + x * x)))
     return tail if x < 0 else 1.0 - tail
 
 

@@ -22,14 +22,14 @@ EXPRESSIONS = {
 
 
 class DrawdownEpisodes:
-    """SELECT * FROM drawdown_episodes(TABLE(t) PARTITION BY series_id ORDER BY d, 0.1): t has the
+    """SELECT * FROM drawdown_episodes(0.1D, TABLE(t) PARTITION BY series_id ORDER BY d): t has the
     columns series_id, d and p. One pass with constant state."""
 
     def __init__(self):
         self.peak = self.low = None
         self.depth = 0.1
 
-    def eval(self, row: Row, depth: float) -> Iterator[tuple]:
+    def eval(self, depth: float, row: Row) -> Iterator[tuple]:
         self.depth, p, d = depth, row["p"], row["d"]
         if p is None:
             return

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tailframe.functions.columns import dbl, loss, messages, normal_density, normal_quantile, over_days, present
+from tailframe.functions.columns import col, dbl, loss, messages, normal_density, normal_quantile, over_days, present
 from tailframe.functions.specfun import t_density, t_quantile
 from tailframe.plans import settings as S
 from tailframe.plans.shipping import ship
@@ -73,7 +73,7 @@ def rolling_historical_var(returns: DataFrame, window: int = 252, confidence: fl
 
 def tail_count(n, confidence: float):
     """Rows in the tail by rank; the rounding keeps 1000 * (1 - 0.95) at 50."""
-    return F.greatest(F.lit(1), F.ceil(F.round(F.col(n) * dbl(1.0 - confidence), 9))).cast("long") if isinstance(n, str) else F.greatest(F.lit(1), F.ceil(F.round(n * dbl(1.0 - confidence), 9))).cast("long")
+    return F.greatest(F.lit(1), F.ceil(F.round(col(n) * dbl(1.0 - confidence), 9))).cast("long")
 
 
 def worst_rows(values: DataFrame, confidence: float, value: str = "r", by=BY) -> DataFrame:
@@ -213,5 +213,5 @@ def return_histogram(returns: DataFrame, bins: int = 120, by=BY) -> DataFrame:
     span = r.groupBy(*by).agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
     j = r.join(span, list(by))
     width = F.nullif((F.col("hi") - F.col("lo")) / bins, F.lit(0.0))
-    k = F.coalesce(F.least(F.floor((F.col("s") - F.col("lo")) / width), F.lit(bins - 1)), F.lit(0)).cast("int")
+    k = F.least(F.coalesce(F.floor((F.col("s") - F.col("lo")) / width), F.lit(0)), F.lit(bins - 1)).cast("int")
     return j.groupBy(*by, k.alias("bin")).agg(F.count("*").alias("n"))
