@@ -34,10 +34,10 @@ from .common import lower_words, ship, stored
 FREQUENT, ENDINGS, CLASSES = 1000, 500, 48
 ENDING_BYTES = 3
 #: Words of text in one chunk, about; the larger, the fewer dictionary entries in all.
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 1_500_000
 #: Words whose counts are broadcast: the most frequent ones, which nearly every chunk has. All
 #: others get their counts by a join.
-BROADCAST_WORDS = 50_000
+BROADCAST_WORDS = 200_000
 END = b"\n"  # no word holds white space
 
 
@@ -78,7 +78,7 @@ def coded(df: DataFrame, id_col: str, text_col: str, learns: Column) -> DataFram
         [
             T.StructField("chunk", T.LongType()),
             T.StructField("words", T.ArrayType(T.BinaryType())),
-            T.StructField("trained", T.ArrayType(T.LongType())),
+            T.StructField("trained", T.ArrayType(T.IntegerType())),
             T.StructField("ids", T.ArrayType(kind)),
             T.StructField("learns", T.ArrayType(T.BooleanType())),
             T.StructField("lengths", T.ArrayType(T.IntegerType())),
@@ -93,7 +93,7 @@ def coded(df: DataFrame, id_col: str, text_col: str, learns: Column) -> DataFram
             t = np.concatenate(tokens)
             of = np.repeat(np.array(learned), lengths)
             one = lambda values, kind: pa.array([values], pa.list_(kind))
-            out = [pa.array([uuid.uuid4().int >> 65]), one(list(place), pa.binary()), one(np.bincount(t[of], minlength=len(place)), pa.int64())]
+            out = [pa.array([uuid.uuid4().int >> 65]), one(list(place), pa.binary()), one(np.bincount(t[of], minlength=len(place)).astype(np.int32), pa.int32())]
             out += [pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), pa.concat_arrays(ids)), one(learned, pa.bool_()), one(np.array(lengths, dtype=np.int32), pa.int32()), pa.array([packed(t)])]
             return pa.RecordBatch.from_arrays(out, names=schema.fieldNames())
 
@@ -194,7 +194,7 @@ def units_by(units: dict[bytes, int], frequent: int, endings: int, words: list[b
 
 def learn(chunks: DataFrame, frequent: int = FREQUENT, endings: int = ENDINGS, classes: int = CLASSES) -> tuple[DataFrame, Model]:
     """The counts of all words (word, n), distributed, and the model."""
-    pairs = chunks.select(F.explode(F.arrays_zip("words", "trained")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.trained").alias("n")).where("n > 0")
+    pairs = chunks.select(F.explode(F.arrays_zip("words", "trained")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.trained").cast("long").alias("n")).where("n > 0")
     counts = stored(pairs.groupBy("word").agg(F.sum("n").alias("n")), "counts")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(frequent).select("word").toArrow().column(0).to_pylist()
@@ -254,7 +254,7 @@ def score(chunks: DataFrame, counts: DataFrame, model: Model, id_col: str) -> Da
                     part = pa.array(at[i : i + 10_000])
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), batch.column(0)[k].as_py())), part.cast(pa.int32()), words.take(part), batch.column(2)[k].values.take(part)], names=["of", "at", "word", "own"])
 
-    words = chunks.select("chunk", "words", "trained").mapInArrow(rare, "of long, at int, word binary, own long")
+    words = chunks.select("chunk", "words", "trained").mapInArrow(rare, "of long, at int, word binary, own int")
     # A word that no other chunk has needs no row: the chunk knows its count.
     known = words.join(counts, "word").where("n <> own").select("of", "at", "n")
     shared = spark.sparkContext.broadcast(model)
@@ -269,7 +269,7 @@ def score(chunks: DataFrame, counts: DataFrame, model: Model, id_col: str) -> Da
         for k in range(one.num_rows):  # a chunk has one row
             get = lambda c: one.column(c)[k].values  # noqa: B023, E731
             words, top = get("words").to_pylist(), common.value.get
-            n = get("trained").to_numpy(zero_copy_only=False).copy()
+            n = get("trained").to_numpy(zero_copy_only=False).astype(np.int64)
             n[found.column("at").to_numpy()] = found.column("n").to_numpy()
             n = np.array([top(w, own) for w, own in zip(words, n.tolist(), strict=True)])
             # Of an unknown word only the class matters, as history for the next one.
