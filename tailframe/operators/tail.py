@@ -194,12 +194,17 @@ def normal_vs_historical(returns: DataFrame, confidence: float = S.CONFIDENCE, b
     )
 
 
+def mark_breaches(series: DataFrame) -> DataFrame:
+    """series: r and var side by side, as the rolling estimates have them. Adds realised_loss,
+    is_breach and excess on the days that have both; no join."""
+    j = series.where(present("r") & present("var")).withColumn("realised_loss", loss("r"))
+    return j.withColumn("is_breach", (F.col("realised_loss") > F.col("var")).cast("int")).withColumn("excess", F.col("realised_loss") - F.col("var"))
+
+
 def breaches(returns: DataFrame, var_series: DataFrame, by=BY, time: str = "d") -> DataFrame:
-    """The days on which both are known: realised_loss, var, is_breach and excess."""
+    """mark_breaches() for estimates that come from elsewhere: joined on series and day."""
     v = var_series.where(present("var")).select(*by, time, "var")
-    j = returns.where(present("r")).select(*by, time, "r").join(v, [*by, time])
-    j = j.withColumn("realised_loss", loss("r"))
-    return j.withColumn("is_breach", (F.col("realised_loss") > F.col("var")).cast("int")).withColumn("excess", F.col("realised_loss") - F.col("var"))
+    return mark_breaches(returns.where(present("r")).select(*by, time, "r").join(v, [*by, time]))
 
 
 def breach_rate(scored: DataFrame, by=BY) -> DataFrame:

@@ -353,9 +353,7 @@ def rolled_var(spark, folder, window=252):
 
 
 def scored(spark, folder):
-    """Returns and VaR come from one window, so their join on (series, day) is the same table."""
-    v = rolled_var(spark, folder)
-    return tail.breaches(v.select("series_id", "d", "r"), v.select("series_id", "d", "var"))
+    return tail.mark_breaches(rolled_var(spark, folder))
 
 
 @query(f"WITH {R_LINE}, {ROLL.format(w=252, b=251, q=Q95)} SELECT series_id, d, round(var, 8) AS var FROM v")
@@ -406,8 +404,7 @@ def compare_backtests(spark, folder):
     parts = [tail.rolling_historical_var(r, w).select(F.lit(m).alias("model"), "series_id", "d", "r", "var") for m, w in (("long", 500), ("short", 100))]
     v = parts[0].unionByName(parts[1])
     by = ("series_id", "model")
-    s = tail.breaches(v.select(*by, "d", "r"), v.select(*by, "d", "var"), by)
-    c = backtest.compare(s, by=by, p_values=False)
+    c = backtest.compare(tail.mark_breaches(v), by=by, p_values=False)
     return c.select(*by, "breaches", "expected", F.round("rate", 8).alias("rate"), *(F.round(f"{x}_statistic", 6).alias(f"{x}_statistic") for x in ("kupiec", "christoffersen", "joint")), "coverage", "independence", "max_run")
 
 

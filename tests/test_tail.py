@@ -112,6 +112,8 @@ def test_breaches(spark):
     assert ordered(s, "is_breach") == [0, 1]
     assert [x.excess for x in s.where("is_breach = 1").collect()] == pytest.approx([1 - math.exp(-0.10) - 0.05])
     assert one(tail.breach_rate(s)).observed_rate == 0.5
+    side_by_side = r.join(v, ["series_id", "d"])
+    assert sorted(tail.mark_breaches(side_by_side).select(*s.columns).collect()) == sorted(s.collect())
 
 
 def test_histogram_counts_everything(spark):
