@@ -35,8 +35,8 @@ FREQUENT, ENDINGS, CLASSES = 1000, 500, 48
 ENDING_BYTES = 3
 #: Words of text in one chunk, about; the larger, the fewer dictionary entries in all.
 CHUNK_WORDS = 1_500_000
-#: Words whose counts are broadcast: the most frequent ones, which nearly every chunk has. All
-#: others get their counts by a join.
+#: Words whose counts are broadcast, at most: the most frequent ones, which nearly every chunk has.
+#: All others get their counts by a join.
 BROADCAST_WORDS = 200_000
 END = b"\n"  # no word holds white space
 
@@ -192,13 +192,30 @@ def units_by(units: dict[bytes, int], frequent: int, endings: int, words: list[b
     return np.array([u if (u := get(w)) is not None else frequent + 1 + crc(w[-ENDING_BYTES:]) % endings for w in words], dtype=np.int64)
 
 
-def learn(chunks: DataFrame, frequent: int = FREQUENT, endings: int = ENDINGS, classes: int = CLASSES) -> tuple[DataFrame, Model]:
-    """The counts of all words (word, n), distributed, and the model."""
+def most_frequent(counts: DataFrame, limit: int) -> dict[bytes, int]:
+    """The words of the highest counts, at most `limit`: as many whole steps of the count (an eighth
+    of an octave each) as fit. No sort and no top-k: those would merge every task's best in one."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    found, least = 0, None
+    for row in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect(), reverse=True):
+        found += row.words
+        if found > limit:
+            break
+        least = row.least
+    if least is None:
+        return {}
+    top = counts.where(F.col("n") >= least).toArrow()
+    return dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True))
+
+
+def learn(chunks: DataFrame, frequent: int = FREQUENT, endings: int = ENDINGS, classes: int = CLASSES) -> tuple[DataFrame, dict[bytes, int], Model]:
+    """The counts of all words (word, n), distributed; those of the most frequent; the model."""
     pairs = chunks.select(F.explode(F.arrays_zip("words", "trained")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.trained").cast("long").alias("n")).where("n > 0")
     counts = stored(pairs.groupBy("word").agg(F.sum("n").alias("n")), "counts")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(frequent).select("word").toArrow().column(0).to_pylist()
-    units = {END: 0} | {bytes(w): k + 1 for k, w in enumerate(top)}
+    common = most_frequent(counts, BROADCAST_WORDS)
+    ranked = sorted((w for w in common if w != END), key=lambda w: (-common[w], w))
+    units = {END: 0} | {w: k + 1 for k, w in enumerate(ranked[:frequent])}
     n_units = frequent + 1 + endings
     spark = chunks.sparkSession
     shared = spark.sparkContext.broadcast(units)  # `frequent` words at most
@@ -235,14 +252,12 @@ def learn(chunks: DataFrame, frequent: int = FREQUENT, endings: int = ENDINGS, c
     total = c.sum(axis=0)
     unseen = np.clip(singles / np.maximum(total, 1), 0, 0.5)
     p = transitions(c)
-    return counts, Model(units, frequent, endings, int(n), int(v), label, _log(p), total, unseen, _log(p @ unseen + 1e-12))
+    return counts, common, Model(units, frequent, endings, int(n), int(v), label, _log(p), total, unseen, _log(p @ unseen + 1e-12))
 
 
-def score(chunks: DataFrame, counts: DataFrame, model: Model, id_col: str) -> DataFrame:
+def score(chunks: DataFrame, counts: DataFrame, most: dict[bytes, int], model: Model, id_col: str) -> DataFrame:
     spark = chunks.sparkSession
-    top = counts.orderBy(F.desc("n"), "word").limit(BROADCAST_WORDS).toArrow()
-    top = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True))
-    common = spark.sparkContext.broadcast(top)  # BROADCAST_WORDS words at most
+    common = spark.sparkContext.broadcast(most)  # BROADCAST_WORDS words at most
 
     def rare(batches):
         """The words of a chunk whose counts aren't broadcast."""
@@ -306,5 +321,5 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     the base is uniform and the score of every text follows from nothing but unknown words.
     """
     chunks = stored(coded(df, id_col, text_col, ~held_out(F.col(id_col))), "chunks")
-    counts, model = learn(chunks, frequent, ENDINGS, classes)
-    return score(chunks, counts, model, id_col)
+    counts, most, model = learn(chunks, frequent, ENDINGS, classes)
+    return score(chunks, counts, most, model, id_col)

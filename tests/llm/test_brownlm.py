@@ -53,13 +53,29 @@ def test_the_model_is_a_distribution(spark):
     """After every class, known words and the unknown one add up to 1."""
     docs = spark.createDataFrame(grammar(2, 60), "doc_id long, text string, source string")
     chunks = brownlm.stored(brownlm.coded(docs, "doc_id", "text", ~brownlm.held_out(docs.doc_id)), "t")
-    counts, m = brownlm.learn(chunks, frequent=30, endings=20, classes=5)
+    counts, _, m = brownlm.learn(chunks, frequent=30, endings=20, classes=5)
     rows = [(r.n, m.unit_class[brownlm.units_by(m.units, 30, 20, [bytes(r.word)])[0]]) for r in counts.collect()]
     for before in range(5):
         p = sum(10 ** m.transition[before, c] * (1 - m.unseen[c]) * n / m.total[c] for n, c in rows)
         assert p + 10 ** m.unknown[before] == pytest.approx(1, abs=1e-6)
 
 
+def test_most_frequent_words_are_bounded(spark):
+    n = {f"w{k}".encode(): 1 + 1000 // (k + 1) for k in range(300)}
+    counts = spark.createDataFrame(list(n.items()), "word binary, n long")
+    sizes = []
+    for limit in (0, 5, 40, 150, 300, 1000):
+        got = brownlm.most_frequent(counts, limit)
+        rest = [c for w, c in n.items() if w not in got]
+        assert len(got) <= limit
+        assert all(n[w] == c for w, c in got.items())
+        assert not got or not rest or min(got.values()) > max(rest)
+        sizes.append(len(got))
+    assert sizes == sorted(sizes)
+    assert sizes[2] > 30
+    assert sizes[-2:] == [300, 300]
+
+
 def objective(m, label, k):
     e = np.eye(k)[label]
     c = e.T @ m @ e
