@@ -50,6 +50,8 @@ SCOPE = frozenset("ul ol dl table select article section main body html div nav
 CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus reply replies widget widgets toolbar pagination pager copyright search complementary contentinfo hidden".split()
 )
+#: Beginnings of such words, for spellings in one word (commentlist, advertbox, sidebar1).
+CHROME_STARTS = ("comment", "advert", "adbox", "adslot", "sidebar", "cookie", "sponsor", "promo", "newsletter", "breadcrumb", "paginat", "notif", "subscri", "navbar", "disqus", "popup", "modal")
 #: More of them outside the article, where a header is the site's.
 OUTER_WORDS = CHROME_WORDS | frozenset("header masthead topbar".split())
 MAIN_WORDS = frozenset("main article content post entry story".split())
@@ -149,12 +151,19 @@ def squeezed(node: Node) -> str:
 
 
 def chrome(node: Node, inside: bool) -> bool:
-    """Whether a node's role says that it's not part of an article."""
-    if node.tag in CHROME_TAGS or node.words & (CHROME_WORDS if inside else OUTER_WORDS):
+    """Whether a node's role says that it's not part of an article. The classes of html, body and
+    main describe the whole page, so they say nothing here."""
+    if node.tag in ("html", "body", "main", "#root"):
+        return False
+    if node.tag in CHROME_TAGS or node.words and worded(node, inside):
         return True
     return node.tag == "header" and not (inside and any(isinstance(x, Node) and re.fullmatch("h[1-6]|hgroup", x.tag) for x in walk(node)))
 
 
+def worded(node: Node, inside: bool) -> bool:
+    return bool(node.words & (CHROME_WORDS if inside else OUTER_WORDS)) or any(w.startswith(CHROME_STARTS) for w in node.words)
+
+
 def walk(node: Node) -> Iterator[Node]:
     stack = [node]
     while stack:
@@ -300,21 +309,25 @@ def induce(sources: list[str]) -> dict:
 
 
 def find_main(tree: Node) -> Node | None:
-    """The marked article: the article (or main) element with the most text, chrome apart."""
-    found: dict[str, list[Node]] = {"article": [], "main": []}
-    stack = [tree]
-    while stack:
-        x = stack.pop()
-        for c in x.items:
-            if isinstance(c, Node) and not chrome(c, False):
+    """The marked article: the article (or else main) element with the most text that isn't inside
+    chrome. If there is none, elements that are chrome by their class alone are looked into too:
+    a page's frame may be named after the sidebar beside it."""
+    for strict in (True, False):
+        found: dict[str, list[Node]] = {"article": [], "main": []}
+        stack = [tree]
+        while stack:
+            x = stack.pop()
+            for c in x.items:
+                if not isinstance(c, Node) or (chrome(c, False) if strict else c.tag in CHROME_TAGS):
+                    continue
                 kind = "article" if c.tag == "article" else "main" if c.tag == "main" or ("main" in c.words and c.tag not in INLINE and c.tag != "body") else ""
-                if kind:
+                if kind and (strict or c.tag == "main" or not worded(c, True)):
                     found[kind].append(c)
                 if kind != "article":
                     stack.append(c)
-    for nodes in found.values():
-        if nodes:
-            return max(nodes, key=lambda x: len(squeezed(x))) if len(nodes) > 1 else nodes[0]
+        for nodes in found.values():
+            if nodes:
+                return max(nodes, key=lambda x: len(squeezed(x))) if len(nodes) > 1 else nodes[0]
     return None
 
 

@@ -71,6 +71,15 @@ def test_text_rules():
     assert wrapper.extract(f"<article>{deep}</article>", wrapper.induce([deep, deep + "y"])) == "x"
 
 
+def test_classes_of_frames_and_of_readers():
+    story = "<article class='post'><p>one<p>two<div class=commentlist><p>reader</div><div class='advertbox'>buy</div></article>"
+    assert wrapper.extract(f"<body class='has-sidebar'>{story}<div id=sidebar1>x</div></body>", None) == "one two"
+    assert wrapper.extract(f"<body><div class='layout sidebar-right'>{story}<aside>x</aside></div></body>", None) == "one two"
+    readers = "<section id=comments><article class=comment><p>" + "long words of a reader " * 9 + "</article></section>"
+    assert wrapper.extract(f"<body>{story}{readers}</body>", None) == "one two"
+    assert wrapper.extract(f"<body><main><p>text</p></main>{readers}</body>", None) == "text"
+
+
 def test_tree_matching_is_largest():
     def tree(x):
         key, kids = x
