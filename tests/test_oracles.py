@@ -1,0 +1,24 @@
+import os
+
+import pytest
+
+from tailframe.queries import ORACLES, QUERIES
+
+from .oracles import DATA, connect, differences
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connect()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_matches_its_sql(spark, con, name):
+    assert differences(spark, con, QUERIES[name], ORACLES[name]) == []
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_runs(spark, name):
+    assert QUERIES[name](spark, DATA).count() > 0
