@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tailframe.functions import summaries
 from tailframe.functions.columns import annual_return, cache_safe, dbl, freshness, normal_density, normal_quantile, trend_label
-from tailframe.operators import backtest, beta, composite, drawdown, fit, portfolio, returns, scorecard, simulate, tail, valuation, volatility
+from tailframe.operators import backtest, beta, composite, drawdown, fit, order, portfolio, returns, scorecard, simulate, tail, valuation, volatility
 from tailframe.plans import panels
 from tailframe.plans import settings as S
 from tailframe.sources import prices as sources
@@ -345,6 +346,12 @@ def es_shortfall(spark, folder):
     return e.select("series_id", F.round("es_historical", 8).alias("es_historical"), F.round("es_normal", 8).alias("es_normal"), F.round("shortfall", 6).alias("shortfall"))
 
 
+@query(f"WITH {R_LINE}, {TAIL}, q AS (SELECT series_id, -(exp(quantile_cont(r, {Q95!r})) - 1) AS v FROM rets GROUP BY 1) SELECT series_id, round(v, 8) AS var_return, round(-(exp(mean) - 1), 8) AS es_return, k AS tail_observations FROM tail JOIN q USING (series_id)")
+def long_series_tail(spark, folder):
+    """The same by nested histograms, which gather no series."""
+    return rounded(order.long_tail(line_returns(spark, folder)).select("series_id", "var_return", "es_return", "tail_observations"))
+
+
 # --- Backtests -------------------------------------------------------------------------------
 
 
@@ -720,6 +727,19 @@ def composite_assessment(spark, folder):
     return c.select("entity", "overall", "rating", "weights_used", "excluded_dimensions", "divergences")
 
 
+@query(
+    f"WITH {FUND}, fl AS (SELECT entity, count(*) AS n, count(*) FILTER (sev = 'critical') AS c FROM ({' UNION ALL '.join(f"SELECT entity, '{s}' AS sev FROM fu WHERE {w}" for w, _, s, _ in FLAGS)}) GROUP BY 1) SELECT entity, printf('fundamental risk %.0f of 100 (%s), %d flag(s), %d critical', overall_risk, {RATING('overall_risk')}, coalesce(n, 0), coalesce(c, 0)) AS summary FROM fu LEFT JOIN fl USING (entity) WHERE overall_risk IS NOT NULL"
+)
+def fundamental_summaries(spark, folder):
+    f = fundamentals(spark, folder).where(F.col("overall_risk").isNotNull())
+    return f.select("entity", summaries.fundamental_summary().alias("summary"))
+
+
+@query(f"WITH {R_LINE}, {ROLL.format(w=252, b=251, q=Q95)}, w AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY d DESC) AS k FROM v) SELECT series_id, d, round(r, 8) AS r, round(var, 8) AS var FROM w WHERE k <= 5")
+def last_scored_days(spark, folder):
+    return rounded(volatility.last_n(rolled_var(spark, folder).select("series_id", "d", "r", "var"), 5))
+
+
 # --- Fits and simulation ------------------------------------------------------------------------
 
 
