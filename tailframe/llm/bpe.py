@@ -39,11 +39,11 @@ class Codec:
     """Encodes and decodes as the vocabulary file (tokenizers JSON) says.
 
     Ids of words are kept in two generations: words met once (young), and words met in two
-    batches or more (cache). cache_words bounds each; one that is full is emptied, so memory
-    is bounded whatever the texts hold. Words over longest_cached characters aren't kept.
+    batches or more (cache). cache_words and young_words bound them, most_seams the verdicts on
+    pairs of tokens; one that is full is emptied, so memory is bounded whatever the texts hold. Words over longest_cached characters aren't kept.
     """
 
-    def __init__(self, path: str, cache_words: int = 250_000, longest_cached: int = 64):
+    def __init__(self, path: str, cache_words: int = 200_000, young_words: int = 60_000, longest_cached: int = 64, most_seams: int = 500_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         to_byte = printable_bytes()
@@ -74,7 +74,7 @@ class Codec:
         self.seams: dict[tuple[int, int], bool] = {}
         self.cache: dict[str, tuple[int, ...]] = {}
         self.young: dict[str, tuple[int, ...]] = {}
-        self.cache_words, self.longest_cached = cache_words, longest_cached
+        self.cache_words, self.young_words, self.longest_cached, self.most_seams = cache_words, young_words, longest_cached, most_seams
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether left followed by right stays so under the merges. Undoes the merges of
@@ -99,7 +99,7 @@ class Codec:
             else:
                 # across the seam an equal rank would be met first from the left
                 b, before = parts[b][0], rb + 1
-        if len(self.seams) > 2_000_000:
+        if len(self.seams) > self.most_seams:
             self.seams.clear()
         self.seams[left, right] = answer
         return answer
@@ -154,7 +154,7 @@ class Codec:
         fresh -= again
         self.encode_words(fresh)
         out = [list(chain.from_iterable(map(cache.__getitem__, p))) for p in pieces]
-        if len(young) > self.cache_words:
+        if len(young) > self.young_words:
             young.clear()
         for w in fresh:
             ids = cache.pop(w)
