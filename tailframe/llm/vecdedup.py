@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import ship, stored
 from .graph import components, merge_labels
 
-#: Vectors on which centroids are fitted, at most, and the most centroids.
+#: Vectors on which centroids are fitted, about, and the most centroids.
 SAMPLE_ROWS, MOST_CELLS = 20_000, 1024
 #: Vectors of a label for each cell, about, and vectors in a block, at most about.
 CELL_ROWS, BLOCK_ROWS = 512, 2048
@@ -91,8 +91,11 @@ def near_duplicates(
     spark = df.sparkSession
     ship(spark)
     v = F.col("v")
+    # Single precision travels as it is, half as wide; products are always double.
+    narrow = df.schema[vector_col].dataType.simpleString() == "array<float>"
+    vector = F.col(vector_col) if narrow else F.col(vector_col).cast("array<double>")
     finite = F.size(v).cast("boolean") & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), vector.alias("v"))
     rows = rows.withColumn("valid", F.coalesce(F.col("label").isNotNull() & v.isNotNull() & finite, F.lit(False)))
 
     # Equal vectors of a label are one vector that counts several times.
@@ -104,7 +107,10 @@ def near_duplicates(
     dim = dims["dim"] if dims else 0
     cells = int(min(MOST_CELLS, max(1, -(-largest // CELL_ROWS))))
     if cells > 1:
-        sample = distinct.where(F.col("dim") == dim).orderBy(F.xxhash64("label", "v")).limit(SAMPLE_ROWS).select("v").toArrow()
+        # A slice of the hash's range: as good as random, the same in every run, and no top-k of
+        # vectors that one task would have to merge.
+        share = min(1 << 20, (SAMPLE_ROWS << 20) // dims["count"] + 1)
+        sample = distinct.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("label", "v"), F.lit(1 << 20)) < share)).select("v").toArrow()
         x = _matrix(sample.column("v"), dim)
         centroids = spherical_kmeans(x / np.linalg.norm(x, axis=1)[:, None], cells)
     else:

@@ -55,6 +55,12 @@ def test_one_cell(spark):
     compare(spark, table())
 
 
+def test_single_precision(spark):
+    rows = [(i, v if v is None else [None if x is None else float(np.float32(x)) for x in v], label) for i, v, label in table(5)]
+    got = vecdedup.near_duplicates(frame(spark, rows).selectExpr("vec_id", "CAST(embedding AS array<float>) AS embedding", "label"))
+    assert sorted([(r.vec_id, r.n_links, r.component_id, r.kept) for r in got.collect()], key=str) == sorted(brute(rows), key=str)
+
+
 def test_many_cells_and_blocks_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(vecdedup, "CELL_ROWS", 10)
     monkeypatch.setattr(vecdedup, "BLOCK_ROWS", 4)
