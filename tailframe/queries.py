@@ -6,17 +6,20 @@ Doubles are rounded on both sides: the engines add in different orders.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailframe.functions import summaries
+from tailframe.functions import sql, summaries
 from tailframe.functions.columns import annual_return, cache_safe, dbl, freshness, normal_density, normal_quantile, trend_label
 from tailframe.operators import backtest, beta, composite, drawdown, fit, order, portfolio, returns, scorecard, simulate, tail, valuation, volatility
 from tailframe.plans import panels
 from tailframe.plans import settings as S
+from tailframe.plans.storage import shared_dir
 from tailframe.sources import prices as sources
+from tailframe.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -851,6 +854,32 @@ def rolling_conditional_var(spark, folder):
     return fit.rolling_conditional_var(line_returns(spark, folder), refit_every=500, distribution="normal")
 
 
+# --- Streams and SQL ----------------------------------------------------------------------------
+
+
+@query("SELECT event_type AS series_id, date_trunc('hour', ts)::TIMESTAMP AS d, round(avg(value), 8) AS close, count(*) AS volume FROM events GROUP BY 1, 2")
+def stream_hourly_means(spark, folder):
+    """The events as a stream of files, in complete mode, so that the last windows are there too."""
+    out = f"{shared_dir(spark)}/tailframe-stream-{uuid.uuid4().hex}"
+    means = live.window_means(live.event_stream(spark, folder, pattern="events*.parquet"))
+    writer = means.writeStream.outputMode("complete").option("checkpointLocation", f"{out}-log").trigger(availableNow=True)
+    stream = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
+    stream.awaitTermination()
+    got = spark.read.parquet(out)
+    return got.select("series_id", F.col("d").cast("timestamp_ntz").alias("d"), F.round("close", 8).alias("close"), "volume")
+
+
+@query(
+    f"SELECT n_name, round({sc('n_nationkey / 25.0::DOUBLE', 0.1, 0.9)}, 7) AS risk, round(-(exp(-n_nationkey / 50.0::DOUBLE) - 1), 8) AS loss, CASE WHEN n_nationkey <= 4 THEN 'green' WHEN n_nationkey <= 9 THEN 'yellow' ELSE 'red' END AS zone, {RATING('n_nationkey * 4')} AS rating FROM nation"
+)
+def sql_surface(spark, folder):
+    sql.register(spark)
+    spark.read.parquet(f"{folder}/nation.parquet").createOrReplaceTempView("tailframe_nation")
+    return spark.sql(
+        "SELECT n_name, round(risk_score(n_nationkey / 25D, 0.1D, 0.9D), 7) AS risk, round(log_loss(-n_nationkey / 50D), 8) AS loss, basel_zone(n_nationkey, 250) AS zone, risk_rating(n_nationkey * 4D) AS rating FROM tailframe_nation"
+    )
+
+
 def entry(spark: SparkSession, folder: str) -> DataFrame:
     """VaR, ES, volatility and drawdown of every series, in one plan."""
     prices = panels.line_prices(spark, folder)

@@ -19,9 +19,10 @@ from tailframe.operators import returns, tail, volatility
 from tailframe.plans.shipping import ship
 
 
-def event_stream(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
+def event_stream(spark: SparkSession, folder: str, files_per_batch: int = 1, pattern: str = "*") -> DataFrame:
+    """The files of a folder whose names match, some at a time."""
     schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", pattern).parquet(folder)
     return df.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
