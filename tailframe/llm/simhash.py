@@ -32,13 +32,16 @@ BITS = 64
 BLOCK = 32_768
 
 
-def shingle_digests(text: str | None, words: int, seed: int) -> list[bytes]:
-    """XXH64 (big-endian) of each shingle of the lower-cased text, repeats included."""
+def shingle_digests(text: str | None, words: int, seed: int, distinct: bool = False) -> list[bytes]:
+    """XXH64 (big-endian) of each shingle of the lower-cased text, repeats included unless
+    distinct (for single words only)."""
     from xxhash import xxh64_digest
 
     found = lower_words(text)
     if not found:
         return []
+    if distinct:
+        return [xxh64_digest(w, seed) for w in set(found)]
     whole = b" ".join(found)
     if len(found) <= words:
         return [xxh64_digest(whole, seed)]
@@ -46,7 +49,7 @@ def shingle_digests(text: str | None, words: int, seed: int) -> list[bytes]:
     return [xxh64_digest(whole[a : b - 1], seed) for a, b in zip([0, *ends], ends[words - 1 :], strict=False)]
 
 
-def fingerprints(texts: list[str | None], words: int = 3, seed: int = 42) -> np.ndarray:
+def fingerprints(texts: list[str | None], words: int = 3, seed: int = 42, distinct: bool = False) -> np.ndarray:
     """One uint64 a text: a bit is set if over half of the shingles' hashes have it."""
     out = np.zeros(len(texts), dtype=np.uint64)
     held: list[tuple[int, int]] = []  # (text, its number of hashes)
@@ -67,7 +70,7 @@ def fingerprints(texts: list[str | None], words: int = 3, seed: int = 42) -> np.
         rows = 0
 
     for k, text in enumerate(texts):
-        digests = shingle_digests(text, words, seed)
+        digests = shingle_digests(text, words, seed, distinct)
         if len(digests) > BLOCK:
             total = sum(bits(b"".join(digests[i : i + BLOCK])).sum(axis=0, dtype=np.int64) for i in range(0, len(digests), BLOCK))
             out[k] = np.packbits(2 * total > len(digests)).view(">u8")[0]
@@ -200,15 +203,29 @@ def fingerprint(df: DataFrame, words: int = 3, seed: int = 42, text_col: str = "
     return map_texts(df, make, [text_col], [T.StructField("fp", T.LongType())], keep)
 
 
-def _groups(marked: DataFrame, distance: int) -> DataFrame:
-    """marked: stored id and fp of each row. (fp, root, component_id) for each fp."""
+def _groups(marked: DataFrame, edges: DataFrame) -> DataFrame:
+    """marked: stored id and fp of each row; edges between values of fp. (fp, root, component_id)
+    for each fp."""
     fps = stored(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    found = components(link_edges(fps.select("fp"), Ring(distance)))
+    found = components(edges)
     placed = fps.join(found, fps.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return placed.join(smallest, "root").select("fp", "root", "component_id")
 
 
+def _wider_edges(marked: DataFrame, column: str, distance: int) -> DataFrame:
+    """Edges between values of fp that links of another fingerprint imply: rows where that is equal,
+    and rows where it differs in at most `distance` bits. Each is stood for by its least fp."""
+    pairs = stored(marked.select(F.col(column).alias("fp2"), "fp").distinct(), "pairs")
+    stands = stored(pairs.groupBy("fp2").agg(F.min("fp").alias("fp")), "stands")
+    equal = pairs.alias("l").join(stands.alias("r"), "fp2").where("l.fp <> r.fp").select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
+    found = link_edges(stands.select(F.col("fp2").alias("fp")), Ring(distance))
+    left = stands.select(F.col("fp2").alias("a"), F.col("fp").alias("fa"))
+    right = stands.select(F.col("fp2").alias("b"), F.col("fp").alias("fb"))
+    near = found.join(left, "a").join(right, "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+    return equal.union(near)
+
+
 def near_duplicates(df: DataFrame, distance: int = 2, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of df: id_col, fingerprint (16 hex digits) and component_id, the
     smallest id that links of at most `distance` bits reach.
@@ -220,17 +237,39 @@ def near_duplicates(df: DataFrame, distance: int = 2, words: int = 3, seed: int
     """
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = stored(fingerprint(own, words, seed, "text", ["id"]), "fingerprints")
-    groups = _groups(marked, distance)
+    groups = _groups(marked, link_edges(marked.select("fp").distinct(), Ring(distance)))
     return marked.join(groups, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, distance: int = 2, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df, all columns and no other, less all but one of each group of
-    near_duplicates(): the row whose id is the group's component_id stays. If several rows of a
-    group have that id, or if none has an id, one of them stays."""
+#: For keep_one(): bits in which fingerprints of two texts' distinct words may differ (where about
+#: half of the pairs with a five-word similarity of 0.8 are linked), and the hash seeds of these
+#: fingerprints. A link by any of them counts, so each one misses less.
+WIDER_DISTANCE, WIDER_SEEDS = 3, (42, 43)
+
+
+def keep_one(df: DataFrame, distance: int = 2, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", wider: int = WIDER_DISTANCE, wider_seeds: tuple[int, ...] = WIDER_SEEDS) -> DataFrame:
+    """The rows of df, all columns and no other, less all but one of each group of near
+    duplicates. Links are those of near_duplicates() and, for each of wider_seeds, those of a
+    fingerprint over the distinct words that differ in at most `wider` bits: one changed word
+    changes `words` shingles but one word, so these reach copies with more changes. The row
+    with the group's smallest id stays. If several rows of a group have that id, or if none
+    has an id, one of them stays."""
     row = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    row = fingerprint(row, words, seed, "text", ["row", "id"]).withColumn("place", F.monotonically_increasing_id())
-    marked = stored(row, "marked")
-    first = marked.select("id", "fp", "place").join(_groups(marked.select("id", "fp"), distance), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
+    others = [f"words{k}" for k in range(len(wider_seeds))]
+
+    def make():
+        def run(cols):
+            texts = cols[0].to_pylist()
+            out = [fingerprints(texts, words, seed), *(fingerprints(texts, 1, s, distinct=True) for s in wider_seeds)]
+            return [pa.array(x.view(np.int64)) for x in out]
+
+        return run
+
+    fields = [T.StructField(c, T.LongType()) for c in ["fp", *others]]
+    marked = stored(map_texts(row, make, ["text"], fields, ["row", "id"]).withColumn("place", F.monotonically_increasing_id()), "marked")
+    edges = link_edges(marked.select("fp").distinct(), Ring(distance))
+    for c in others:
+        edges = edges.union(_wider_edges(marked, c, wider))
+    first = marked.select("id", "fp", "place").join(_groups(marked.select("id", "fp"), edges), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
     stays = first.withColumn("n", F.row_number().over(W.partitionBy("root").orderBy("place"))).where("n = 1").select("place")
     return marked.join(stays, "place", "left_semi").select("row.*")

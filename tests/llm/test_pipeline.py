@@ -8,7 +8,7 @@ from tailframe.llm.queries import ORACLES, QUERIES, tokenizer_path
 
 from .test_mixing import brute as brute_mix
 from .test_quality import corpus
-from .test_simhash import brute_groups
+from .test_simhash import brute_kept
 
 
 @pytest.fixture(scope="module")
@@ -32,8 +32,7 @@ def test_run_matches_brute_force(spark, folder):
     weights = quality.train(docs, spark.read.parquet(f"{at}/labels.parquet"))
     good = [r for r in rows if quality.measure(r[1], weights, 0.5)[-1]]
     assert 0 < len(good) < len(rows)
-    groups = brute_groups(good)
-    one = {c: next(r for r, g in zip(good, groups, strict=True) if g[2] == c and r[0] == c) for c in {g[2] for g in groups}}
+    one = {c: next(r for r in good if r[0] == c) for c in brute_kept(good)}
     assert len(one) < len(good)
     taken = {i: copies for i, _, _, _, copies, _ in brute_mix(list(one.values()))[0]}
     library = Tokenizer.from_file(tokenizer_path())
