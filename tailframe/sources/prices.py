@@ -118,7 +118,9 @@ def _now(now: dt.datetime | Column | None) -> Column:
 
 
 def last_arrivals(prices: DataFrame) -> DataFrame:
-    """One row a series and day, the one that arrived last."""
+    """One row a series and day, the one that arrived last. Rows are dealt by series at once: that
+    also serves the windows by series that follow, so they need no shuffle of their own."""
+    prices = prices.repartition("series_id")
     w = W.partitionBy("series_id", "d").orderBy(F.col("ingest_seq").desc())
     return prices.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
@@ -133,7 +135,7 @@ def quality_report(prices: DataFrame, now: dt.datetime | Column | None = None, s
     the rows that the ones before it left: duplicates, order, future, weekends, gaps, bad prices,
     extreme moves, spacing and length. series: a list (series_id) whose absent members are reported."""
     day = W.partitionBy("series_id", "d").orderBy(F.col("ingest_seq").desc())
-    p = prices.withColumn("_rn", F.row_number().over(day))
+    p = prices.repartition("series_id").withColumn("_rn", F.row_number().over(day))  # one shuffle for all windows
     p = p.withColumn("_first", F.col("_rn") == 1).withColumn("_future", F.col("d").cast("timestamp") > _now(now))
     # Ranks within kept rows: a partition by the flag keeps dropped rows out of every lag.
     p = p.withColumn("_back", F.col("d") < F.lag("d").over(W.partitionBy("series_id", "_first").orderBy("ingest_seq")))
