@@ -2,27 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tailframe.plans.shipping import ship
+from tailframe.plans.storage import stored
+
 #: Words are runs of anything but ASCII white space (space, tab, LF, VT, FF, CR).
 WORD = r"[^\x20\x09-\x0D]+"
-ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 # bytes.lower() and bytes.split() change and split at exactly the ASCII letters and
 # the six ASCII white space characters, so lower_words() equals WORD on UTF-8.
 
-
-def split_words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").split() if text else []
+__all__ = ["WORD", "lower_words", "map_texts", "read_table", "ship", "stored"]
 
 
 def lower_words(text: str | None) -> list[bytes]:
@@ -33,48 +29,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Gives this package to the executors' Python workers, once a Spark application: they need
-    not find it on a path of their own."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = Path(__file__).resolve().parent.parent
-    made = Path(tempfile.mkdtemp(prefix="tailframe-")) / "tailframe_package.zip"
-    with zipfile.ZipFile(made, "w") as out:
-        for file in sorted(package.rglob("*.py")):
-            out.write(file, str(file.relative_to(package.parent)))
-    context.addPyFile(str(made))
-    _shipped.add(context.applicationId)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where
-    that is unset, as in local tests) a temporary one."""
-    jsc = spark.sparkContext._jsc.sc()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        found = jsc.getCheckpointDir()
-        named = found.get() if found.isDefined() else None
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="tailframe-shared-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: cuts the lineage, is
-    computed once, and survives the loss of any executor."""
-    spark = df.sparkSession
-    ship(spark)
-    path = f"{shared_dir(spark)}/tailframe-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_texts(
     df: DataFrame,
     make: Callable[[], Callable[[list], list[pa.Array]]],

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import WORD, stored
 
 #: Bits of the hash in all, and bits that one histogram resolves.
 HASH_BITS, LEVEL_BITS = 60, 12
@@ -23,7 +23,7 @@ WEIGHTS = (5, 2, 1)
 def word_count(text: Column) -> Column:
     """Words of any characters but ASCII white space; 0 for null. Counts the places where a word
     ends, so no array of words is made."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD + "+")), F.lit(0)).cast("long")
 
 
 def place(id_col: Column, seed: str) -> Column:
