@@ -34,6 +34,9 @@ SAMPLE_PAGES = 8
 #: Constant text inside an article is dropped only if this many pages share it, and if less than
 #: this share of the article's text is constant (near copies would otherwise erase each other).
 LEAST_PAGES, MOST_CONSTANT = 4, 0.2
+#: Parts into which each host's pages are dealt when they meet its wrapper, so that neither a hot
+#: host nor a table of few hosts ends in a few tasks. Each part gets a copy of the wrapper.
+PARTS = 32
 #: Longest text (characters) that a template remembers as constant.
 LONGEST_CONSTANT = 400
 
@@ -423,7 +426,9 @@ def main_texts(df: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     pages = df.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("html")).mapInArrow(hosts, schema)
     found = wrappers(pages, sample_pages)
-    joined = pages.join(found.withColumnRenamed("host", "of"), F.col("host") == F.col("of"), "left").select(id_col, url_col, "html", "wrapper")
+    found = found.select(F.col("host").alias("of"), "wrapper", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    dealt = pages.withColumn("_part", F.pmod(F.xxhash64(id_col, url_col), F.lit(PARTS)).cast("int"))
+    joined = dealt.join(found, (F.col("host") == F.col("of")) & (F.col("_part") == F.col("part")), "left").select(id_col, url_col, "html", "wrapper")
     result = T.StructType([df.schema[id_col], df.schema[url_col], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
