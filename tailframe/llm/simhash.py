@@ -20,7 +20,6 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,16 +31,13 @@ BITS = 64
 BLOCK = 32_768
 
 
-def shingle_digests(text: str | None, words: int, seed: int, distinct: bool = False) -> list[bytes]:
-    """XXH64 (big-endian) of each shingle of the lower-cased text, repeats included unless
-    distinct (for single words only)."""
+def shingle_digests(text: str | None, words: int, seed: int) -> list[bytes]:
+    """XXH64 (big-endian) of each shingle of the lower-cased text, repeats included."""
     from xxhash import xxh64_digest
 
     found = lower_words(text)
     if not found:
         return []
-    if distinct:
-        return [xxh64_digest(w, seed) for w in set(found)]
     whole = b" ".join(found)
     if len(found) <= words:
         return [xxh64_digest(whole, seed)]
@@ -49,7 +45,7 @@ def shingle_digests(text: str | None, words: int, seed: int, distinct: bool = Fa
     return [xxh64_digest(whole[a : b - 1], seed) for a, b in zip([0, *ends], ends[words - 1 :], strict=False)]
 
 
-def fingerprints(texts: list[str | None], words: int = 3, seed: int = 42, distinct: bool = False) -> np.ndarray:
+def fingerprints(texts: list[str | None], words: int = 3, seed: int = 42) -> np.ndarray:
     """One uint64 a text: a bit is set if over half of the shingles' hashes have it."""
     out = np.zeros(len(texts), dtype=np.uint64)
     held: list[tuple[int, int]] = []  # (text, its number of hashes)
@@ -70,7 +66,7 @@ def fingerprints(texts: list[str | None], words: int = 3, seed: int = 42, distin
         rows = 0
 
     for k, text in enumerate(texts):
-        digests = shingle_digests(text, words, seed, distinct)
+        digests = shingle_digests(text, words, seed)
         if len(digests) > BLOCK:
             total = sum(bits(b"".join(digests[i : i + BLOCK])).sum(axis=0, dtype=np.int64) for i in range(0, len(digests), BLOCK))
             out[k] = np.packbits(2 * total > len(digests)).view(">u8")[0]
@@ -213,19 +209,6 @@ def _groups(marked: DataFrame, edges: DataFrame) -> DataFrame:
     return placed.join(smallest, "root").select("fp", "root", "component_id")
 
 
-def _wider_edges(marked: DataFrame, column: str, distance: int) -> DataFrame:
-    """Edges between values of fp that links of another fingerprint imply: rows where that is equal,
-    and rows where it differs in at most `distance` bits. Each is stood for by its least fp."""
-    pairs = stored(marked.select(F.col(column).alias("fp2"), "fp").distinct(), "pairs")
-    stands = stored(pairs.groupBy("fp2").agg(F.min("fp").alias("fp")), "stands")
-    equal = pairs.alias("l").join(stands.alias("r"), "fp2").where("l.fp <> r.fp").select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
-    found = link_edges(stands.select(F.col("fp2").alias("fp")), Ring(distance))
-    left = stands.select(F.col("fp2").alias("a"), F.col("fp").alias("fa"))
-    right = stands.select(F.col("fp2").alias("b"), F.col("fp").alias("fb"))
-    near = found.join(left, "a").join(right, "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
-    return equal.union(near)
-
-
 def near_duplicates(df: DataFrame, distance: int = 2, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of df: id_col, fingerprint (16 hex digits) and component_id, the
     smallest id that links of at most `distance` bits reach.
@@ -241,35 +224,166 @@ def near_duplicates(df: DataFrame, distance: int = 2, words: int = 3, seed: int
     return marked.join(groups, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For keep_one(): bits in which fingerprints of two texts' distinct words may differ (where about
-#: half of the pairs with a five-word similarity of 0.8 are linked), and the hash seeds of these
-#: fingerprints. A link by any of them counts, so each one misses less.
-WIDER_DISTANCE, WIDER_SEEDS = 3, (42, 43)
+#: For keep_one(): texts are linked if the Jaccard similarity of their sets of GRAM-word shingles is
+#: at least SIMILAR (a fraction). Each of the seeds gives BANDS bands of ROWS minima, and texts meet if
+#: a band is equal: with two seeds, at a similarity of 0.8, all but 3 of 100,000 pairs do.
+GRAM, SIMILAR = 5, (4, 5)
+BANDS, ROWS, WIDER_SEEDS = 10, 4, (42, 43)
+#: Pairs whose bytes of the minima agree less than this aren't checked exactly where a hub doesn't
+#: connect a meeting place: five standard deviations (of 80 minima) below the similarity asked for.
+LEAST_AGREEMENT = 0.55
+
+
+def minima(texts: list[str | None], seeds: tuple[int, ...] = WIDER_SEEDS) -> np.ndarray:
+    """BANDS * ROWS minima (uint64) a seed of each text's shingles; zeros for texts without words."""
+    size = BANDS * ROWS
+    out = np.zeros((len(texts), size * len(seeds)), dtype=np.uint64)
+    draws = [np.random.default_rng(seed).integers(0, 1 << 63, (2, size), dtype=np.uint64) for seed in seeds]
+    times, plus = np.concatenate([np.empty((2, 0), np.uint64), *draws], axis=1)
+    times = 2 * times + np.uint64(1)
+    held, parts, rows = [], [], 0
+
+    def flush():
+        if held:
+            hashes = np.frombuffer(b"".join(parts), dtype=">u8").astype(np.uint64)
+            starts = np.concatenate([[0], np.cumsum([n for _, n in held])[:-1]])
+            at = [k for k, _ in held]
+            for i in range(len(times)):
+                out[at, i] = np.minimum.reduceat(hashes * times[i] + plus[i], starts)
+        held.clear()
+        parts.clear()
+
+    for k, text in enumerate(texts):
+        if digests := shingle_digests(text, GRAM, 42):
+            held.append((k, len(digests)))
+            parts.append(b"".join(digests))
+            rows += len(digests)
+            if rows >= BLOCK:
+                flush()
+                rows = 0
+    flush()
+    return out
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """One int64 a band: a hash of its number and minima."""
+    n = least.shape[1] // ROWS
+    x = least.reshape(len(least), n, ROWS)
+    out = np.zeros((len(least), n), dtype=np.uint64) + np.arange(1, n + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        out = (out ^ x[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
 
 
-def keep_one(df: DataFrame, distance: int = 2, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", wider: int = WIDER_DISTANCE, wider_seeds: tuple[int, ...] = WIDER_SEEDS) -> DataFrame:
+def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose texts (node, text) are similar, by their exact sets."""
+
+    def run(batches):
+        last, ours = None, frozenset()
+        for batch in batches:
+            keep = []
+            for k in range(batch.num_rows):
+                if (a := batch.column(0)[k].as_py()) != last:
+                    last, ours = a, frozenset(shingle_digests(batch.column(2)[k].as_py(), GRAM, 42))
+                theirs = set(shingle_digests(batch.column(3)[k].as_py(), GRAM, 42))
+                both = len(ours & theirs)
+                keep.append(both * SIMILAR[1] >= (len(ours) + len(theirs) - both) * SIMILAR[0])
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+
+
+def _apart(met: DataFrame) -> DataFrame:
+    """met: key, node, label and sketch (bytes). The pairs of each key's nodes that have different
+    labels and sketches that agree enough."""
+
+    def pairs(held):
+        node, label = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        sketch = np.concatenate([h[2] for h in held])
+        n, width = sketch.shape
+        step = max(1, 16_000_000 // (n * width))
+        for i in range(0, n, step):
+            agree = (sketch[i : i + step, None, :] == sketch[None, i:, :]).sum(axis=2)
+            x, y = np.nonzero((agree >= LEAST_AGREEMENT * width) & (label[i : i + step, None] != label[None, i:]))
+            x, y = node[i + x[x < y]], node[i + y[x < y]]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    def run(batches):
+        last, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, node, label = (batch.column(i).to_numpy() for i in range(3))
+            sketch = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(len(keys), -1)
+            cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and keys[i] != last:
+                    yield from pairs(held)
+                    held = []
+                last = keys[i]
+                held.append((node[i:j], label[i:j], sketch[i:j]))
+        if held:
+            yield from pairs(held)
+
+    return met.select("key", "node", "label", "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+
+
+def keep_one(df: DataFrame, distance: int = 2, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", wider_seeds: tuple[int, ...] = WIDER_SEEDS) -> DataFrame:
     """The rows of df, all columns and no other, less all but one of each group of near
-    duplicates. Links are those of near_duplicates() and, for each of wider_seeds, those of a
-    fingerprint over the distinct words that differ in at most `wider` bits: one changed word
-    changes `words` shingles but one word, so these reach copies with more changes. The row
-    with the group's smallest id stays. If several rows of a group have that id, or if none
+    duplicates. Texts of equal words are one node. Nodes are candidates if their fingerprints
+    are linked as in near_duplicates(), or if one of the bands of minima of wider_seeds is equal.
+    A candidate is a link only if the exact five-word similarity is SIMILAR or more.
+
+    First all nodes of a meeting place (an equal band) are checked with its smallest; then, in
+    places that the links found don't connect, all other pairs whose ends aren't connected yet.
+    The row with the group's smallest id stays. If several rows of a group have that id, or if none
     has an id, one of them stays."""
+    from xxhash import xxh64_digest
+
     row = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    others = [f"words{k}" for k in range(len(wider_seeds))]
 
     def make():
         def run(cols):
             texts = cols[0].to_pylist()
-            out = [fingerprints(texts, words, seed), *(fingerprints(texts, 1, s, distinct=True) for s in wider_seeds)]
-            return [pa.array(x.view(np.int64)) for x in out]
+            node = np.frombuffer(b"".join(xxh64_digest(b" ".join(lower_words(t)), seed) for t in texts), dtype=">i8").astype(np.int64)
+            least = minima(texts, wider_seeds)
+            keys, sketch = bands(least), least.astype(np.uint8)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
+            return [pa.array(node), pa.array(fingerprints(texts, words, seed).view(np.int64)), lists, pa.array([s.tobytes() for s in sketch], pa.binary())]
 
         return run
 
-    fields = [T.StructField(c, T.LongType()) for c in ["fp", *others]]
+    fields = [T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
     marked = stored(map_texts(row, make, ["text"], fields, ["row", "id"]).withColumn("place", F.monotonically_increasing_id()), "marked")
-    edges = link_edges(marked.select("fp").distinct(), Ring(distance))
-    for c in others:
-        edges = edges.union(_wider_edges(marked, c, wider))
-    first = marked.select("id", "fp", "place").join(_groups(marked.select("id", "fp"), edges), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
-    stays = first.withColumn("n", F.row_number().over(W.partitionBy("root").orderBy("place"))).where("n = 1").select("place")
+    nodes = stored(marked.groupBy("node").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("fp", "keys", "sketch"))), "nodes")
+
+    met = nodes.select("node", F.explode("keys").alias("key"))
+    hubs = met.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
+    met = stored(met.join(hubs, "key"), "met")
+    stands = nodes.groupBy("fp").agg(F.min("node").alias("least"))
+    by_print = nodes.join(stands, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    near = link_edges(stands.select("fp"), Ring(distance))
+    left, right = (stands.select(F.col("fp").alias(c), F.col("least").alias(f"of_{c}")) for c in ("a", "b"))
+    near = near.join(left, "a").join(right, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    proposed = met.select(F.col("hub").alias("a"), F.col("node").alias("b")).union(by_print).union(near).where("a <> b")
+    first = stored(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+
+    asked = met.select("node").union(first.select("a")).union(first.select("b")).distinct()
+    asked = nodes.select("node", "place").join(asked, "node")
+    texts = stored(marked.select("place", F.col(f"row.`{text_col}`").alias("text")).join(asked, "place").select("node", "text"), "texts")
+    links = stored(_similar(first, texts), "links")
+    found = components(links)
+    labelled = met.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))
+    parted = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    second = stored(_apart(labelled.join(parted, "key").join(nodes.select("node", "sketch"), "node")).join(first, ["a", "b"], "left_anti"), "pairs")
+    if not second.isEmpty():
+        found = components(links.union(_similar(second, texts)))
+
+    of = marked.select("id", "node", "place").join(found, "node", "left").select("id", "place", F.coalesce("root", "node").alias("root"))
+    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "place"))
+    stays = of.groupBy("root").agg(best.alias("best")).select(F.col("best.place").alias("place"))
     return marked.join(stays, "place", "left_semi").select("row.*")

@@ -87,6 +87,41 @@ def test_copies_with_changed_words_go_and_others_stay(spark):
     assert len(kept) < 60 + 10
 
 
+def five_words(text):
+    w = text.lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+def test_links_are_those_of_the_exact_similarity(spark):
+    r = random.Random(12)
+    lexicon = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
+    rows = []
+    for k in range(40):
+        words = [r.choice(lexicon) for _ in range(200)]
+        rows.append((k, " ".join(words)))
+        # Cut ends: 0.8 and more for the least, less for the others, which a chain may still reach.
+        rows += [(100 * (j + 1) + k, " ".join(words[: 200 - cut])) for j, cut in enumerate(r.sample((10, 25, 38, 39, 45, 60), 2))]
+    for k in range(10):  # all words, in another order: equal fingerprints of distinct words
+        words = rows[3 * k][1].split()
+        r.shuffle(words)
+        rows.append((1000 + k, " ".join(words)))
+    shared = [r.choice(lexicon) for _ in range(150)]  # half of each text is the same passage
+    rows += [(2000 + k, " ".join([r.choice(lexicon) for _ in range(150)] + shared)) for k in range(40)]
+    sets = {i: five_words(t) for i, t in rows}
+    near = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    root = dict(forest([(a, b) for a in sets for b in sets if a < b and near(a, b)]))
+    want = {i for i in sets if root.get(i, i) == i}
+    assert 40 < len(want) < len(rows)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {x.doc_id for x in simhash.keep_one(table).collect()} == want
+
+
+def test_places_that_the_smallest_does_not_connect(spark):
+    met = [(1, 5, 5, b"a" * 80), (1, 6, 6, b"a" * 80), (1, 7, 6, b"a" * 80), (1, 8, 8, b"b" * 80), (2, 8, 8, b"b" * 80), (2, 9, 9, b"b" * 40 + b"c" * 40)]
+    got = simhash._apart(spark.createDataFrame(met, "key long, node long, label long, sketch binary")).collect()
+    assert sorted((x.a, x.b) for x in got) == [(5, 6), (5, 7)]
+
+
 def test_blocks_of_long_texts(monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 16)
     r = random.Random(1)
