@@ -851,7 +851,7 @@ def conditional_minus_unconditional(spark, folder):
 
 @query()
 def rolling_conditional_var(spark, folder):
-    return fit.rolling_conditional_var(line_returns(spark, folder), refit_every=500, distribution="normal")
+    return fit.rolling_conditional_var(line_returns(spark, folder))
 
 
 # --- Streams and SQL ----------------------------------------------------------------------------

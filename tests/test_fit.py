@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 
+from tailframe import queries
 from tailframe.functions import specfun
 from tailframe.operators import fit
 from tailframe.plans import settings as S
@@ -130,3 +131,11 @@ def test_rolling_conditional_var(spark):
 def test_calendar(spark):
     d = [r.d.isoformat() for r in fit.business_days(spark, "2024-02-29", 3).collect()]
     assert d == ["2024-03-01", "2024-03-04", "2024-03-05"]
+
+
+def test_the_rolling_query_keeps_the_defaults(monkeypatch):
+    asked = []
+    monkeypatch.setattr(queries, "line_returns", lambda spark, folder: "returns")
+    monkeypatch.setattr(fit, "rolling_conditional_var", lambda *a, **k: asked.append((a, k)))
+    queries.rolling_conditional_var(None, None)
+    assert asked == [(("returns",), {})]
