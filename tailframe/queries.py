@@ -793,7 +793,7 @@ def student_t_var(spark, folder):
 
 @query()
 def bootstrap_interval(spark, folder):
-    return simulate.var_intervals(line_returns(spark, folder), samples=500)
+    return simulate.var_intervals(line_returns(spark, folder))
 
 
 @query()

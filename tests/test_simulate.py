@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 
+from tailframe import queries
 from tailframe.operators import simulate, tail
 from tailframe.plans import settings as S
 
@@ -98,3 +99,11 @@ def test_five_methods(spark):
     assert by["historical"].var_vs_historical == 0
     assert by["parametric-normal"].es < by["historical"].es
     assert all(r.es >= r.var for r in c)
+
+
+def test_the_bootstrap_query_keeps_the_defaults(monkeypatch):
+    asked = []
+    monkeypatch.setattr(queries, "line_returns", lambda spark, folder: "returns")
+    monkeypatch.setattr(simulate, "var_intervals", lambda *a, **k: asked.append((a, k)))
+    queries.bootstrap_interval(None, None)
+    assert asked == [(("returns",), {})]
