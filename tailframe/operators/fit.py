@@ -7,7 +7,6 @@ series is one Arrow group, and refits of a rolling model are groups of their own
 from __future__ import annotations
 
 import math
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -116,15 +115,32 @@ def chi2_tail(x: float, df: int) -> float:
     return out
 
 
+def decayed_sums(u: np.ndarray, beta: float) -> np.ndarray:
+    """y with y[t] = u[t] + beta * y[t - 1], by doubling: each pass takes in the sums that end twice as far back."""
+    y, reach, weight = u.copy(), 1, beta
+    while reach < len(y) and weight > 1e-18:
+        y[reach:] += weight * y[:-reach]
+        reach, weight = 2 * reach, weight * weight
+    return y
+
+
+def _start(e2: np.ndarray) -> tuple[float, np.ndarray]:
+    """The variance before the first day, an exponentially weighted mean of the first 75 squares, and the weights."""
+    w = 0.94 ** np.arange(min(75, len(e2)))
+    w /= w.sum()
+    return float(e2[: len(w)] @ w), w
+
+
 def variances(e: np.ndarray, omega: float, alpha: float, beta: float) -> np.ndarray:
-    """Conditional variances. The one before the first is an exponentially weighted mean of the
-    first 75 squares."""
     e2 = e * e
-    k = min(75, len(e))
-    w = 0.94 ** np.arange(k)
-    start = float((e2[:k] * w).sum() / w.sum())
-    first = omega + (alpha + beta) * start
-    return np.fromiter(accumulate(e2[:-1].tolist(), lambda s, q: omega + alpha * q + beta * s, initial=first), dtype=float, count=len(e))
+    u = np.empty_like(e2)
+    u[0] = omega + (alpha + beta) * _start(e2)[0]
+    u[1:] = omega + alpha * e2[:-1]
+    return decayed_sums(u, beta)
+
+
+def _t_constant(v: float) -> float:
+    return math.lgamma((v + 1) / 2) - math.lgamma(v / 2) - 0.5 * math.log(math.pi * (v - 2))
 
 
 def garch_likelihood(x: np.ndarray, p: tuple[float, ...]) -> float:
@@ -137,47 +153,66 @@ def garch_likelihood(x: np.ndarray, p: tuple[float, ...]) -> float:
     if not nu:
         return -0.5 * float((math.log(2 * math.pi) + np.log(s2) + z2).sum())
     v = nu[0]
-    each = math.lgamma((v + 1) / 2) - math.lgamma(v / 2) - 0.5 * math.log(math.pi * (v - 2))
-    return len(x) * each - float((0.5 * np.log(s2) + (v + 1) / 2 * np.log1p(z2 / (v - 2))).sum())
+    return len(x) * _t_constant(v) - float((0.5 * np.log(s2) + (v + 1) / 2 * np.log1p(z2 / (v - 2))).sum())
 
 
-def simplex_search(f, start: np.ndarray, step: np.ndarray, rounds: int = 1500, tolerance: float = 1e-9) -> tuple[np.ndarray, float, bool]:
-    """Nelder-Mead minimisation."""
-    n = len(start)
-    points = [start, *(start + step * np.eye(n)[k] for k in range(n))]
-    values = [f(p) for p in points]
+def garch_slope(x: np.ndarray, p: tuple[float, ...]) -> np.ndarray:
+    """Derivatives of the likelihood by the parameters. What a day's variance does to all later ones is
+    summed from the last day back, so one pass serves all parameters."""
+    mu, omega, alpha, beta, *nu = p
+    e = x - mu
+    e2, s2 = e * e, variances(e, omega, alpha, beta)
+    z2 = e2 / s2
+    if nu:
+        v = nu[0]
+        pull = (v + 1) / (v - 2 + z2)  # how much an outlier counts; 1 for normal shocks
+        h = 1e-5 * v
+        by_nu = len(x) * (_t_constant(v + h) - _t_constant(v - h)) / (2 * h) - 0.5 * float(np.log1p(z2 / (v - 2)).sum()) + 0.5 * (v + 1) / (v - 2) * float((z2 / (v - 2 + z2)).sum())
+    else:
+        pull = 1.0
+    later = decayed_sums((0.5 * (pull * z2 - 1.0) / s2)[::-1], beta)[::-1]
+    start, w = _start(e2)
+    by_mu = float((pull * e / s2).sum()) - 2 * alpha * float(later[1:] @ e[:-1]) - 2 * later[0] * (alpha + beta) * float(w @ e[: len(w)])
+    by_alpha = float(later[1:] @ e2[:-1]) + later[0] * start
+    by_beta = float(later[1:] @ s2[:-1]) + later[0] * start
+    return np.array([by_mu, float(later.sum()), by_alpha, by_beta, *([by_nu] if nu else [])])
+
+
+def quasi_newton(f, start: np.ndarray, rounds: int = 300, tolerance: float = 1e-7) -> tuple[np.ndarray, float, bool]:
+    """BFGS minimisation with step halving; f gives the value and its gradient."""
+    u, (value, g) = start, f(start)
+    inverse = np.eye(len(u))
     for _ in range(rounds):
-        order = np.argsort(values, kind="stable")
-        points, values = [points[k] for k in order], [values[k] for k in order]
-        if values[-1] - values[0] <= tolerance * (1 + abs(values[0])) and max(np.abs(p - points[0]).max() for p in points[1:]) < 1e-5:
-            return points[0], values[0], True
-        centre = np.mean(points[:-1], axis=0)
-        away = centre - points[-1]
-        mirrored = centre + away
-        fm = f(mirrored)
-        if fm < values[0]:
-            far = centre + 2 * away
-            ff = f(far)
-            points[-1], values[-1] = (far, ff) if ff < fm else (mirrored, fm)
-        elif fm < values[-2]:
-            points[-1], values[-1] = mirrored, fm
+        if np.abs(g).max() < tolerance:
+            return u, value, True
+        way = -inverse @ g
+        if way @ g >= 0:
+            inverse, way = np.eye(len(u)), -g
+        way *= min(1.0, 2.0 / np.abs(way).max())
+        size = 1.0
+        while size > 1e-10:
+            new, slope = f(u + size * way)
+            if new <= value + 1e-4 * size * (way @ g):
+                break
+            size /= 2
         else:
-            near = centre + (0.5 if fm < values[-1] else -0.5) * away
-            fn = f(near)
-            if fn < min(fm, values[-1]):
-                points[-1], values[-1] = near, fn
-            else:
-                points = [points[0], *(points[0] + 0.5 * (p - points[0]) for p in points[1:])]
-                values = [values[0], *(f(p) for p in points[1:])]
-    k = int(np.argmin(values))
-    return points[k], values[k], False
+            if (inverse == np.eye(len(u))).all():
+                return u, value, bool(np.abs(g).max() < 1e-4)
+            inverse = np.eye(len(u))
+            continue
+        step, turn = size * way, slope - g
+        u, value, g = u + step, new, slope
+        if (curve := step @ turn) > 1e-14:
+            side = np.eye(len(u)) - np.outer(step, turn) / curve
+            inverse = side @ inverse @ side.T + np.outer(step, step) / curve
+    return u, value, False
 
 
 def fit_garch_array(x: np.ndarray, distribution: str = "t") -> dict:
     """Constant mean GARCH(1,1) of largest likelihood. The search runs on free coordinates:
     ln omega relative to the variance, the logits of persistence and of alpha's share, ln(nu - 2.05)."""
     var, sd = float(np.var(x)) or 1e-12, float(np.std(x)) or 1e-6
-    sigmoid = lambda u: 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, u))))
+    sigmoid = lambda u: 1.0 / (1.0 + math.exp(-max(-36.0, min(36.0, u))))
     logit = lambda p: math.log(p / (1 - p))
 
     def place(u: np.ndarray) -> tuple[float, ...]:
@@ -185,12 +220,25 @@ def fit_garch_array(x: np.ndarray, distribution: str = "t") -> dict:
         p = (u[0] * sd, var * math.exp(max(-60.0, min(20.0, u[1]))), total * share, total * (1 - share))
         return (*p, 2.05 + math.exp(max(-20.0, min(8.0, u[4])))) if distribution == "t" else p
 
+    def loss_and_slope(u: np.ndarray) -> tuple[float, np.ndarray]:
+        p = place(u)
+        value = garch_likelihood(x, p)
+        if not math.isfinite(value):
+            return math.inf, np.zeros(len(u))
+        by = garch_slope(x, p)
+        total, share = sigmoid(u[2]), sigmoid(u[3])
+        g = [by[0] * sd, by[1] * p[1] * (abs(u[1] + 20) < 40), (by[2] * share + by[3] * (1 - share)) * total * (1 - total), (by[2] - by[3]) * total * share * (1 - share)]
+        if distribution == "t":
+            g.append(by[4] * (p[4] - 2.05) * (abs(u[4] + 6) < 14))
+        return -value / len(x), -np.array(g) / len(x)
+
     best = None
-    for total, share in ((0.95, 0.1), (0.98, 0.06), (0.8, 0.2)):
+    for total, share in ((0.95, 0.1), (0.98, 0.06), (0.8, 0.2), (0.995, 0.01)):
         u = [float(np.mean(x)) / sd, math.log(1 - total), logit(total), logit(share), *([math.log(6.0)] if distribution == "t" else [])]
-        got = simplex_search(lambda u: -garch_likelihood(x, place(u)), np.array(u), np.array([0.05, 0.3, 0.4, 0.4, 0.3][: len(u)]), rounds=220)
-        best = got if best is None or got[1] < best[1] else best
-    u, value, converged = simplex_search(lambda u: -garch_likelihood(x, place(u)), best[0], np.full(len(best[0]), 0.05))
+        got = quasi_newton(loss_and_slope, np.array(u))
+        best = got if best is None or got[1] < best[1] - 1e-10 else best
+    u, value, converged = best
+    value *= len(x)
     mu, omega, alpha, beta, *nu = place(u)
     s2 = variances(x - mu, omega, alpha, beta)
     k, n = len(u), len(x)
@@ -323,51 +371,52 @@ def normal_conditional_var(fits: DataFrame, confidence: float = S.CONFIDENCE, da
     return fits.select(*by, loss(cumulative_sigma(days) * dbl(normal_quantile(1.0 - confidence))).alias("var_return"))
 
 
+#: Refits of one series that share a task, and so one copy of its returns.
+REFITS_A_TASK = 8
+
+
 def rolling_conditional_var(returns: DataFrame, confidence: float = S.CONFIDENCE, refit_every: int = 50, min_window: int = 500, distribution: str = "t", by=BY, time: str = "d") -> DataFrame:
     """by, time, var for each day after the first min_window, from data before it alone.
 
-    Refits are rows (series, refit) and run in parallel; a second pass over each series updates
-    the variance between them. A refit's state is the last in-sample variance and the day's shock
-    isn't applied to it; every day's forecast is one expected step past the state.
+    Runs of REFITS_A_TASK refits are rows and run in parallel, each with its series' returns up to
+    its last cut. Between refits the days' shocks update the variance; a refit's state is the last
+    in-sample variance and the day's shock isn't applied to it; every day's forecast is one
+    expected step past the state.
     """
     check(confidence)
+    if distribution not in ("t", "normal"):
+        raise ValueError(f"unknown distribution: {distribution!r}")
     r = returns.where(present("r")).select(*by, time, "r")
     series = r.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(time, "r"))).alias("s")).where(F.size("s") > min_window)
-    cuts = series.withColumn("cut", F.explode(F.sequence(F.lit(min_window), F.size("s") - 1, F.lit(refit_every))))
-    cuts = cuts.select(*by, "cut", F.transform(F.slice("s", F.lit(1), F.col("cut")), lambda x: x["r"]).alias("x"))
-    keys = _schema(r, by)
-
-    def fit_all(batches):
-        for pdf in batches:
-            rows = []
-            for row in pdf.itertuples(index=False):
-                x = np.asarray(row.x, dtype=float) * SCALE
-                f = fit_garch_array(x, distribution)
-                rows.append({c: getattr(row, c) for c in by} | {"cut": row.cut, "omega": f["omega"], "alpha": f["alpha"], "beta": f["beta"], "nu": f["nu"], "state": float(f["sigma2"][-1]), "mean": float(x.mean())})
-            yield pd.DataFrame(rows, columns=[*by, "cut", "omega", "alpha", "beta", "nu", "state", "mean"]).astype({"nu": "float64"})
-
-    fits = cuts.repartition(*by, "cut").mapInPandas(fit_all, f"{keys}, cut int, omega double, alpha double, beta double, nu double, state double, mean double")
-    fits = fits.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("cut", "omega", "alpha", "beta", "nu", "state", "mean"))).alias("f"))
+    span = REFITS_A_TASK * refit_every
+    parts = series.withColumn("first", F.explode(F.sequence(F.lit(min_window), F.size("s") - 1, F.lit(span))))
+    last = F.least(F.col("first") + span, F.size("s"))
+    days = F.transform(F.slice("s", F.col("first") + 1, last - F.col("first")), lambda x: x[time])
+    parts = parts.select(*by, "first", days.alias("days"), F.transform(F.slice("s", F.lit(1), last), lambda x: x["r"]).alias("x"))
     normal = normal_quantile(1.0 - confidence)
 
-    def walk(batches):
+    def ahead(x: np.ndarray, cut: int, stop: int) -> np.ndarray:
+        """The estimates of days cut to stop - 1, by the fit on all before the cut."""
+        f = fit_garch_array(x[:cut], distribution)
+        z = normal if distribution == "normal" else specfun.t_ppf(1.0 - confidence, f["nu"]) * math.sqrt((f["nu"] - 2) / f["nu"])
+        u = f["omega"] + f["alpha"] * (x[cut - 1 : stop - 1] - float(x[:cut].mean())) ** 2
+        u[0] = f["sigma2"][-1]
+        state = decayed_sums(u, f["beta"])
+        return -np.expm1(z * np.sqrt(f["omega"] + (f["alpha"] + f["beta"]) * state) / SCALE)
+
+    def run(batches):
         for pdf in batches:
             out = []
-            for row in pdf.itertuples(index=False):
-                by_cut = {f["cut"]: f for f in row.f}
-                x = [s["r"] * SCALE for s in row.s]
-                for i in range(min_window, len(x)):
-                    f = by_cut.get(i)
-                    if f is not None:
-                        now, v = f, f["state"]
-                        z = normal if distribution == "normal" else specfun.t_ppf(1.0 - confidence, now["nu"]) * math.sqrt((now["nu"] - 2) / now["nu"])
-                    else:
-                        v = now["omega"] + now["alpha"] * (x[i - 1] - now["mean"]) ** 2 + now["beta"] * v
-                    ahead = now["omega"] + (now["alpha"] + now["beta"]) * v
-                    out.append({c: getattr(row, c) for c in by} | {time: row.s[i][time], "var": -(math.exp(z * math.sqrt(ahead) / SCALE) - 1.0)})
-            yield pd.DataFrame(out, columns=[*by, time, "var"])
-
-    return series.join(fits, list(by)).mapInPandas(walk, f"{keys}, `{time}` {r.schema[time].dataType.simpleString()}, var double")
+            for first, x in zip(pdf["first"], pdf["x"], strict=True):
+                x = np.asarray(x, dtype=float) * SCALE
+                out.append(np.concatenate([ahead(x, cut, min(cut + refit_every, len(x))) for cut in range(first, len(x), refit_every)]))
+            yield pdf[[*by, "days"]].assign(var=out)
+
+    kinds = f"{_schema(r, by)}, days array<{r.schema[time].dataType.simpleString()}>, var array<double>"
+    context = r.sparkSession.sparkContext
+    # Little data but long fits: a number of its own, which adaptive execution doesn't fold into one task.
+    done = parts.repartition(max(context.defaultParallelism, int(r.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by, "first").mapInPandas(run, kinds)
+    return done.select(*by, F.explode(F.arrays_zip("days", "var")).alias("v")).select(*by, F.col("v.days").alias(time), "v.var")
 
 
 def business_days(spark, after: str, n: int) -> DataFrame:

@@ -828,23 +828,23 @@ def arch_lm(spark, folder):
 
 @query()
 def garch_fit(spark, folder):
-    return fit.fit_garch(line_returns(spark, folder), "normal")
+    return fit.fit_garch(line_returns(spark, folder))
 
 
 @query()
 def garch_series(spark, folder):
-    return fit.garch_series(line_returns(spark, folder), "normal")
+    return fit.garch_series(line_returns(spark, folder))
 
 
 @query()
 def garch_conditional_var(spark, folder):
-    return fit.conditional_var(fit.fit_garch(line_returns(spark, folder), "t"))
+    return fit.conditional_var(fit.fit_garch(line_returns(spark, folder)))
 
 
 @query()
 def conditional_minus_unconditional(spark, folder):
     r = line_returns(spark, folder)
-    c = fit.conditional_var(fit.fit_garch(r, "normal")).select("series_id", F.col("var_return").alias("conditional"))
+    c = fit.conditional_var(fit.fit_garch(r)).select("series_id", F.col("var_return").alias("conditional"))
     h = tail.historical_var(r).select("series_id", F.col("var_return").alias("unconditional"))
     return c.join(h, "series_id").withColumn("difference", F.col("conditional") - F.col("unconditional"))
 
