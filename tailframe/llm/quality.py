@@ -1,10 +1,13 @@
 """Quality rules: a linear-chain conditional random field labels each line content or
 boilerplate; the share of words in content lines decides whether a text is kept.
 
-The field has one feature group for each line property, a bias, and transitions, and is
-fitted here: its training lines are those of a bounded sample of labelled documents, a line's
-label being its document's. That is a noisy label; the penalty pulls the weights towards
-PRIOR, plain expectations about junk, which is also the model if there are no labels.
+The field has one feature group for each line property, a bias, and transitions. Labels are known
+for documents and not for lines, so it is fitted by hard expectation maximisation: each labelled
+document's lines get their best labels under the present weights and the constraint that the
+document's label sets (half of a good document's words or more stand in content lines, less than
+half of a poor one's), then weights are fitted to these line labels. Documents of both kinds so
+have lines of both kinds, and the transitions are learnt from sequences that switch. The start,
+and the model if there are no labels, is PRIOR: plain expectations about junk.
 """
 
 from __future__ import annotations
@@ -41,8 +44,11 @@ GROUPS: list[tuple[str, tuple[float, ...]]] = [
 OFFSETS = [0, *accumulate(len(b) + 1 for _, b in GROUPS)]
 N_FEATURES = OFFSETS[-1]
 
-#: Documents in the training sample, and lines of each that are used, at most.
-SAMPLE_DOCS, SAMPLE_LINES = 2000, 400
+#: Documents in the training sample, at most; lines of a training row (longer texts are several rows);
+#: and training rows, at most: those with the smallest hashes, wherever they stand in their texts.
+SAMPLE_DOCS, ROW_LINES, SAMPLE_ROWS = 2000, 100, 4000
+#: Passes over the training rows.
+PASSES = 4
 
 
 def prior() -> np.ndarray:
@@ -114,72 +120,105 @@ def viterbi(scores: list[float], stay_content: float, stay_boiler: float) -> lis
     return out[::-1]
 
 
-def fit(sequences: list[np.ndarray], labels: list[int], penalty: float = 0.1, rounds: int = 200, rate: float = 0.1) -> np.ndarray:
-    """Weights that maximise the penalised conditional likelihood of sequences (arrays of
-    lines x feature groups) whose lines all have their document's label (1: content)."""
-    w0 = prior()
+def constrained(scores: np.ndarray, sizes: np.ndarray, good: bool, stay_content: float, stay_boiler: float, least_share: float = 0.5) -> list[int]:
+    """The best labels with at least (good) or less than (not good) least_share of the words in content
+    lines. A word's gain for the asked side is doubled until the constraint holds."""
+    push, words = 0.0, max(int(sizes.sum()), 1)
+    while True:
+        shifted = scores + (push if good else -push) * sizes
+        labels = viterbi(shifted.tolist(), stay_content, stay_boiler)
+        if (int(sizes[np.array(labels) == CONTENT].sum()) >= least_share * words) == good or push > 1e6:
+            return labels
+        push = max(2 * push, 0.01)
+
+
+def train_lines(sequences: list[np.ndarray], sizes: list[np.ndarray], labels: list[int], passes: int = PASSES) -> np.ndarray:
+    """Weights from sequences (arrays of lines x feature groups), the words of their lines and their
+    documents' labels (1: good)."""
+    w = prior()
     if not sequences or len(set(labels)) < 2:
+        return w
+    for _ in range(passes):
+        found = [np.array(constrained(w[x].sum(axis=1) + w[N_FEATURES], n, y == 1, w[N_FEATURES + 1], w[N_FEATURES + 2])) for x, n, y in zip(sequences, sizes, labels, strict=True)]
+        w = fit(sequences, found, w)
+    return w
+
+
+def fit(sequences: list[np.ndarray], labels: list[np.ndarray], start: np.ndarray | None = None, penalty: float = 0.1, rounds: int = 100, rate: float = 0.1) -> np.ndarray:
+    """Weights that maximise the penalised conditional likelihood of the line labels (1: content) of
+    sequences (arrays of lines x feature groups). The penalty pulls towards the prior."""
+    w0 = prior()
+    if not sequences:
         return w0
     order = np.argsort([-len(s) for s in sequences], kind="stable")
-    sequences, y = [sequences[k] for k in order], np.array([labels[k] for k in order])
+    sequences, labels = [sequences[k] for k in order], [labels[k] for k in order]
     lengths = np.array([len(s) for s in sequences])
-    steps, n = lengths[0], len(sequences)
-    x = np.zeros((steps, n, len(GROUPS)), dtype=np.int64)
-    for k, s in enumerate(sequences):
-        x[: len(s), k] = s
-    alive = [int((lengths > t).sum()) for t in range(steps)]  # the longest come first
-    total = lengths.sum()
-    w, m, v = w0.copy(), np.zeros_like(w0), np.zeros_like(w0)
-    seen = np.zeros(N_FEATURES)  # features of content lines as labelled
-    pairs = np.array([(lengths[y == 1] - 1).sum(), (lengths[y == 0] - 1).sum()], dtype=float)
-    for t in range(steps):
-        np.add.at(seen, x[t, : alive[t]][y[: alive[t]] == 1].ravel(), 1)
-    bias = float(lengths[y == 1].sum())
+    # Lines in order of their place in the sequence; the longest come first, so the lines of step t
+    # are a slice, and the line before the k-th of a step is the k-th of the step before.
+    step_of = np.concatenate([np.arange(n) for n in lengths])
+    by_step = np.argsort(step_of, kind="stable")
+    x, y = np.concatenate(sequences)[by_step], np.concatenate(labels)[by_step]
+    alive = np.bincount(step_of)
+    cuts = np.concatenate([[0], np.cumsum(alive)])
+    steps = [(slice(cuts[t - 1], cuts[t - 1] + alive[t]), slice(cuts[t], cuts[t + 1])) for t in range(1, len(alive))]
+    later = np.arange(alive[0], len(x))
+    earlier = later - np.repeat(alive[:-1], alive[1:])
+    sequence_of = np.concatenate([np.arange(n) for n in alive])
+    w = (w0 if start is None else start).copy()
+    m, v = np.zeros_like(w0), np.zeros_like(w0)
+    flat = x.ravel()
+    seen = np.bincount(x[y == CONTENT].ravel(), minlength=N_FEATURES).astype(float)  # features of content lines as labelled
+    pairs = np.array([((y[later] == k) & (y[earlier] == k)).sum() for k in (CONTENT, BOILER)], dtype=float)
+    bias = float((y == CONTENT).sum())
     for step in range(1, rounds + 1):
-        s = w[x].sum(axis=2) + w[N_FEATURES]
+        s = w[x].sum(axis=1) + w[N_FEATURES]
         c, b = w[N_FEATURES + 1], w[N_FEATURES + 2]
-        ac, ab = np.zeros((steps, n)), np.zeros((steps, n))  # forward log sums of content, boilerplate
-        ac[0] = s[0]
-        for t in range(1, steps):
-            k = alive[t]
-            ac[t, :k] = np.logaddexp(ac[t - 1, :k] + c, ab[t - 1, :k]) + s[t, :k]
-            ab[t, :k] = np.logaddexp(ab[t - 1, :k] + b, ac[t - 1, :k])
-        bc, bb = np.zeros((steps, n)), np.zeros((steps, n))
-        for t in range(steps - 2, -1, -1):
-            k = alive[t + 1]
-            bc[t, :k] = np.logaddexp(c + s[t + 1, :k] + bc[t + 1, :k], bb[t + 1, :k])
-            bb[t, :k] = np.logaddexp(b + bb[t + 1, :k], s[t + 1, :k] + bc[t + 1, :k])
-        z = np.logaddexp(ac[0] + bc[0], ab[0] + bb[0])
-        expected, stay, p_sum = np.zeros(N_FEATURES), np.zeros(2), 0.0
-        for t in range(steps):
-            k = alive[t]
-            p = np.exp(ac[t, :k] + bc[t, :k] - z[:k])
-            p_sum += p.sum()
-            np.add.at(expected, x[t, :k].ravel(), np.repeat(p, len(GROUPS)))
-            if t:
-                stay += np.exp(ac[t - 1, :k] + c + s[t, :k] + bc[t, :k] - z[:k]).sum(), np.exp(ab[t - 1, :k] + b + bb[t, :k] - z[:k]).sum()
-        slope = np.concatenate([seen - expected, [bias - p_sum], pairs - stay]) / total * 100 - penalty * (w - w0)
+        ac, ab = s.copy(), np.zeros(len(s))  # forward log sums of content, boilerplate
+        for old, new in steps:
+            ac[new] = np.logaddexp(ac[old] + c, ab[old]) + s[new]
+            ab[new] = np.logaddexp(ab[old] + b, ac[old])
+        bc, bb = np.zeros(len(s)), np.zeros(len(s))
+        for old, new in reversed(steps):
+            bc[old] = np.logaddexp(c + s[new] + bc[new], bb[new])
+            bb[old] = np.logaddexp(b + bb[new], s[new] + bc[new])
+        first = slice(0, alive[0])
+        z = np.logaddexp(ac[first] + bc[first], ab[first] + bb[first])[sequence_of]
+        p = np.exp(ac + bc - z)
+        expected = np.bincount(flat, weights=np.repeat(p, len(GROUPS)), minlength=N_FEATURES)
+        stay = [np.exp(ac[earlier] + c + s[later] + bc[later] - z[later]).sum(), np.exp(ab[earlier] + b + bb[later] - z[later]).sum()]
+        slope = np.concatenate([seen - expected, [bias - p.sum()], pairs - stay]) / len(x) * 100 - penalty * (w - w0)
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope * slope
         w = w + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> list[float]:
-    """Weights fitted on at most sample_docs labelled documents, the first by a hash of their id,
-    and at most sample_lines lines of each; only their line features reach the driver."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS, sample_rows: int = SAMPLE_ROWS) -> list[float]:
+    """Weights fitted on at most sample_docs labelled documents, the first by a hash of their id. Their
+    texts are cut into rows of ROW_LINES lines with a word, from first to last; sample_rows of
+    them at most, the first by a hash, reach the driver as line features and word counts (a
+    megabyte for a thousand rows). An id with several labels has the lowest; of several texts with
+    one id the least is used. Ids without a text, null ids and null labels are left out; texts
+    without words have no rows. With no label of one kind left, the weights are the prior's."""
     ship(docs.sparkSession)
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     chosen = chosen.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample_docs)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
     def run(batches):
         for batch in batches:
-            x = [line_features((t or "").encode().split(b"\n"))[0][:sample_lines] for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([np.array(s, dtype=np.int32).ravel() for s in x], pa.list_(pa.int32())), batch.column(1)], names=["x", "y"])
+            for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                x, sizes, _ = line_features((text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n"))
+                cuts = range(0, len(x), ROW_LINES)
+                features = [np.array(x[k : k + ROW_LINES], dtype=np.uint8).tobytes() for k in cuts]
+                words = [np.array(sizes[k : k + ROW_LINES], dtype="<i4").tobytes() for k in cuts]
+                yield pa.RecordBatch.from_arrays([pa.array(features, pa.binary()), pa.array(words, pa.binary()), pa.array([y] * len(cuts), pa.int32())], names=["x", "sizes", "y"])
 
-    got = rows.select("text", "y").mapInArrow(run, "x array<int>, y int").toArrow()
-    found = sorted((f, y) for f, y in zip(got.column("x").to_pylist(), got.column("y").to_pylist(), strict=True) if f)
-    return fit([np.array(f).reshape(-1, len(GROUPS)) for f, _ in found], [int(y > 0) for _, y in found]).tolist()
+    found = rows.select("text", "y").mapInArrow(run, "x binary, sizes binary, y int")
+    got = found.orderBy(F.xxhash64("x", "sizes", "y"), "x", "sizes", "y").limit(sample_rows).toArrow()
+    x = [np.frombuffer(f, dtype=np.uint8).reshape(-1, len(GROUPS)).astype(np.int64) for f in got.column("x").to_pylist()]
+    sizes = [np.frombuffer(f, dtype="<i4") for f in got.column("sizes").to_pylist()]
+    return train_lines(x, sizes, [int(y > 0) for y in got.column("y").to_pylist()]).tolist()
 
 
 def repeated_words(words: list[bytes], width: int = 8) -> int:
@@ -236,7 +275,7 @@ def judge(df: DataFrame, weights: list[float], least_share: float = 0.5, text_co
     """df with word, symbol and repetition counts, base_failed, content_share and kept.
 
     A null or empty text has no words: all counts 0, share 0, base_failed, not kept. Blank lines
-    aren't labelled. Rows are independent: repeated rows get equal results. Input columns
+    aren't labelled. Texts of any length are read whole, one at a time. Rows are independent: repeated rows get equal results. Input columns
     with the names of the new ones (in any case) are replaced; an empty table gives an empty one.
     """
 
@@ -252,6 +291,8 @@ def judge(df: DataFrame, weights: list[float], least_share: float = 0.5, text_co
 
 
 def keep_good(df: DataFrame, weights: list[float], least_share: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of df that judge() keeps, with df's columns and no other."""
+    """The rows of df that judge() keeps, with df's columns and no other. Null and empty texts go, as they
+    fail the base rules; rows are judged each by itself, so of equal rows all stay or all go. Columns of
+    any name stay as they are. An empty table gives an empty one."""
     row = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{text_col}`").alias("text"))
     return judge(row, weights, least_share, "text", ["row"]).where("kept").select("row.*")

@@ -78,22 +78,65 @@ def test_without_labels_the_prior_rules(spark, docs):
     assert quality.train(docs, labels) == quality.prior().tolist()
 
 
-def test_gradient_is_that_of_the_likelihood():
-    """More rounds can't lower the training likelihood: compare with the prior by enumeration."""
+def test_fit_maximises_the_likelihood():
+    """No small step from the fitted weights raises the penalised likelihood, by enumeration."""
     r = random.Random(5)
-    sequences = [np.array(quality.line_features([(good(r) if r.random() < 0.5 else junk(r, 1)).encode() for _ in range(3)])[0]) for _ in range(12)]
-    labels = [k % 2 for k in range(12)]
+    sequences = [np.array(quality.line_features([(good(r) if r.random() < 0.5 else junk(r, 1)).encode() for _ in range(r.randrange(1, 5))])[0]) for _ in range(12)]
+    labels = [np.array([r.randrange(2) for _ in x]) for x in sequences]
+    w0, lines = quality.prior(), sum(map(len, sequences))
 
-    def likelihood(w):
+    def objective(w):
         total = 0.0
         for x, y in zip(sequences, labels, strict=True):
             s = w[x].sum(axis=1) + w[quality.N_FEATURES]
-            value = lambda z: sum(s[k] for k in range(3) if z[k]) + sum(w[-2] if p and q else 0 if p or q else w[-1] for p, q in zip(z, z[1:], strict=False))  # noqa: B023, E731
-            all_ = [value(z) for z in itertools.product((0, 1), repeat=3)]
-            total += value((y,) * 3) - np.logaddexp.reduce(all_)
-        return total
-
-    assert likelihood(quality.fit(sequences, labels)) > likelihood(quality.prior())
+            value = lambda z: sum(a for a, k in zip(s, z, strict=True) if k) + sum(w[-2] if p and q else 0 if p or q else w[-1] for p, q in zip(z, z[1:], strict=False))  # noqa: B023, E731
+            total += value(tuple(y)) - np.logaddexp.reduce([value(z) for z in itertools.product((0, 1), repeat=len(x))])
+        return total * 100 / lines - 0.05 * ((w - w0) ** 2).sum()
+
+    w = quality.fit(sequences, labels, rounds=3000, rate=0.02)
+    for k in range(len(w)):
+        step = np.zeros(len(w))
+        step[k] = 1e-3
+        assert abs(objective(w + step) - objective(w - step)) / 2e-3 < 0.05
+
+
+def test_seams_between_good_and_bad_halves():
+    """Fitted on document labels alone, the field finds where a text turns from content to junk."""
+    r = random.Random(7)
+    docs = [(t, y) for _, t, y in corpus(r, 200)]
+    x, sizes = zip(*[quality.line_features(t.encode().split(b"\n"))[:2] for t, _ in docs], strict=True)
+    w = quality.train_lines([np.array(f) for f in x], [np.array(n) for n in sizes], [y for _, y in docs])
+    right = 0
+    for k in range(40):
+        halves = [good(r) for _ in range(4)], [junk(r, k % 3) for _ in range(4)]
+        lines = [*halves[k % 2], *halves[1 - k % 2]]
+        scores = [w[f].sum() + w[quality.N_FEATURES] for f in map(np.array, quality.line_features([a.encode() for a in lines])[0])]
+        right += quality.viterbi(scores, w[-2], w[-1]) == [1 - k % 2] * 4 + [k % 2] * 4
+    assert right >= 38
+
+
+def test_constraints_hold():
+    r = np.random.default_rng(8)
+    for _ in range(50):
+        scores, sizes = r.normal(size=9) * 3, r.integers(1, 50, 9)
+        for good_one in (True, False):
+            y = np.array(quality.constrained(scores, sizes, good_one, 1.0, 1.0))
+            assert (sizes[y == 1].sum() * 2 >= sizes.sum()) == good_one
+        free = quality.viterbi(scores.tolist(), 1.0, 1.0)
+        assert free in [quality.constrained(scores, sizes, g, 1.0, 1.0) for g in (True, False)]
+
+
+def test_the_sample_is_bounded_and_takes_one_text_an_id(spark):
+    rows = corpus(random.Random(9), 60)
+    long = "\n".join(good(random.Random(k)) for k in range(450))
+    docs = [(i, t) for i, t, _ in rows]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(900, 1)], "doc_id long, quality int")
+    once = spark.createDataFrame(docs + [(900, long)], "doc_id long, text string")
+    often = spark.createDataFrame(docs * 3 + [(900, long)] * 5, "doc_id long, text string")
+    assert quality.train(once, labels) == quality.train(often, labels)
+    few = quality.train(once, labels, sample_rows=20)
+    assert few != quality.train(once, labels)
+    assert few == quality.train(once.repartition(7), labels, sample_rows=20)
 
 
 def test_rows_and_columns(docs, no_docs, cases):
