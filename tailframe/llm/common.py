@@ -18,7 +18,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 # bytes.lower() and bytes.split() change and split at exactly the ASCII letters and
 # the six ASCII white space characters, so lower_words() equals WORD on UTF-8.
 
-__all__ = ["WORD", "lower_words", "map_texts", "read_table", "ship", "stored"]
+__all__ = ["WORD", "hot_join", "lower_words", "map_texts", "read_table", "ship", "stored"]
+
+#: A key of more rows than this is hot; the threshold rises with the table so that no more than
+#: MOST_HOT keys are, and they (a key and a number each) can be broadcast.
+HOT_ROWS, MOST_HOT = 1000, 20_000
 
 
 def lower_words(text: str | None) -> list[bytes]:
@@ -62,3 +66,18 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n_carried], *out], names=names)
 
     return df.select(*(F.col(f"`{c}`") for c in needed)).mapInArrow(run, schema)
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, rows: int, by: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row for each key, so that a key of many left rows is spread.
+
+    sizes: (key, n), the left rows of each key; rows: their sum, about. A hot key's left rows are dealt
+    by a hash of the column `by` into parts that the threshold bounds, and its right row gets a copy
+    for each part.
+    """
+    least = max(HOT_ROWS, rows // MOST_HOT)
+    hot = sizes.where(F.col("n") > least).select(F.col(key).alias("_key"), F.ceil(F.col("n") / F.lit(least)).cast("int").alias("_parts"))
+    parts = F.coalesce(F.col("_parts"), F.lit(1))
+    one = left.join(F.broadcast(hot), F.col(key) == F.col("_key"), "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_key", "_parts")
+    each = right.join(F.broadcast(hot), F.col(key) == F.col("_key"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_key", "_parts")
+    return one.join(each, [key, "_part"], how).drop("_part")

@@ -1,8 +1,8 @@
 """Connected components of a distributed edge list.
 
 Every step works on edges only. Hot nodes are safe: minima are taken by aggregates with
-map-side combining, never by gathering the neighbours of a node, and the joins are plain
-equi-joins that adaptive execution can split.
+map-side combining, never by gathering the neighbours of a node, and the edges of a hot node are
+dealt into parts before they meet its minimum.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored
+from .common import hot_join, ship, stored
 
 #: Edges that one local union-find holds.
 LOCAL_EDGES = 200_000
@@ -89,11 +89,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         seen = mark
         # Large star: each neighbour above a node is linked to the smallest one around it.
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = hot_join(both.where("b > a"), least.select("a", "m"), "a", least.select("a", "n"), 2 * mark[0], "b").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: a node's smaller neighbours and itself are linked to the smallest.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = hot_join(large, least.select("a", "m"), "a", least.select("a", "n"), mark[0], "b").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = small.union(least.select("a", F.col("m").alias("b"))).distinct()
         now = stored(small, "edges")
     else:
         raise RuntimeError("components did not settle")

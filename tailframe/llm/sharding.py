@@ -20,6 +20,8 @@ from .common import ship
 ROUNDS = 8
 #: Rows that one bucket of the numbering holds about, and the least number of buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 200_000, 256
+#: Numbers of equal rows that are listed at once.
+RUN_ROWS = 10_000
 
 
 def _mixed(x: np.ndarray, key: int) -> np.ndarray:
@@ -69,25 +71,31 @@ class Permutation:
 
 
 def numbered(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
-    """df with row_number (0 to n - 1), and n. The number depends on the rows' values in the
-    columns `order` alone: rows are dealt to buckets by a hash of them, ordered inside their
-    bucket, and a bucket starts where the ones before it end. No row order of the input, and
-    no sampled range, matters. Rows equal in all of `order` are interchangeable."""
+    """Rows (of the columns `order` alone) with row_number (0 to n - 1), and n. The number depends
+    on the rows' values alone: groups of equal rows are dealt to buckets by a hash of them, ordered
+    inside their bucket, and a bucket starts where the ones before it end. No row order of the
+    input, and no sampled range, matters. Equal rows are interchangeable: they are counted before
+    they are dealt and number themselves from where their group starts, in runs of RUN_ROWS."""
+    groups = df.groupBy(*order).agg(F.count("*").alias("_rows"))
     n = df.count()
     buckets = max(LEAST_BUCKETS, -(-n // BUCKET_ROWS))
-    placed = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    sizes = placed.groupBy("_bucket").agg(F.count("*").alias("_rows"))
+    placed = groups.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    sizes = placed.groupBy("_bucket").agg(F.sum("_rows").alias("_rows"))
     starts = sizes.select("_bucket", F.coalesce(F.sum("_rows").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(W.partitionBy("_bucket").orderBy(*order)) - 1
-    return placed.withColumn("_inside", inside).join(starts, "_bucket").withColumn("row_number", F.col("_start") + F.col("_inside")).drop("_bucket", "_inside", "_start"), n
+    before = W.partitionBy("_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    first = placed.withColumn("_inside", F.coalesce(F.sum("_rows").over(before), F.lit(0))).join(F.broadcast(starts), "_bucket").withColumn("_first", F.col("_start") + F.col("_inside"))
+    last = F.col("_first") + F.col("_rows") - 1
+    runs = first.withColumn("_from", F.explode(F.sequence(F.col("_first"), last, F.lit(RUN_ROWS))))
+    runs = runs.select(*order, "_from", F.least(F.col("_from") + RUN_ROWS - 1, last).alias("_to"))
+    return runs.select(*order, F.explode(F.sequence("_from", "_to")).alias("row_number")), n
 
 
 def shard(df: DataFrame, shards: int = 8, seed: int = 20_240_607, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of df: id_col, size (UTF-8 bytes of the text plus 1), text_crc32
     (unsigned), row_number, shard and slot.
 
-    A null text has no bytes: size 1 and the CRC of the empty string. Ids may be null or
-    repeated: rows are ordered by id, CRC and size, and rows equal in all three differ in
+    A null or empty text has no bytes: size 1 and the CRC of the empty string; texts of any length
+    are read whole. Ids may be null or repeated: rows are ordered by id, CRC and size, and rows equal in all three differ in
     nothing that is returned. Only id and text are read, so other columns can't clash. An
     empty table gives an empty one.
     """

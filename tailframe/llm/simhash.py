@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lower_words, map_texts, ship, stored
+from .common import hot_join, lower_words, map_texts, ship, stored
 from .graph import components, merge_labels
 
 BITS = 64
@@ -199,14 +199,12 @@ def fingerprint(df: DataFrame, words: int = 3, seed: int = 42, text_col: str = "
     return map_texts(df, make, [text_col], [T.StructField("fp", T.LongType())], keep)
 
 
-def _groups(marked: DataFrame, edges: DataFrame) -> DataFrame:
-    """marked: stored id and fp of each row; edges between values of fp. (fp, root, component_id)
+def _groups(fps: DataFrame, edges: DataFrame, rows: int) -> DataFrame:
+    """fps: stored fp, least id and number of rows; edges between values of fp. (fp, root, component_id)
     for each fp."""
-    fps = stored(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    found = components(edges)
-    placed = fps.join(found, fps.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return placed.join(smallest, "root").select("fp", "root", "component_id")
+    placed = stored(fps.join(components(edges), fps.fp == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "placed")
+    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    return hot_join(placed, smallest.select("root", "component_id"), "root", smallest.select("root", "n"), rows, "fp").select("fp", "root", "component_id")
 
 
 def near_duplicates(df: DataFrame, distance: int = 2, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,12 +214,15 @@ def near_duplicates(df: DataFrame, distance: int = 2, words: int = 3, seed: int
     Equal fingerprints (exact copies, repeated rows, all empty or null texts) are linked.
     Null ids are ignored by the minimum: a group without any id has a null component_id.
     Other columns of df aren't read, so their names can't clash. An empty table gives an
-    empty one.
+    empty one. Texts of any length are read whole.
     """
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = stored(fingerprint(own, words, seed, "text", ["id"]), "fingerprints")
-    groups = _groups(marked, link_edges(marked.select("fp").distinct(), Ring(distance)))
-    return marked.join(groups, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps = stored(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct")
+    rows = marked.count()
+    groups = _groups(fps, link_edges(fps.select("fp"), Ring(distance)), rows)
+    numbered = marked.withColumn("_row", F.monotonically_increasing_id())  # of a stored table: the same in every run
+    return hot_join(numbered, groups, "fp", fps.select("fp", "n"), rows, "_row").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: For keep_one(): texts are linked if the Jaccard similarity of their sets of GRAM-word shingles is
@@ -293,7 +294,11 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    # Of a pair, b is the one that may be anywhere; a hub is the a of many pairs.
+    of_a, of_b = (pairs.groupBy(c).agg(F.count("*").alias("n")) for c in ("a", "b"))
+    rows = pairs.count()
+    whole = hot_join(hot_join(pairs, left, "a", of_a, rows, "b"), right, "b", of_b, rows, "a")
+    return whole.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
 def _apart(met: DataFrame) -> DataFrame:
@@ -304,11 +309,15 @@ def _apart(met: DataFrame) -> DataFrame:
         node, label = (np.concatenate([h[i] for h in held]) for i in (0, 1))
         sketch = np.concatenate([h[2] for h in held])
         n, width = sketch.shape
+        # One of two nodes with different labels isn't of the most frequent label.
+        names, of, times = np.unique(label, return_inverse=True, return_counts=True)
+        few = np.flatnonzero(of != np.argmax(times))
         step = max(1, 16_000_000 // (n * width))
-        for i in range(0, n, step):
-            agree = (sketch[i : i + step, None, :] == sketch[None, i:, :]).sum(axis=2)
-            x, y = np.nonzero((agree >= LEAST_AGREEMENT * width) & (label[i : i + step, None] != label[None, i:]))
-            x, y = node[i + x[x < y]], node[i + y[x < y]]
+        for i in range(0, len(few), step):
+            some = few[i : i + step]
+            agree = (sketch[some, None, :] == sketch[None, :, :]).sum(axis=2)
+            x, y = np.nonzero((agree >= LEAST_AGREEMENT * width) & (label[some, None] != label[None, :]))
+            x, y = node[some[x]], node[y]
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
@@ -341,7 +350,9 @@ def keep_one(df: DataFrame, distance: int = 2, words: int = 3, seed: int = 42, i
     First all nodes of a meeting place (an equal band) are checked with its smallest; then, in
     places that the links found don't connect, all other pairs whose ends aren't connected yet.
     The row with the group's smallest id stays. If several rows of a group have that id, or if none
-    has an id, one of them stays."""
+    has an id, one of them stays. All null and empty texts (and those of white space alone) are one
+    group; texts of fewer than GRAM words have one shingle, their whole. Texts of any length are
+    compared whole. An empty table gives an empty one; extra columns of any name stay as they are."""
     from xxhash import xxh64_digest
 
     row = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -359,13 +370,15 @@ def keep_one(df: DataFrame, distance: int = 2, words: int = 3, seed: int = 42, i
 
     fields = [T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
     marked = stored(map_texts(row, make, ["text"], fields, ["row", "id"]).withColumn("place", F.monotonically_increasing_id()), "marked")
-    nodes = stored(marked.groupBy("node").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("fp", "keys", "sketch"))), "nodes")
+    nodes = stored(marked.groupBy("node").agg(F.min("place").alias("place"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("fp", "keys", "sketch"))), "nodes")
+    rows = marked.count()
 
     met = nodes.select("node", F.explode("keys").alias("key"))
-    hubs = met.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
-    met = stored(met.join(hubs, "key"), "met")
-    stands = nodes.groupBy("fp").agg(F.min("node").alias("least"))
-    by_print = nodes.join(stands, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    hubs = met.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("n")).where("hub < last")
+    hubs = stored(hubs, "hubs")
+    met = stored(hot_join(met, hubs.select("key", "hub"), "key", hubs.select("key", "n"), rows, "node"), "met")
+    stands = stored(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "stands")
+    by_print = hot_join(nodes.select("fp", "node"), stands.select("fp", "least"), "fp", stands.select("fp", "n"), rows, "node").select(F.col("least").alias("a"), F.col("node").alias("b"))
     near = link_edges(stands.select("fp"), Ring(distance))
     left, right = (stands.select(F.col("fp").alias(c), F.col("least").alias(f"of_{c}")) for c in ("a", "b"))
     near = near.join(left, "a").join(right, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
@@ -378,12 +391,13 @@ def keep_one(df: DataFrame, distance: int = 2, words: int = 3, seed: int = 42, i
     links = stored(_similar(first, texts), "links")
     found = components(links)
     labelled = met.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))
-    parted = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    second = stored(_apart(labelled.join(parted, "key").join(nodes.select("node", "sketch"), "node")).join(first, ["a", "b"], "left_anti"), "pairs")
+    parted = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high")
+    parted = stored(parted.select("key", "n"), "parted")
+    second = stored(_apart(hot_join(labelled, parted.select("key"), "key", parted, rows, "node").join(nodes.select("node", "sketch"), "node")).join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
         found = components(links.union(_similar(second, texts)))
 
-    of = marked.select("id", "node", "place").join(found, "node", "left").select("id", "place", F.coalesce("root", "node").alias("root"))
+    of = hot_join(marked.select("id", "node", "place"), found, "node", nodes.select("node", "n"), rows, "place", "left").select("id", "place", F.coalesce("root", "node").alias("root"))
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "place"))
     stays = of.groupBy("root").agg(best.alias("best")).select(F.col("best.place").alias("place"))
     return marked.join(stays, "place", "left_semi").select("row.*")
