@@ -230,7 +230,7 @@ def near_duplicates(df: DataFrame, distance: int = 2, words: int = 3, seed: int
 #: a band is equal: with two seeds, at a similarity of 0.8, all but 3 of 100,000 pairs do.
 GRAM, SIMILAR = 5, (4, 5)
 BANDS, ROWS, WIDER_SEEDS = 10, 4, (42, 43)
-#: Pairs whose bytes of the minima agree less than this aren't checked exactly where a hub doesn't
+#: Pairs whose bytes of the minima agree less than this aren't compared exactly where a hub doesn't
 #: connect a meeting place: five standard deviations (of 80 minima) below the similarity asked for.
 LEAST_AGREEMENT = 0.55
 
@@ -301,44 +301,87 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return whole.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def _apart(met: DataFrame) -> DataFrame:
-    """met: key, node, label and sketch (bytes). The pairs of each key's nodes that have different
-    labels and sketches that agree enough."""
-
-    def pairs(held):
-        node, label = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-        sketch = np.concatenate([h[2] for h in held])
-        n, width = sketch.shape
-        # One of two nodes with different labels isn't of the most frequent label.
-        names, of, times = np.unique(label, return_inverse=True, return_counts=True)
-        few = np.flatnonzero(of != np.argmax(times))
-        step = max(1, 16_000_000 // (n * width))
-        for i in range(0, len(few), step):
-            some = few[i : i + step]
-            agree = (sketch[some, None, :] == sketch[None, :, :]).sum(axis=2)
-            x, y = np.nonzero((agree >= LEAST_AGREEMENT * width) & (label[some, None] != label[None, :]))
-            x, y = node[some[x]], node[y]
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+#: Nodes of a side of one comparison in a meeting place that its hub doesn't connect.
+BLOCK_NODES = 256
+
+
+def _between(labelled: DataFrame, texts: DataFrame, rows: int) -> DataFrame:
+    """labelled: key, node, label (of the component) and rows of it; texts: node, text, keys, sketch. Links (a, b)
+    that connect what further links of nodes with a common key would connect.
+
+    Of two nodes with different labels one isn't of the key's most frequent label. So those are
+    compared with all others, block by block, both sides of at most about BLOCK_NODES. Pairs whose
+    sketches agree too little, whose labels are connected by then, or that meet at an earlier key
+    aren't read; the others are compared by their whole sets of shingles, likely ones first."""
+    by_label = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    keys = by_label.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK_NODES)).cast("int")
+    keys = stored(keys.select("key", "n", F.col("top.label").alias("main"), blocks(F.col("n")).alias("all_blocks"), blocks(F.col("n") - F.col("top.n")).alias("few_blocks")), "parted")
+    at = hot_join(labelled, keys.drop("n"), "key", keys.select("key", "n"), rows, "node")
+    of = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    few = at.where("label <> main").select("key", "node", "label", of("few_blocks").alias("i"), each("all_blocks").alias("j"), F.lit(False).alias("right"))
+    every = at.select("key", "node", "label", each("few_blocks").alias("i"), of("all_blocks").alias("j"), F.lit(True).alias("right"))
+    seats = stored(few.union(every), "seats")
+    sizes = seats.groupBy("node").agg(F.count("*").alias("n"))
+    whole = hot_join(seats, texts, "node", sizes, seats.count(), "key")
+
+    def compare(key, table):
+        node, label = (np.array(table[c]) for c in ("node", "label"))
+        keys, sketch, right = np.array(table["keys"]), np.array([np.frombuffer(x, np.uint8) for x in table["sketch"]]), np.array(table["right"])
+        sets: dict[int, np.ndarray] = {}
+
+        def shingles(k):
+            if k not in sets:
+                sets[k] = np.unique(np.frombuffer(b"".join(shingle_digests(table["text"][k], GRAM, 42)), dtype=">u8"))
+            return sets[k]
+
+        parent: dict[int, int] = {}
+
+        def root(x):
+            while (up := parent.get(x, x)) != x:
+                x = up
+            return x
+
+        found, there = [], np.flatnonzero(right)
+        for k in np.flatnonzero(~right):
+            agree = (sketch[there] == sketch[k]).mean(axis=1)
+            same = keys[there] == keys[k]
+            first = keys[k][same.argmax(axis=1)] == key
+            likely = np.flatnonzero((agree >= LEAST_AGREEMENT) & first & (label[there] != label[k]))
+            for j in there[likely[np.argsort(-agree[likely], kind="stable")]]:
+                x, y = root(label[k]), root(label[j])
+                if x == y:
+                    continue
+                a, b = shingles(k), shingles(j)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if both * SIMILAR[1] >= (len(a) + len(b) - both) * SIMILAR[0]:
+                    parent[x] = y
+                    found.append((node[k], node[j]))
+        return found
+
+    names = ["key", "i", "j", "node", "label", "right", "keys", "sketch", "text"]
 
     def run(batches):
-        last, held = None, []
+        last, held = None, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, node, label = (batch.column(i).to_numpy() for i in range(3))
-            sketch = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(len(keys), -1)
-            cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and keys[i] != last:
-                    yield from pairs(held)
-                    held = []
-                last = keys[i]
-                held.append((node[i:j], label[i:j], sketch[i:j]))
-        if held:
-            yield from pairs(held)
+            columns = [c.to_pylist() for c in batch.columns]
+            out = []
+            for row in zip(*columns, strict=True):
+                if row[:3] != last:
+                    if last is not None:
+                        out += compare(last[0], held)
+                    last, held = row[:3], {n: [] for n in names[3:]}
+                for n, v in zip(names[3:], row[3:], strict=True):
+                    held[n].append(v)
+            yield pairs(out)
+        if last is not None:
+            yield pairs(compare(last[0], held))
+
+    def pairs(found):
+        return pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], names=["a", "b"])
 
-    return met.select("key", "node", "label", "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    return whole.select(*names).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(run, "a long, b long")
 
 
 def keep_one(df: DataFrame, distance: int = 2, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", wider_seeds: tuple[int, ...] = WIDER_SEEDS) -> DataFrame:
@@ -347,8 +390,8 @@ def keep_one(df: DataFrame, distance: int = 2, words: int = 3, seed: int = 42, i
     are linked as in near_duplicates(), or if one of the bands of minima of wider_seeds is equal.
     A candidate is a link only if the exact five-word similarity is SIMILAR or more.
 
-    First all nodes of a meeting place (an equal band) are checked with its smallest; then, in
-    places that the links found don't connect, all other pairs whose ends aren't connected yet.
+    First all nodes of a meeting place (an equal band) are checked with its hub; then, in places that
+    the links found don't connect, the pairs whose ends aren't connected yet.
     The row with the group's smallest id stays. If several rows of a group have that id, or if none
     has an id, one of them stays. All null and empty texts (and those of white space alone) are one
     group; texts of fewer than GRAM words have one shingle, their whole. Texts of any length are
@@ -374,7 +417,8 @@ def keep_one(df: DataFrame, distance: int = 2, words: int = 3, seed: int = 42, i
     rows = marked.count()
 
     met = nodes.select("node", F.explode("keys").alias("key"))
-    hubs = met.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("n")).where("hub < last")
+    hub = F.min(F.struct(F.xxhash64("node", "key"), "node"))["node"]  # another one for each key, so that nodes meet many
+    hubs = met.groupBy("key").agg(hub.alias("hub"), F.count("*").alias("n")).where("n > 1")
     hubs = stored(hubs, "hubs")
     met = stored(hot_join(met, hubs.select("key", "hub"), "key", hubs.select("key", "n"), rows, "node"), "met")
     stands = stored(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "stands")
@@ -386,16 +430,14 @@ def keep_one(df: DataFrame, distance: int = 2, words: int = 3, seed: int = 42, i
     first = stored(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
     asked = met.select("node").union(first.select("a")).union(first.select("b")).distinct()
-    asked = nodes.select("node", "place").join(asked, "node")
-    texts = stored(marked.select("place", F.col(f"row.`{text_col}`").alias("text")).join(asked, "place").select("node", "text"), "texts")
+    asked = nodes.select("node", "place", "keys", "sketch").join(asked, "node")
+    texts = stored(marked.select("place", F.col(f"row.`{text_col}`").alias("text")).join(asked, "place").select("node", "text", "keys", "sketch"), "texts")
     links = stored(_similar(first, texts), "links")
     found = components(links)
     labelled = met.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))
-    parted = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high")
-    parted = stored(parted.select("key", "n"), "parted")
-    second = stored(_apart(hot_join(labelled, parted.select("key"), "key", parted, rows, "node").join(nodes.select("node", "sketch"), "node")).join(first, ["a", "b"], "left_anti"), "pairs")
+    second = stored(_between(labelled, texts, rows), "links")
     if not second.isEmpty():
-        found = components(links.union(_similar(second, texts)))
+        found = components(links.union(second))
 
     of = hot_join(marked.select("id", "node", "place"), found, "node", nodes.select("node", "n"), rows, "place", "left").select("id", "place", F.coalesce("root", "node").alias("root"))
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "place"))

@@ -116,10 +116,30 @@ def test_links_are_those_of_the_exact_similarity(spark):
     assert {x.doc_id for x in simhash.keep_one(table).collect()} == want
 
 
-def test_places_that_the_smallest_does_not_connect(spark):
-    met = [(1, 5, 5, b"a" * 80), (1, 6, 6, b"a" * 80), (1, 7, 6, b"a" * 80), (1, 8, 8, b"b" * 80), (2, 8, 8, b"b" * 80), (2, 9, 9, b"b" * 40 + b"c" * 40)]
-    got = simhash._apart(spark.createDataFrame(met, "key long, node long, label long, sketch binary")).collect()
-    assert sorted((x.a, x.b) for x in got) == [(5, 6), (5, 7)]
+def test_places_that_the_hub_does_not_connect(spark, monkeypatch):
+    """All links between texts of one meeting place, some of them labelled already, against all pairs."""
+    monkeypatch.setattr(simhash, "BLOCK_NODES", 8)
+    r = random.Random(23)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for _ in range(60):
+        words = list(base)
+        for _ in range(r.randrange(1, 5)):
+            words[r.randrange(120)] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    least = simhash.minima(texts)
+    keys, sketch = simhash.bands(least), least.astype(np.uint8)
+    sets = [set(simhash.shingle_digests(t, 5, 42)) for t in texts]
+    links = [(i, j) for i in range(60) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and set(keys[i]) & set(keys[j])]
+    label = [k if k % 3 else 0 for k in range(60)]
+    labelled = [(int(b), k, label[k]) for k in range(60) for b in keys[k] if (keys == b).any(axis=1).sum() > 1]
+    rows = [(k, texts[k], [int(b) for b in keys[k]], sketch[k].tobytes()) for k in range(60)]
+    got = simhash._between(spark.createDataFrame(labelled, "key long, node long, label long"), spark.createDataFrame(rows, "node long, text string, keys array<long>, sketch binary"), 60).collect()
+    same = [(k, 0) for k in range(0, 60, 3)]
+    roots = lambda pairs: dict(forest(pairs))
+    assert {tuple(sorted(p)) for p in got} <= {tuple(sorted(p)) for p in links}
+    assert roots([*same, *(tuple(p) for p in got)]) == roots([*same, *links])
+    assert roots([*same, *links]) != roots(same)
 
 
 def test_blocks_of_long_texts(monkeypatch):
