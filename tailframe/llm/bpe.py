@@ -35,6 +35,21 @@ def printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def check_supported(spec: dict) -> None:
+    """Raises ValueError if a vocabulary file (tokenizers JSON) asks for anything that Codec doesn't do."""
+    model, before, decoder = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+    asked = {
+        "model": model.get("type") != "BPE",
+        "normalizer": spec.get("normalizer") is not None,
+        "pre_tokenizer": before.get("type") != "ByteLevel" or before.get("add_prefix_space", True) or not before.get("use_regex", True),
+        "decoder": decoder.get("type") != "ByteLevel",
+        **{k: bool(model.get(k)) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")},
+        **{f"added token with {k}": any(t.get(k) for t in spec.get("added_tokens", [])) for k in ("lstrip", "rstrip", "single_word", "normalized")},
+    }
+    if other := [k for k, v in asked.items() if v]:
+        raise ValueError(f"the vocabulary file asks for what this codec doesn't do: {', '.join(other)}")
+
+
 class Codec:
     """Encodes and decodes as the vocabulary file (tokenizers JSON) says.
 
@@ -46,6 +61,7 @@ class Codec:
     def __init__(self, path: str, cache_words: int = 200_000, young_words: int = 60_000, longest_cached: int = 64, most_seams: int = 500_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_supported(spec)
         to_byte = printable_bytes()
         raw = lambda s: bytes(to_byte[c] for c in s)
         vocab = spec["model"]["vocab"]
@@ -178,7 +194,7 @@ FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayT
 def encode(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """df with n_tokens and ids for each row. A null text counts as empty: no ids. Input
     columns named n_tokens or ids are replaced. Rows are independent: repeats and ties give
-    equal results; an empty table gives an empty one."""
+    equal results; an empty table gives an empty one. Texts of any length are encoded whole."""
 
     def make():
         codec = codec_of(path)
@@ -194,7 +210,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | N
 
 def round_trip(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
     """df with n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the
-    text decoded from the ids, in UTF-8) and, if asked for, ids. Nulls and clashes as in encode()."""
+    text decoded from the ids, in UTF-8) and, if asked for, ids. Nulls, long texts and clashes as in encode()."""
 
     def make():
         codec = codec_of(path)

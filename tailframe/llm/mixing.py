@@ -110,7 +110,9 @@ def mix(
 
 def mixed_rows(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = 1.5, most: int = 2, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The mix itself: each row of df as often as mix() takes it, with df's columns and no other.
-    Rows aren't shuffled for it: a row's copies follow from its own id and its source's cut."""
+    Rows aren't shuffled for it: a row's copies follow from its own id and its source's cut. Null texts
+    have size 0, null is a source of its own, rows of one id share their fate, texts of any length are
+    read whole, columns of any name stay as they are, and an empty table gives an empty one."""
     row = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
     keyed = row.withColumn("source", F.col(f"row.`{source_col}`").cast("string")).withColumn("h", place(F.col(f"row.`{id_col}`"), seed))
     sized = stored(keyed.select("source", word_count(F.col(f"row.`{text_col}`")).alias("size"), "h"), "sizes")

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import pytest
@@ -75,3 +76,14 @@ def test_empty_tables(no_docs):
     assert tokencount.count_tokens(no_docs, PATH).count() == 0
     assert bpe.round_trip(no_docs, PATH).count() == 0
     assert bpe.encode(no_docs, PATH).count() == 0
+
+
+def test_other_vocabulary_files_are_refused(tmp_path):
+    with pytest.raises(ValueError, match="normalizer, pre_tokenizer, decoder, end_of_word_suffix"):
+        bpe.Codec(tokenizer_path("word_bpe_49k.json"))
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"][0]["lstrip"] = True
+    spec["model"]["ignore_merges"] = True
+    with pytest.raises(ValueError, match="ignore_merges, added token with lstrip"):
+        bpe.check_supported(spec)

@@ -1,8 +1,12 @@
 import random
+import time
 
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
+from tailframe.llm import urlfilter
 from tailframe.llm.urlfilter import RULES, Rule, UrlTrie, judge_urls, oracle, split_url
 
 URLS = [None, "", "no scheme", "://", "http://", "http://COM/en/x", "https://a.Example.com/en/7?x", "https://a.example.com/en/6", "http://example.com/en", "http://example.com/en/", "http://xcom/en/1", "http://x.com?/en/1", "http://x.com#/en/1", "ftp://a.b.example.net/de/8/9", "http://net/de/", "http://example.net.org/es/1", "http://org/es", "http://u@a.org:80/es/2", "http://a.org/es/2\nx", "http://a.org/en/://b.com/en/", "x://y://com/en/1", "http://é.com/en/ü"]
@@ -49,3 +53,29 @@ def test_size_is_checked_and_empty_tables_pass(spark):
     with pytest.raises(ValueError, match="too long"):
         UrlTrie([Rule("block", "a" * 65_000_000, "")])
     assert judge_urls(spark.createDataFrame([], "page_id long, url string"), RULES).count() == 0
+
+
+def test_long_lists_are_joined(spark, monkeypatch):
+    """The join gives what the trie gives, also for hosts that most urls and rules have."""
+    r = random.Random(31)
+    host = lambda: ".".join(r.choice(["a", "b", "com", "B"]) for _ in range(r.randrange(1, 4)))
+    path = lambda: "".join("/" + r.choice(["", "x", "xy", "en", "e"]) for _ in range(r.randrange(0, 4)))
+    rules = [urlfilter.Rule(r.choice(["allow", "block"]), host().lower(), path()) for _ in range(80)]
+    urls = [(k, r.choice([f"http://{host()}{path()}?q", f"x://com{path()}", None, "no", ""])) for k in range(300)] + [(300, "http://com/" + "x" * 100_000)]
+    df = spark.createDataFrame(urls, "page_id long, url string").withColumn("Rule", F.lit(1))
+    want = sorted(map(str, urlfilter.judge_urls(df, rules, keep=["page_id"]).collect()))
+    monkeypatch.setattr(urlfilter, "MAX_RULES", 5)
+    got = urlfilter.judge_urls(df, rules, keep=["page_id"])
+    assert sorted(map(str, got.collect())) == want
+    assert "Rule" not in urlfilter.judge_urls(df, rules).columns
+    assert urlfilter.judge_urls(df.limit(0), rules).count() == 0
+
+
+def test_many_rules_of_one_host():
+    rules = [urlfilter.Rule("block", "a.b", f"/p{k}") for k in range(100_000)] + [urlfilter.Rule("allow", "a.b", "/p77777x")]
+    trie = urlfilter.UrlTrie(rules)
+    began = time.perf_counter()
+    for k in range(2000):
+        assert trie.match("www.a.b", f"/p{k}/q").path == f"/p{k}"
+    assert trie.match("a.b", "/p77777xy").verdict == "allow"
+    assert time.perf_counter() - began < 2
