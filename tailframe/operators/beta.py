@@ -20,8 +20,9 @@ def align(asset: DataFrame, benchmark: DataFrame, time: str = "d") -> DataFrame:
 
 
 def regression(aligned: DataFrame, by=BY, p_values: bool = True) -> DataFrame:
-    """Moment and least-squares beta, which are the same estimator, and their statistics. All
-    are NULL for fewer than 2 rows or a benchmark that doesn't vary."""
+    """Beta by two routes, from the moments and by Spark's least squares, and its statistics. The two
+    are the same estimator, so routes_agree says whether they came out the same (to 1e-8). All are
+    NULL for fewer than 2 rows or a benchmark that doesn't vary."""
     m = aligned.groupBy(*by).agg(
         F.count("*").alias("n_observations"),
         F.covar_samp("r", "b").alias("c"),
@@ -29,17 +30,20 @@ def regression(aligned: DataFrame, by=BY, p_values: bool = True) -> DataFrame:
         F.var_samp("r").alias("vr"),
         F.avg("r").alias("mr"),
         F.avg("b").alias("mb"),
+        F.regr_slope("r", "b").alias("ls"),
     )
     n = F.col("n_observations")
     usable = (n >= 2) & (F.col("vb") > 0)
     slope = F.when(usable, F.col("c") / F.nullif("vb", F.lit(0.0)))
+    least_squares = F.when(usable, F.col("ls"))
     r2 = F.when(usable, F.when(F.col("vr") > 0, F.col("c") * F.col("c") / F.nullif(F.col("vb") * F.col("vr"), F.lit(0.0))).otherwise(F.lit(0.0)))
     rest = F.greatest(F.col("vr") - slope * F.col("c"), F.lit(0.0))
     se = F.when(usable & (n > 2), F.sqrt(rest / F.col("vb") / (n - 2)))
     out = m.select(
         *by,
         slope.alias("beta_moments"),
-        slope.alias("beta_regression"),
+        least_squares.alias("beta_regression"),
+        (F.abs(slope - least_squares) <= 1e-8 * F.greatest(F.abs(slope), F.lit(1.0))).alias("routes_agree"),
         (F.col("mr") - slope * F.col("mb")).alias("alpha"),
         r2.alias("r_squared"),
         (F.signum(F.col("c")) * F.sqrt(r2)).alias("correlation"),

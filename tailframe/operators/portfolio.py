@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tailframe.functions.columns import dbl, loss, messages, present
 from tailframe.plans import settings as S
 from tailframe.plans.shipping import ship
+from tailframe.plans.storage import stored
 
 from .drawdown import curve_drawdown
 
@@ -136,8 +137,8 @@ def same_bets(pairs: DataFrame) -> DataFrame:
 
 def analyse(returns: DataFrame, weights: DataFrame, risk_free: float = 0.0, already_simple: bool = False, time: str = "d") -> DataFrame:
     """One row a portfolio, with its members' contributions and its warnings nested."""
-    panel = aligned(returns, weights, S.MIN_OVERLAP, already_simple, time)
-    pairs = covariance_pairs(panel, time)
+    panel = stored(aligned(returns, weights, S.MIN_OVERLAP, already_simple, time), "panel")  # read six times below
+    pairs = stored(covariance_pairs(panel, time), "pairs")
     each = contributions(pairs)
     members = each.groupBy(P).agg(F.array_sort(F.collect_list(F.struct(SID, "w", "own_volatility", "marginal", "contribution", "share"))).alias("members"), F.count_if(F.col("contribution") < 0).alias("_hedges"), F.count_if(F.col("w") < 0).alias("_shorts"))
     bets = same_bets(pairs).groupBy(P).agg(F.array_sort(F.collect_list(F.struct("i", "j", "corr"))).alias("same_bets"))

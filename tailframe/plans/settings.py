@@ -6,9 +6,7 @@ WEEK_DAYS, MONTH_DAYS = 5, 21
 MIN_OBSERVATIONS = 30
 STALE_AFTER_HOURS = 24
 GAP_DAYS, EXTREME_MOVE, SPARSE_GAP_DAYS = 7, 0.30, 4
-ROLLING_WINDOWS, ROLLING_WINDOW = (20, 60, 120, 252), 60
-CONFIDENCES, CONFIDENCE = (0.95, 0.99), 0.95
-HORIZONS = (1, 5, 10, 20)
+ROLLING_WINDOW, CONFIDENCE = 60, 0.95
 REGIME_HIGH, REGIME_LOW, SPIKE_MULTIPLE = 1.75, 0.6, 1.75
 EPISODE_DEPTH, PEAK_TOLERANCE, DRAWDOWN_TOLERANCE = 0.10, 1e-12, -1e-9
 BOOTSTRAP_SAMPLES, SEED, MIN_TAIL, EDGE_RATIO = 2000, 20250820, 5, 0.9

@@ -226,11 +226,12 @@ def aligned_with_benchmark(spark, folder):
 REG = f"WITH {ALIGNED}, q AS (SELECT series_id, count(*) AS n, covar_samp(r, b) / var_samp(b) AS beta, regr_slope(r, b) AS sl, regr_intercept(r, b) AS a, corr(r, b) AS cr, regr_r2(r, b) AS r2, var_samp(r) AS vr, var_samp(b) AS vb FROM al GROUP BY 1)"
 
 
-@query(f"{REG} SELECT series_id, round(beta, 6) AS beta_moments, round(sl, 6) AS beta_regression, round(a, 7) AS alpha, round(r2, 6) AS r_squared, round(cr, 6) AS correlation, round(sqrt((vr - sl * sl * vb) / vb / (n - 2)), 7) AS standard_error, round(sl / sqrt((vr - sl * sl * vb) / vb / (n - 2)), 4) AS t_statistic, n AS n_observations FROM q")
+@query(f"{REG} SELECT series_id, round(beta, 6) AS beta_moments, round(sl, 6) AS beta_regression, round(a, 7) AS alpha, round(r2, 6) AS r_squared, round(cr, 6) AS correlation, round(sqrt((vr - sl * sl * vb) / vb / (n - 2)), 7) AS standard_error, round(sl / sqrt((vr - sl * sl * vb) / vb / (n - 2)), 4) AS t_statistic, n AS n_observations, abs(beta - sl) <= 1e-8 * greatest(abs(beta), 1) AS routes_agree FROM q")
 def beta_ols(spark, folder):
     r = beta.regression(aligned_with_benchmark(spark, folder), p_values=False)
-    digits = {"alpha": 7, "standard_error": 7, "t_statistic": 4, "n_observations": 0}
-    return r.select("series_id", *(F.round(c, digits.get(c, 6)).alias(c) if c != "n_observations" else F.col(c) for c in r.columns if c not in ("series_id", "confidence")))
+    digits = {"alpha": 7, "standard_error": 7, "t_statistic": 4}
+    whole = ("series_id", "n_observations", "routes_agree")
+    return r.select(*whole, *(F.round(c, digits.get(c, 6)).alias(c) for c in r.columns if c not in (*whole, "confidence")))
 
 
 @query(f"{REG} SELECT series_id, CASE WHEN n < 30 THEN 'low' WHEN r2 >= 0.30 THEN 'high' WHEN r2 >= 0.10 THEN 'medium' ELSE 'low' END AS confidence FROM q")
@@ -376,6 +377,14 @@ def breaches(spark, folder):
     return rounded(scored(spark, folder).where("is_breach = 1").select("series_id", "d", "realised_loss", "var", "excess"))
 
 
+@query(ORACLES["breaches"])
+def breaches_joined(spark, folder):
+    """The same for estimates that come as a table of their own."""
+    r = line_returns(spark, folder)
+    found = tail.breaches(r, tail.rolling_historical_var(r, 252).select("series_id", "d", "var"))
+    return rounded(found.where("is_breach = 1").select("series_id", "d", "realised_loss", "var", "excess"))
+
+
 @query(f"WITH {HITS} SELECT series_id, count(*) AS n_days, sum(b)::BIGINT AS n_breaches, round(avg(b), 8) AS observed_rate FROM hit GROUP BY 1")
 def breach_rate(spark, folder):
     return rounded(tail.breach_rate(scored(spark, folder)))
@@ -533,10 +542,10 @@ def sharpe_sortino(spark, folder):
 
 
 @query(
-    f"WITH {PANEL}, {DAILY}, c AS (SELECT portfolio_id, d, product(1 + r) OVER (PARTITION BY portfolio_id ORDER BY d ROWS UNBOUNDED PRECEDING) AS l FROM dy), k AS (SELECT *, l / max(l) OVER (PARTITION BY portfolio_id ORDER BY d ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM c) SELECT portfolio_id, round(min(dd), 6) AS max_drawdown FROM k WHERE portfolio_id = 'P1' GROUP BY 1"
+    f"WITH {PANEL}, {DAILY}, c AS (SELECT portfolio_id, d, product(1 + r) OVER (PARTITION BY portfolio_id ORDER BY d ROWS UNBOUNDED PRECEDING) AS l FROM dy), k AS (SELECT *, l / max(l) OVER (PARTITION BY portfolio_id ORDER BY d ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM c) SELECT portfolio_id, round(min(dd), 6) AS max_drawdown FROM k GROUP BY 1"
 )
 def portfolio_max_drawdown(spark, folder):
-    return rounded(portfolio.ratios(panel(spark, folder)).where("portfolio_id = 'P1'").select("portfolio_id", "max_drawdown"), 6)
+    return rounded(portfolio.ratios(panel(spark, folder)).select("portfolio_id", "max_drawdown"), 6)
 
 
 @query(f"WITH {PANEL}, {DAILY} SELECT portfolio_id AS series_id, d, round(ln(1 + r), 7) AS r FROM dy WHERE r > -1")
@@ -694,19 +703,25 @@ def market_score(spark, folder):
     return m.select("series_id", *(F.round(c, digits.get(c, 7)).alias(c) for c in ("volatility", "var_99", "max_drawdown", "beta", "market_score")), "beta_confidence", "regime")
 
 
+def entity_of(series):
+    """The three series stand for entities: 5 has annual ratios and a valuation, 0 has no valuation, 30 no ratios."""
+    return F.when(series == "A", "5").when(series == "N", "0").otherwise("30")
+
+
+def valued(spark, folder):
+    """The suppliers' valuations, for entities that count from 2."""
+    return assessed(spark, folder).withColumn("entity", (F.col("entity").cast("int") + 2).cast("string"))
+
+
 def composed(spark, folder):
-    """The three series stand for entities 1, 2 and 3: the first has everything, the second no
-    valuation, the third no annual ratios."""
-    key = F.when(F.col("series_id") == "A", "1").when(F.col("series_id") == "N", "2").otherwise("3")
-    m = market(spark, folder).withColumn("entity", key)
-    f = fundamentals(spark, folder).where("entity IN ('1', '2')")
-    v = assessed(spark, folder).where("entity IN ('1', '3')")
-    return scorecard.compose(m, f, v)
+    m = market(spark, folder).withColumn("entity", entity_of(F.col("series_id")))
+    return scorecard.compose(m, fundamentals(spark, folder), valued(spark, folder))
 
 
+DIMENSIONS = [("market", "mscore", 0.40), ("fundamental", "fscore", 0.30), ("valuation", "vscore", 0.30)]
 COMPOSE = (
-    f"{MARKET}, {FUND}, {SUP}, {SENS}, {VSCORE}, mc AS (SELECT *, CASE series_id WHEN 'A' THEN '1' WHEN 'N' THEN '2' ELSE '3' END AS entity FROM mk), "
-    "al3 AS (SELECT mc.entity, mscore, volatility, regime, fx.entity AS fe, fx.overall_risk AS fscore, fx.deterioration_risk AS det, vv.entity AS ve, vv.vscore, vv.tshare, coalesce(abs(vv.wsens) > 0.05, false) AS frag FROM mc LEFT JOIN (SELECT * FROM fu WHERE entity IN ('1', '2')) fx ON mc.entity = fx.entity LEFT JOIN (SELECT * FROM vx WHERE entity IN ('1', '3')) vv ON mc.entity = vv.entity), "
+    f"{MARKET}, {FUND}, {SUP}, {SENS}, {VSCORE}, mc AS (SELECT *, CASE series_id WHEN 'A' THEN '5' WHEN 'N' THEN '0' ELSE '30' END AS entity FROM mk), "
+    "al3 AS (SELECT mc.entity, mscore, volatility, regime, fx.entity AS fe, fx.overall_risk AS fscore, fx.deterioration_risk AS det, vv.entity AS ve, vv.vscore, vv.tshare, coalesce(abs(vv.wsens) > 0.05, false) AS frag FROM mc LEFT JOIN fu fx ON mc.entity = fx.entity LEFT JOIN (SELECT * REPLACE (CAST(CAST(entity AS INT) + 2 AS VARCHAR) AS entity) FROM vx) vv ON mc.entity = vv.entity), "
     f"ov AS (SELECT *, {weighted_of([('mscore', 0.40), ('fscore', 0.30), ('vscore', 0.30)])} AS overall, fscore - {sc('volatility', 0.15, 0.55)} AS gp FROM al3)"
 )
 
@@ -724,10 +739,19 @@ def divergences(spark, folder):
     return composed(spark, folder).select("entity", F.explode("divergences").alias("v")).select("entity", "v.kind", "v.severity")
 
 
-@query()
+USED = "concat_ws(',', " + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN printf('{k}:%.5f', {w!r}::DOUBLE / ({' + '.join(f'CASE WHEN {x} IS NULL THEN 0 ELSE {y!r}::DOUBLE END' for _, x, y in DIMENSIONS)})) END" for k, c, w in DIMENSIONS) + ")"
+
+
+@query(
+    f"WITH {COMPOSE} SELECT entity, round(overall, 5) AS overall, {RATING('overall')} AS rating, {USED} AS weights_used, concat_ws(',', CASE WHEN fe IS NULL THEN 'fundamental' END, CASE WHEN ve IS NULL THEN 'valuation' END) AS excluded, "
+    "concat_ws(',', CASE WHEN fe IS NOT NULL AND gp > 25 THEN 'fundamental_vs_market:critical' WHEN fe IS NOT NULL AND gp < -25 THEN 'fundamental_vs_market:note' END, CASE WHEN ve IS NOT NULL AND frag AND regime = 'elevated' THEN 'valuation_vs_regime:elevated' END, CASE WHEN det > 50 AND tshare > 0.7 THEN 'deteriorating_vs_terminal:elevated' END) AS divergences FROM ov"
+)
 def composite_assessment(spark, folder):
-    c = composite.assess(panels.line_prices(spark, folder), panels.benchmark_prices(spark, folder))
-    return c.select("entity", "overall", "rating", "weights_used", "excluded_dimensions", "divergences")
+    prices = panels.line_prices(spark, folder).withColumn("series_id", entity_of(F.col("series_id")))
+    c = composite.assess(prices, panels.benchmark_prices(spark, folder), panels.nation_ratios(spark, folder), valued(spark, folder))
+    used = F.array_join(F.transform(F.map_entries("weights_used"), lambda e: F.format_string("%s:%.5f", e["key"], e["value"])), ",")
+    found = F.array_join(F.transform("divergences", lambda v: F.concat_ws(":", v["kind"], v["severity"])), ",")
+    return c.select("entity", F.round("overall", 5).alias("overall"), "rating", used.alias("weights_used"), F.array_join("excluded_dimensions", ",").alias("excluded"), found.alias("divergences"))
 
 
 @query(

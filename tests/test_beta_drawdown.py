@@ -24,7 +24,7 @@ def test_regression_against_numpy(spark):
     assert (r.standard_error, r.t_statistic) == pytest.approx((se, slope / se), rel=1e-8)
     assert r.r_squared == pytest.approx(np.corrcoef(asset, bench)[0, 1] ** 2)
     assert abs(r.beta_regression - 1.8) < 0.1
-    assert (r.confidence, r.is_significant) == ("high", True)
+    assert (r.confidence, r.is_significant, r.routes_agree) == ("high", True, True)
     assert r.p_value < 1e-10
 
 

@@ -67,6 +67,25 @@ def test_garch_recovers_its_parameters(fits):
     assert one(fits[2]).nu > 10  # the shocks are normal
 
 
+def test_slopes_are_derivatives():
+    x = garch_returns(600) * 100
+    for p in ((0.02, 0.03, 0.1, 0.85, 6.0), (0.1, 0.5, 0.2, 0.3), (-0.2, 0.01, 0.01, 0.98, 2.3)):
+        for k, slope in enumerate(fit.garch_slope(x, p)):
+            h = 1e-5 * max(abs(p[k]), 1e-2)
+            up, down = ([*p[:k], p[k] + d, *p[k + 1 :]] for d in (h, -h))
+            assert slope == pytest.approx((fit.garch_likelihood(x, tuple(up)) - fit.garch_likelihood(x, tuple(down))) / (2 * h), rel=1e-5, abs=1e-4)
+
+
+def test_sums_by_doubling():
+    u = np.random.default_rng(1).normal(size=300)
+    for beta in (0.0, 0.3, 0.99, 1.0):
+        y, want = 0.0, []
+        for v in u:
+            y = v + beta * y
+            want.append(y)
+        assert fit.decayed_sums(u, beta) == pytest.approx(np.array(want), rel=1e-9, abs=1e-12)
+
+
 def test_short_series_have_a_reason(fits):
     f = one(fits[1], series_id="S")
     assert (f.omega, f.reason) == (None, f"fewer than {S.GARCH_MIN} returns")
