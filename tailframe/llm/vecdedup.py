@@ -22,10 +22,13 @@ from pyspark.sql import functions as F
 from .common import ship, stored
 from .graph import components, merge_labels
 
-#: Vectors on which centroids are fitted, about, and the most centroids.
-SAMPLE_ROWS, MOST_CELLS = 20_000, 1024
-#: Vectors of a label for each cell, about, and vectors in a block, at most about.
-CELL_ROWS, BLOCK_ROWS = 512, 2048
+#: Vectors on which centroids are fitted: so many for each cell, and so many at least (about).
+SAMPLE_A_CELL, SAMPLE_ROWS = 16, 20_000
+#: Cells grow with the largest label: one for each CELL_ROWS of its vectors, but no more than twice the
+#: root of their number, where placing costs as much as comparing does, and MOST_CELLS.
+CELL_ROWS, MOST_CELLS = 512, 8192
+#: Vectors in a block, at most about.
+BLOCK_ROWS = 2048
 #: Slack on the bound, far above rounding errors.
 EPS = 1e-9
 
@@ -58,8 +61,11 @@ def places(x: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray,
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows in double precision, each scaled by a power of two (which changes no digit) so that its
+    largest component is near 1: squares neither overflow nor vanish, and cosines stay the same."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None]) if dim else x
 
 
 def _compare(left: np.ndarray, right: np.ndarray | None, threshold: float) -> np.ndarray:
@@ -85,7 +91,8 @@ def near_duplicates(
     in double precision, is at least the threshold. A vector that is null, empty, zero or
     holds null or non-finite components links with nothing, and neither do vectors of
     unequal length. Repeated rows are rows of their own, linked with each other. Ids may
-    repeat; null ids are ignored by the minimum. Other columns aren't read, so their names
+    repeat; null ids are ignored by the minimum. Components of any size are compared without
+    overflow. Vectors of any length are read whole. Other columns aren't read, so their names
     can't clash. An empty table gives an empty one.
     """
     spark = df.sparkSession
@@ -105,11 +112,11 @@ def near_duplicates(
     largest = distinct.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
     dims = distinct.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     dim = dims["dim"] if dims else 0
-    cells = int(min(MOST_CELLS, max(1, -(-largest // CELL_ROWS))))
+    cells = int(min(MOST_CELLS, max(1, -(-largest // CELL_ROWS)), 1 + 2 * int(largest**0.5)))
     if cells > 1:
         # A slice of the hash's range: as good as random, the same in every run, and no top-k of
         # vectors that one task would have to merge.
-        share = min(1 << 20, (SAMPLE_ROWS << 20) // dims["count"] + 1)
+        share = min(1 << 20, (max(SAMPLE_ROWS, SAMPLE_A_CELL * cells) << 20) // dims["count"] + 1)
         sample = distinct.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("label", "v"), F.lit(1 << 20)) < share)).select("v").toArrow()
         x = _matrix(sample.column("v"), dim)
         centroids = spherical_kmeans(x / np.linalg.norm(x, axis=1)[:, None], cells)

@@ -86,3 +86,11 @@ def test_empty_and_all_invalid(spark):
     assert vecdedup.near_duplicates(frame(spark, table()[:1]).limit(0)).count() == 0
     got = vecdedup.near_duplicates(frame(spark, [(1, None, 3), (2, [0.0], 3)])).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 0, 1, True), (2, 0, 2, True)]
+
+
+def test_extreme_components(spark):
+    """Directions count, however large or small the components."""
+    scales = [1.0, 1e200, 1e-200, 5e-324 * 2**20, 1e308]
+    rows = [(k, [a * 0.6, a * -0.8, 0.0], 1) for k, a in enumerate(scales)] + [(9, [0.8e200, 0.6e200, 0.0], 1), (10, [0.0, 0.0, 0.0], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vecdedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {**dict.fromkeys(range(5), (4, 0)), 9: (0, 9), 10: (0, 10)}
