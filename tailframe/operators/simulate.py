@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from tailframe.functions.columns import dbl, loss, present
 from tailframe.plans import settings as S
 
-from .fit import _keys, _schema, fit_t
+from .fit import _keys, _schema, degrees_of_freedom, fit_t
 from .frames import BY
-from .tail import check, tail_count, tail_severity
+from .tail import check, ranked, tail_count, tail_severity
 
 DRAWS = ("bootstrap", "normal", "t")
 
@@ -120,15 +120,23 @@ def convergence(returns: DataFrame, sizes=(500, 1000, 2500, 5000, 10_000, 25_000
 
 def hashed_paths(returns: DataFrame, paths: int = S.PATHS, days: int = 1, draw: str = "bootstrap", seed: int = S.SEED, by=BY) -> DataFrame:
     """by, path, total: simulated log returns, drawn in the JVM. Each series' values travel once, as
-    an array, and are then exploded into paths; nothing depends on the order of rows."""
-    if draw not in ("bootstrap", "normal"):
+    an array, and are then exploded into paths; nothing depends on the order of rows. Student-t
+    draws use the fitted degrees of freedom and Bailey's polar form of two uniforms, scaled to
+    the deviation of the series; series of fewer than eight returns have none."""
+    if draw not in DRAWS:
         raise ValueError(f"unknown draw: {draw!r}")
     r = returns.where(present("r"))
     s = r.groupBy(*by).agg(F.array_sort(F.collect_list("r")).alias("x"), F.avg("r").alias("m"), F.stddev_samp("r").alias("sd")).where(F.size("x") > 1)
+    if draw == "t":
+        s = s.join(degrees_of_freedom(returns, by).where("dof IS NOT NULL"), list(by))
     s = s.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1))))
     unit = lambda salt, day: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("path"), day), F.lit(1 << 52)).cast("double") + 0.5) / dbl(1 << 52)
     if draw == "bootstrap":
         one = lambda day: F.element_at("x", (F.floor(unit(0, day) * F.size("x")) + 1).cast("int"))
+    elif draw == "t":
+        v = F.col("dof")
+        radius = lambda day: F.sqrt(v * (F.pow(unit(1, day), -2 / v) - 1))
+        one = lambda day: F.col("m") + F.col("sd") * F.sqrt((v - 2) / v) * radius(day) * F.cos(unit(2, day) * dbl(2 * math.pi))
     else:
         one = lambda day: F.col("m") + F.col("sd") * F.sqrt(-2 * F.ln(unit(1, day))) * F.cos(unit(2, day) * dbl(2 * math.pi))
     total = F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(days)), one), dbl(0), lambda a, v: a + v)
@@ -157,6 +165,20 @@ def subadditivity_demo(n: int = 100_000, seed: int = 1234, confidence: float = 0
     return {"var_a": var[0], "var_b": var[1], "var_sum": var[2], "es_a": es[0], "es_b": es[1], "es_sum": es[2], "var_is_subadditive": var[2] <= var[0] + var[1], "es_is_subadditive": es[2] <= es[0] + es[1]}
 
 
+def subadditivity(positions: DataFrame, confidence: float = S.CONFIDENCE, by=("book",)) -> DataFrame:
+    """positions: by, a, b, the outcomes of two positions in each scenario. Of each book: the VaR of
+    a, b and the equally weighted book ("sum") by the empirical quantile and the ES by the k worst, and
+    whether the book's is at most the sum of its parts'."""
+    long = positions.select(*by, F.explode(F.create_map(F.lit("a"), F.col("a"), F.lit("b"), F.col("b"), F.lit("sum"), (F.col("a") + F.col("b")) / 2)).alias("position", "r"))
+    keys = [*by, "position"]
+    inside = F.col("_rank") <= tail_count("_n", confidence)
+    one = ranked(long, "r", keys).groupBy(*keys).agg((-F.percentile("r", dbl(1.0 - confidence))).alias("var"), (-F.avg(F.when(inside, F.col("r")))).alias("es"))
+    out = one.groupBy(*by).pivot("position", ["a", "b", "sum"]).agg(F.first("var").alias("var"), F.first("es").alias("es"))
+    out = out.select(*by, *(F.col(f"{p}_{m}").alias(f"{m}_{p}") for m in ("var", "es") for p in ("a", "b", "sum")))
+    fits = lambda m: (F.col(f"{m}_sum") <= F.col(f"{m}_a") + F.col(f"{m}_b") + 1e-12).alias(f"{m}_is_subadditive")
+    return out.select("*", fits("var"), fits("es"))
+
+
 def compare_methods(returns: DataFrame, confidence: float = S.CONFIDENCE, days: int = 1, portfolio_value: float | None = None, paths: int = 20_000, by=BY) -> DataFrame:
     """Five estimates a series: empirical, normal, Student-t, and two simulations."""
     from .tail import historical_es, parametric_var
@@ -172,4 +194,4 @@ def compare_methods(returns: DataFrame, confidence: float = S.CONFIDENCE, days:
     return out.join(first, list(by), "left").withColumn("var_vs_historical", F.col("var") - F.col("_h")).drop("_h")
 
 
-__all__ = ["bootstrap_interval", "compare_methods", "convergence", "draw_paths", "hashed_monte_carlo", "hashed_paths", "k_worst", "monte_carlo", "subadditivity_demo", "tail_count", "var_intervals"]
+__all__ = ["bootstrap_interval", "compare_methods", "convergence", "draw_paths", "hashed_monte_carlo", "hashed_paths", "k_worst", "monte_carlo", "subadditivity", "subadditivity_demo", "tail_count", "var_intervals"]

@@ -76,24 +76,32 @@ def tail_count(n, confidence: float):
     return F.greatest(F.lit(1), F.ceil(F.round(col(n) * dbl(1.0 - confidence), 9))).cast("long")
 
 
+def ranked(values: DataFrame, value: str, by) -> DataFrame:
+    """Adds _rank from the smallest value of a series and _n, the number of its values."""
+    w = whole(by).orderBy(value)
+    return values.where(present(value)).withColumn("_rank", F.row_number().over(w)).withColumn("_n", F.count("*").over(whole(by)))
+
+
 def worst_rows(values: DataFrame, confidence: float, value: str = "r", by=BY) -> DataFrame:
     """The k smallest values of each series, exactly k whatever the ties."""
-    w = whole(by).orderBy(value)
-    ranked = values.where(present(value)).withColumn("_rank", F.row_number().over(w)).withColumn("_n", F.count("*").over(whole(by)))
-    return ranked.where(F.col("_rank") <= tail_count("_n", confidence)).drop("_rank", "_n")
+    return ranked(values, value, by).where(F.col("_rank") <= tail_count("_n", confidence)).drop("_rank", "_n")
 
 
 def historical_es(returns: DataFrame, confidence: float = S.CONFIDENCE, days: int = 1, portfolio_value: float | None = None, by=BY) -> DataFrame:
     """The mean of the k worst log returns, scaled, as a loss."""
-    tail = worst_rows(returns, confidence, "r", by).groupBy(*by).agg(F.avg("r").alias("_mean"), F.count("*").alias("tail_observations"))
+    check(confidence, days)
+    inside = F.col("_rank") <= tail_count("_n", confidence)
+    # Ranks, quantile and mean of a series all need its rows together: one shuffle serves them.
+    out = ranked(returns, "r", by).groupBy(*by).agg(
+        F.percentile("r", dbl(1.0 - confidence)).alias("_q"), F.count("*").alias("n_observations"), F.avg(F.when(inside, F.col("r"))).alias("_mean"), F.count_if(inside).alias("tail_observations")
+    )
+    out = out.where("n_observations >= 2").withColumn("var_return", loss(over_days("_q", days)))
     es = loss(over_days("_mean", days))
-    var = historical_var(returns, confidence, days, None, by).select(*by, "confidence", "horizon_days", "var_return", "n_observations")
-    out = var.join(tail, list(by)).where("n_observations >= 2")
     return out.select(
         *by,
         F.lit("historical").alias("method"),
-        "confidence",
-        "horizon_days",
+        dbl(confidence).alias("confidence"),
+        F.lit(days).alias("horizon_days"),
         "var_return",
         es.alias("es_return"),
         _value(es, portfolio_value).alias("es_value"),

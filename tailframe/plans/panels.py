@@ -30,6 +30,12 @@ def order_prices(spark: SparkSession, folder: str) -> DataFrame:
     return _panel(_read(spark, folder, "orders"), F.col("o_orderpriority"), F.col("o_orderdate"), F.col("o_totalprice"))
 
 
+def supplier_prices(spark: SparkSession, folder: str) -> DataFrame:
+    """Many series: one a supplier, of its prices by day of shipping."""
+    df = _read(spark, folder, "lineitem")
+    return _panel(df, F.col("l_suppkey").cast("string"), F.col("l_shipdate"), F.col("l_extendedprice") / F.col("l_quantity"))
+
+
 def nation_ratios(spark: SparkSession, folder: str) -> DataFrame:
     """A stand-in for annual ratios: statistics of a nation's orders, scaled to the usual ranges."""
     orders, customer = _read(spark, folder, "orders"), _read(spark, folder, "customer")

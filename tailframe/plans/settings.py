@@ -3,6 +3,7 @@
 # Fixed values, which results depend on.
 TRADING_DAYS = 252
 WEEK_DAYS, MONTH_DAYS = 5, 21
+BENCHMARKS = {"S&P 500 (US)": "^GSPC", "STOXX Europe 600": "^STOXX", "FTSE 100 (UK)": "^FTSE", "ISEQ (Ireland)": "^ISEQ", "Nifty 50 (India)": "^NSEI", "DAX (Germany)": "^GDAXI"}
 MIN_OBSERVATIONS = 30
 STALE_AFTER_HOURS = 24
 GAP_DAYS, EXTREME_MOVE, SPARSE_GAP_DAYS = 7, 0.30, 4

@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailframe.functions import sql, summaries
-from tailframe.functions.columns import annual_return, cache_safe, dbl, freshness, normal_density, normal_quantile, trend_label
+from tailframe.functions import specfun, sql, summaries
+from tailframe.functions.columns import annual_return, cache_safe, chi2_tail_even, dbl, freshness, normal_density, normal_quantile, trend_label
 from tailframe.operators import backtest, beta, composite, drawdown, fit, order, portfolio, returns, scorecard, simulate, tail, valuation, volatility
 from tailframe.plans import panels
 from tailframe.plans import settings as S
@@ -46,6 +46,7 @@ P_BENCH = "bench AS (SELECT CAST(l_shipdate AS DATE) AS d, avg(l_extendedprice /
 P_ORD = "prices AS (SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS d, avg(o_totalprice) AS p FROM orders GROUP BY 1, 2)"
 R_LINE = f"{P_LINE}, rets AS (SELECT * FROM (SELECT series_id, d, ln(p / lag(p) OVER (PARTITION BY series_id ORDER BY d)) AS r FROM prices) WHERE r IS NOT NULL)"
 R_ORD = R_LINE.replace(P_LINE, P_ORD)
+R_SUPP = R_LINE.replace("l_returnflag", "CAST(l_suppkey AS VARCHAR)")
 S_LINE = f"{P_LINE}, rets AS (SELECT * FROM (SELECT series_id, d, p / lag(p) OVER (PARTITION BY series_id ORDER BY d) - 1 AS r FROM prices) WHERE r IS NOT NULL)"
 ALIGNED = f"{R_LINE}, {P_BENCH}, br AS (SELECT * FROM (SELECT d, ln(p / lag(p) OVER (ORDER BY d)) AS b FROM bench) WHERE b IS NOT NULL), al AS (SELECT rets.*, b FROM rets JOIN br USING (d))"
 VOL = "vol AS (SELECT series_id, d, CASE WHEN count(r) OVER w = 60 THEN stddev_samp(r) OVER w * sqrt(252) END AS vol FROM rets WINDOW w AS (PARTITION BY series_id ORDER BY d ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))"
@@ -350,6 +351,35 @@ def es_shortfall(spark, folder):
     return e.select("series_id", F.round("es_historical", 8).alias("es_historical"), F.round("es_normal", 8).alias("es_normal"), F.round("shortfall", 6).alias("shortfall"))
 
 
+SUPPLIER_TAIL = f"WITH {R_SUPP}, {TAIL}, q AS (SELECT series_id, -(exp(quantile_cont(r, {Q95!r})) - 1) AS v, stddev_samp(r) * sqrt(252) AS vol FROM rets GROUP BY 1)"
+
+
+@query(f"{SUPPLIER_TAIL} SELECT series_id, tail.n AS n_observations, round(vol, 8) AS volatility, round(v, 8) AS var_return, round(-(exp(mean) - 1), 8) AS es_return FROM tail JOIN q USING (series_id)")
+def supplier_tail(spark, folder):
+    """A panel of many series: one a supplier."""
+    r = returns.log_returns(panels.supplier_prices(spark, folder))
+    e = tail.historical_es(r).select("series_id", "var_return", "es_return")
+    return rounded(e.join(volatility.historical_volatility(r).select("series_id", "n_observations", F.col("annualised").alias("volatility")), "series_id"))
+
+
+SUPPLIER_DD = f"WITH {P_LINE}, {DD}".replace("l_returnflag", "CAST(l_suppkey AS VARCHAR)")
+
+
+@query(f"{SUPPLIER_DD} SELECT series_id, round(min(dd), 8) AS max_drawdown, round(arg_max(dd, d), 8) AS current_drawdown FROM dd GROUP BY 1")
+def supplier_drawdown(spark, folder):
+    return rounded(drawdown.drawdown_summary(panels.supplier_prices(spark, folder)).select("series_id", "max_drawdown", "current_drawdown"))
+
+
+SUPPLIER_ROLL = f"WITH {R_SUPP}, {ROLL.format(w=100, b=99, q=Q95)}"
+
+
+@query(f"{SUPPLIER_ROLL} SELECT series_id, count(*) AS n_days, count(*) FILTER (-(exp(r) - 1) > var) AS n_breaches FROM v WHERE var IS NOT NULL GROUP BY 1")
+def supplier_breaches(spark, folder):
+    """A rolling VaR of 100 days for each supplier, against what came."""
+    r = returns.log_returns(panels.supplier_prices(spark, folder))
+    return tail.breach_rate(tail.mark_breaches(tail.rolling_historical_var(r, 100))).select("series_id", "n_days", "n_breaches")
+
+
 @query(f"WITH {R_LINE}, {TAIL}, q AS (SELECT series_id, -(exp(quantile_cont(r, {Q95!r})) - 1) AS v FROM rets GROUP BY 1) SELECT series_id, round(v, 8) AS var_return, round(-(exp(mean) - 1), 8) AS es_return, k AS tail_observations FROM tail JOIN q USING (series_id)")
 def long_series_tail(spark, folder):
     """The same by nested histograms, which gather no series."""
@@ -451,11 +481,14 @@ def report(spark, folder):
 @query(
     f"WITH {KEPT}, a AS (SELECT series_id, count(*) - count(DISTINCT d) AS dup FROM raw GROUP BY 1), o AS (SELECT series_id, bool_or(d < pd) AS uno, count(*) FILTER (d > TIMESTAMP '{NOW}') AS fut FROM (SELECT *, lag(d) OVER (PARTITION BY series_id ORDER BY ingest_seq) AS pd FROM kept) GROUP BY 1), "
     "b AS (SELECT series_id, count(*) FILTER (dayofweek(d) IN (0, 6)) AS we, count(*) FILTER (gap > 7) AS lg, max(gap) FILTER (gap > 7) AS mg, count(*) FILTER (close IS NULL OR close <= 0) AS bad, median(gap) AS tg FROM past GROUP BY 1), "
-    "c AS (SELECT series_id, count(*) FILTER (abs(move) > 0.3) AS ext, count(*) AS n, min(d) AS fd, max(d) AS ld FROM good GROUP BY 1) "
-    "SELECT series_id, dup AS n_duplicates, uno AS is_unordered, fut AS n_future, we AS n_weekend, lg AS n_large_gaps, mg::INT AS max_gap_days, bad AS n_bad_prices, ext AS n_extreme, tg::DOUBLE AS typical_gap, n AS n_observations, fd AS first_day, ld AS last_day, NOT (coalesce(tg > 4, false) OR n < 30) AS usable FROM a JOIN o USING (series_id) JOIN b USING (series_id) JOIN c USING (series_id)"
+    "c AS (SELECT series_id, count(*) FILTER (abs(move) > 0.3) AS ext, array_to_string(list_sort(list(CAST(d AS VARCHAR)) FILTER (abs(move) > 0.3))[:5], ',') AS xd, count(*) AS n, min(d) AS fd, max(d) AS ld FROM good GROUP BY 1) "
+    "SELECT series_id, concat_ws('; ', CASE WHEN dup > 0 THEN dup || ' duplicate dates' END, CASE WHEN uno THEN 'dates out of order' END, CASE WHEN fut > 0 THEN fut || ' future rows' END, CASE WHEN bad > 0 THEN bad || ' bad prices' END) AS issues, "
+    "concat_ws('; ', CASE WHEN we > 0 THEN we || ' weekend rows' END, CASE WHEN lg > 0 THEN lg || ' large gaps' END, CASE WHEN ext > 0 THEN ext || ' extreme moves' END) AS warnings, "
+    "concat_ws('; ', CASE WHEN tg > 4 THEN 'too sparse' END, CASE WHEN n < 30 THEN 'too few observations' END) AS blocking, coalesce(xd, '') AS extreme_dates, dup AS n_duplicates, uno AS is_unordered, fut AS n_future, we AS n_weekend, lg AS n_large_gaps, mg::INT AS max_gap_days, bad AS n_bad_prices, ext AS n_extreme, tg::DOUBLE AS typical_gap, n AS n_observations, fd AS first_day, ld AS last_day, NOT (coalesce(tg > 4, false) OR n < 30) AS usable FROM a JOIN o USING (series_id) JOIN b USING (series_id) JOIN c USING (series_id)"
 )
 def quality_report(spark, folder):
-    return report(spark, folder).drop("issues", "warnings", "blocking", "extreme_dates")
+    r = report(spark, folder)
+    return r.withColumns({**{c: F.array_join(c, "; ") for c in ("issues", "warnings", "blocking")}, "extreme_dates": F.array_join(r.extreme_dates.cast("array<string>"), ",")})
 
 
 @query(f"WITH {KEPT} SELECT series_id, d, close, ingest_seq FROM good")
@@ -558,9 +591,17 @@ def component_var_sum(spark, folder):
     return rounded(portfolio.component_var_sum(tail.historical_var(line_returns(spark, folder)), weights(spark)), 7)
 
 
-@query(f"WITH {PANEL}, {COV} SELECT portfolio_id, i, j, round(corr, 7) AS corr FROM cv WHERE i < j AND corr > 0.9")
+BLEND = f"{PANEL}, {COV}".replace(", wts AS", ", rets2 AS (SELECT * FROM rets UNION ALL SELECT 'A+', d, (9 * a.r + n.r) / 10 FROM rets a JOIN rets n USING (d) WHERE a.series_id = 'A' AND n.series_id = 'N'), wts AS").replace("FROM rets JOIN nw", "FROM rets2 JOIN nw").replace("('P1', 'A', 0.5),", "('P1', 'A+', 0.5), ('P1', 'A', 0.5),")
+
+
+@query(f"WITH {BLEND} SELECT portfolio_id, i, j, round(corr, 7) AS corr FROM cv WHERE i < j AND corr > 0.9")
 def duplicate_bets(spark, folder):
-    return rounded(portfolio.same_bets(portfolio.covariance_pairs(panel(spark, folder))), 7)
+    """With a blend of nine parts A and one part N beside A, which is nearly the same bet."""
+    r = line_returns(spark, folder).select("series_id", "d", "r")
+    a, n = (r.where(F.col("series_id") == s).select("d", F.col("r").alias(s)) for s in "AN")
+    blend = a.join(n, "d").select(F.lit("A+").alias("series_id"), "d", ((9 * F.col("A") + F.col("N")) / 10).alias("r"))
+    w = weights(spark).unionByName(spark.createDataFrame([("P1", "A+", 0.5)], "portfolio_id string, series_id string, w double"))
+    return rounded(portfolio.same_bets(portfolio.covariance_pairs(portfolio.aligned(r.unionByName(blend), w))), 7)
 
 
 @query("SELECT DISTINCT 'ALL' AS portfolio_id, l_returnflag AS series_id, round(1.0::DOUBLE / 3, 8) AS w FROM lineitem")
@@ -581,14 +622,39 @@ def min_variance_two_asset(spark, folder):
     return rounded(portfolio.minimum_variance(pairs).select("series_id", "w"), 7)
 
 
-@query()
+_cv = lambda i, j: f"max(CASE WHEN i = '{min(i, j)}' AND j = '{max(i, j)}' THEN cov END)"
+
+
+@query(
+    f"WITH {PANEL}, {COV}, m AS (SELECT portfolio_id, {', '.join(f'{_cv(i, j)} AS {i}{j}' for i, j in ('AA', 'NN', 'RR', 'AN', 'AR', 'NR'))} FROM cv GROUP BY 1), "
+    "x AS (SELECT portfolio_id, nn * rr - nr * nr + ar * nr - an * rr + an * nr - nn * ar AS a, ar * nr - an * rr + aa * rr - ar * ar + an * ar - aa * nr AS n, an * nr - nn * ar + an * ar - aa * nr + aa * nn - an * an AS r FROM m WHERE portfolio_id = 'P1' "
+    "UNION ALL SELECT portfolio_id, rr - ar, NULL, aa - ar FROM m WHERE portfolio_id = 'P2') "
+    "SELECT portfolio_id, s AS series_id, round(CASE s WHEN 'A' THEN a WHEN 'N' THEN n ELSE r END / (a + coalesce(n, 0) + r), 6) AS w FROM x, (VALUES ('A'), ('N'), ('R')) t(s) WHERE s <> 'N' OR n IS NOT NULL"
+)
 def min_variance(spark, folder):
-    return portfolio.minimum_variance(portfolio.covariance_pairs(panel(spark, folder)))
+    """In SQL by the adjugate of the covariance matrix, times ones."""
+    return rounded(portfolio.minimum_variance(portfolio.covariance_pairs(panel(spark, folder))), 6)
 
 
-@query()
+ANALYSED = {"herfindahl": 8, "effective_holdings": 8, "heaviest_weight": 8, "weighted_average_volatility": 6, "annualised_volatility": 6, "annualised_return": 6, "sharpe": 6, "sortino": 6, "max_drawdown": 6, "diversification_ratio": 6, "risk_reduction": 6}
+
+
+@query(
+    f"WITH {PANEL}, {COV}, {CONTRIB}, {DAILY}, z AS (SELECT portfolio_id, count(*) AS n, sum(w * w) AS h, sum(abs(w) * own) AS wv, max(vol) AS v, arg_max(series_id, abs(w)) AS hv, max(abs(w)) AS hw, string_agg(printf('%s:%.4f:%.4f', series_id, w, w * m / vol / vol), ',' ORDER BY series_id) AS ms, count(*) FILTER (w * m < 0) AS hedges, count(*) FILTER (w < 0) AS shorts FROM cb GROUP BY 1), "
+    "a AS (SELECT portfolio_id, count(*) AS no, avg(r) AS mr, stddev_samp(r) AS sd, sqrt(avg(pow(least(r, 0), 2))) AS dn FROM dy GROUP BY 1), "
+    "c AS (SELECT portfolio_id, d, product(1 + r) OVER (PARTITION BY portfolio_id ORDER BY d ROWS UNBOUNDED PRECEDING) AS l FROM dy), k AS (SELECT portfolio_id, min(l / hl - 1) AS md FROM (SELECT *, max(l) OVER (PARTITION BY portfolio_id ORDER BY d ROWS UNBOUNDED PRECEDING) AS hl FROM c) GROUP BY 1), "
+    "sb AS (SELECT portfolio_id, string_agg(i || '=' || j, ',' ORDER BY i, j) AS bets FROM cv WHERE i < j AND corr > 0.9 GROUP BY 1) "
+    "SELECT portfolio_id, n AS n_holdings, round(h, 8) AS herfindahl, hv AS heaviest, round(hw, 8) AS heaviest_weight, round(wv, 6) AS weighted_average_volatility, round(v, 6) AS annualised_volatility, round(1 / h, 8) AS effective_holdings, round(wv / v, 6) AS diversification_ratio, round(1 - v / wv, 6) AS risk_reduction, 1 / h < n * 0.5 AS is_concentrated, "
+    "no AS n_observations, round(mr * 252, 6) AS annualised_return, round(mr / sd * sqrt(252), 6) AS sharpe, round(mr / dn * sqrt(252), 6) AS sortino, round(md, 6) AS max_drawdown, ms AS members, coalesce(bets, '') AS same_bets, "
+    "concat_ws('; ', CASE WHEN 1 / h < n * 0.5 THEN 'concentrated in ' || hv END, CASE WHEN bets IS NOT NULL THEN 'members that are nearly the same bet' END, CASE WHEN hedges > 0 THEN 'members that lower the risk' END, CASE WHEN shorts > 0 THEN 'short positions' END, CASE WHEN mr / dn > mr / sd * 1.3 THEN 'much of the volatility is upside' END) AS notes "
+    "FROM z JOIN a USING (portfolio_id) JOIN k USING (portfolio_id) LEFT JOIN sb USING (portfolio_id)"
+)
 def portfolio_analysis(spark, folder):
-    return portfolio.analyse(line_returns(spark, folder), weights(spark))
+    p = portfolio.analyse(line_returns(spark, folder), weights(spark))
+    members = F.array_join(F.transform("members", lambda m: F.format_string("%s:%.4f:%.4f", m["series_id"], m["w"], m["share"])), ",")
+    bets = F.array_join(F.transform("same_bets", lambda b: F.concat_ws("=", b["i"], b["j"])), ",")
+    nested = {"members": members, "same_bets": F.coalesce(bets, F.lit("")), "notes": F.array_join("notes", "; ")}
+    return p.withColumns({**{c: F.round(c, n) for c, n in ANALYSED.items()}, **nested})
 
 
 # --- Scorecards ------------------------------------------------------------------------------
@@ -845,6 +911,54 @@ def compare_methods(spark, folder):
     return simulate.compare_methods(line_returns(spark, folder))
 
 
+@query(
+    f"WITH {R_LINE}, {MOM}, {TAIL}, q AS (SELECT series_id, -(exp(quantile_cont(r, {Q95!r})) - 1) AS v FROM rets GROUP BY 1), "
+    f"b AS (SELECT series_id, 'historical' AS method, v AS var, -(exp(tail.mean) - 1) AS es, v AS h FROM tail JOIN q USING (series_id) UNION ALL SELECT series_id, 'parametric-normal', -(exp(mean + {Z95!r}::DOUBLE * std) - 1), -(exp(mean - std * {PHI!r}::DOUBLE) - 1), v FROM m JOIN q USING (series_id)) "
+    "SELECT series_id, method, round(var, 8) AS var, round(es, 8) AS es, round(es / var, 6) AS tail_severity, round(var - h, 8) AS var_vs_historical FROM b"
+)
+def compare_methods_exact(spark, folder):
+    """The rows of the comparison that neither draw nor fit by iteration."""
+    c = simulate.compare_methods(line_returns(spark, folder)).where("method IN ('historical', 'parametric-normal')")
+    return c.select("series_id", "method", *(F.round(x, 8).alias(x) for x in ("var", "es", "var_vs_historical")), F.round("tail_severity", 6).alias("tail_severity"))
+
+
+_by_position = lambda m, p: f"max(CASE WHEN position = '{p}' THEN {m} END) AS {m}_{p}"
+
+
+@query(
+    "WITH p AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'even' ELSE 'odd' END AS book, CASE WHEN l_orderkey % 25 = 0 THEN -1 ELSE 0.02::DOUBLE END AS a, CASE WHEN l_partkey % 23 = 0 THEN -1 ELSE 0.02::DOUBLE END AS b FROM lineitem), l AS (SELECT book, unnest(['a', 'b', 'sum']) AS position, unnest([a, b, (a + b) / 2]) AS r FROM p), "
+    f"k AS (SELECT *, row_number() OVER (PARTITION BY book, position ORDER BY r) AS rk, count(*) OVER (PARTITION BY book, position) AS n FROM l), o AS (SELECT book, position, -quantile_cont(r, {Q95!r}) AS var, -avg(r) FILTER (rk <= greatest(1, ceil(round(n * {Q95!r}::DOUBLE, 9)))) AS es FROM k GROUP BY 1, 2), "
+    f"w AS (SELECT book, {', '.join(_by_position(m, p) for m in ('var', 'es') for p in ('a', 'b', 'sum'))} FROM o GROUP BY 1) "
+    f"SELECT book, {', '.join(f'round({m}_{p}, 8) AS {m}_{p}' for m in ('var', 'es') for p in ('a', 'b', 'sum'))}, {', '.join(f'{m}_sum <= {m}_a + {m}_b + 1e-12::DOUBLE AS {m}_is_subadditive' for m in ('var', 'es'))} FROM w"
+)
+def subadditivity(spark, folder):
+    """Two books of two positions that each lose all in about 4% of the scenarios, one a line of an order."""
+    lost = lambda key, n: F.when(F.col(key) % n == 0, dbl(-1)).otherwise(dbl(0.02))
+    book = F.when(F.col("l_linenumber") % 2 == 0, "even").otherwise("odd").alias("book")
+    li = spark.read.parquet(f"{folder}/lineitem.parquet").select(book, lost("l_orderkey", 25).alias("a"), lost("l_partkey", 23).alias("b"))
+    return rounded(simulate.subadditivity(li))
+
+
+# Two-sided Student-t and upper chi-square points as printed in statistical tables.
+T_POINTS = ((12.7062, 1, 0.05), (2.5706, 5, 0.05), (4.0321, 5, 0.01), (2.2281, 10, 0.05), (3.1693, 10, 0.01), (2.0423, 30, 0.05), (2.7500, 30, 0.01), (1.9799, 120, 0.05))
+CHI2_POINTS = ((2.7055, 1, 0.10), (3.8415, 1, 0.05), (6.6349, 1, 0.01), (4.6052, 2, 0.10), (5.9915, 2, 0.05), (9.2103, 2, 0.01), (15.9872, 10, 0.10), (18.3070, 10, 0.05), (23.2093, 10, 0.01))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {x!r}::DOUBLE, {v}::BIGINT, {p!r}::DOUBLE)" for k, points in (("t", T_POINTS), ("chi2", CHI2_POINTS)) for x, v, p in points) + ") t(law, x, df, p)")
+def tabulated_probabilities(spark, folder):
+    """The p-values behind beta, Kupiec, Christoffersen and ARCH-LM at the points of printed tables."""
+    points = spark.createDataFrame([(k, x, v) for k, table in (("t", T_POINTS), ("chi2", CHI2_POINTS)) for x, v, _ in table], "law string, x double, df long")
+    x, v = F.col("x"), F.col("df")
+    p = F.when(v == 2, chi2_tail_even(x, 2)).when(v == 10, chi2_tail_even(x, 10)).otherwise(specfun.chi2_p1(x))
+    t = points.where("law = 't'").withColumn("p", F.round(specfun.t_p_value(x, v.cast("double")), 4))
+    return t.unionByName(points.where("law = 'chi2'").withColumn("p", F.round(p, 4)))
+
+
+@query()
+def monte_carlo_hashed_t(spark, folder):
+    return simulate.hashed_monte_carlo(line_returns(spark, folder), draw="t")
+
+
 @query()
 def arch_lm(spark, folder):
     return fit.arch_tests(line_returns(spark, folder))

@@ -35,7 +35,7 @@ def normalised(df: DataFrame) -> DataFrame:
             have[new] = new
     pick = lambda c, other: F.col(have[c]) if c in have else other
     close = F.col(have["close"]).cast("double")
-    adjusted = F.coalesce(pick("adj_close", close).cast("double"), close) if "adj_close" not in have else F.col(have["adj_close"]).cast("double")
+    adjusted = pick("adj_close", close).cast("double")  # the close stands in for an absent column, not for a null
     return df.select(
         F.col(have["series_id"]).cast("string").alias("series_id"),
         F.col(have["d"]).cast("date").alias("d"),
@@ -49,6 +49,11 @@ def normalised(df: DataFrame) -> DataFrame:
 # --- The cache: one folder a period and series ------------------------------------------------
 
 
+def benchmark_series(name: str) -> str:
+    """The series of a benchmark's name; a series' own name stays."""
+    return S.BENCHMARKS.get(name, name)
+
+
 def cache_name(series: str) -> str:
     return series.translate(str.maketrans("^/", "__"))
 
@@ -68,6 +73,21 @@ def read_cache(spark: SparkSession, root: str, period: str, series: list[str] |
     return out.drop("period", "cache")
 
 
+def read_json_cache(spark: SparkSession, path: str) -> DataFrame:
+    """Prices from files of one series each, named prices_<series>_<period>.json, that hold fetched_at and,
+    as a string, a table split into columns, index and data. A file is read whole by one task; the
+    series is named as in the file's name, and period and fetched_at come along. Files without a
+    readable table give no rows."""
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
+    envelope = F.from_json("value", "fetched_at string, data string")
+    table = F.from_json(F.col("e.data"), "columns array<string>, index array<string>, data array<array<double>>")
+    named = r"^prices_(.*)_([^_]*)\.json$"
+    out = files.select(F.regexp_extract("file", named, 1).alias("series_id"), F.regexp_extract("file", named, 2).alias("period"), envelope.alias("e")).withColumn("t", table)
+    out = out.select("series_id", "period", F.to_timestamp("e.fetched_at").alias("fetched_at"), F.col("t.columns").alias("names"), F.col("t.data").alias("data"), F.posexplode("t.index").alias("k", "day"))
+    value = lambda c: F.try_element_at(F.map_from_arrays("names", F.col("data")[F.col("k")]), F.lit(c))
+    return out.select("series_id", F.to_date(F.substring("day", 1, 10)).alias("d"), value("close").alias("close"), value("adj_close").alias("adj_close"), value("volume").cast("bigint").alias("volume"), F.col("k").cast("bigint").alias("ingest_seq"), "period", "fetched_at")
+
+
 def status(cached: DataFrame, now: Column) -> DataFrame:
     """Of each series: the last day, when it was fetched, its age and whether that is stale."""
     out = cached.groupBy("series_id").agg(F.max("d").alias("as_of"), F.max("fetched_at").alias("fetched_at"))
@@ -147,6 +167,7 @@ def quality_report(prices: DataFrame, now: dt.datetime | Column | None = None, s
     inside, good = F.col("_in"), F.col("_good")
     gap = F.when(inside, F.col("_gap"))
     extreme = good & (F.abs("_move") > S.EXTREME_MOVE)
+    p = p.withColumn("_nth", F.count_if(extreme).over(W.partitionBy("series_id", "_good").orderBy("d")))
     out = p.groupBy("series_id").agg(
         F.count_if(~F.col("_first")).alias("n_duplicates"),
         F.coalesce(F.bool_or(F.col("_first") & F.col("_back")), F.lit(False)).alias("is_unordered"),
@@ -156,7 +177,7 @@ def quality_report(prices: DataFrame, now: dt.datetime | Column | None = None, s
         F.max(F.when(gap > S.GAP_DAYS, gap)).alias("max_gap_days"),
         F.count_if(inside & ~good).alias("n_bad_prices"),
         F.count_if(extreme).alias("n_extreme"),
-        F.slice(F.array_sort(F.collect_list(F.when(extreme, F.col("d")))), 1, 5).alias("extreme_dates"),
+        F.array_sort(F.collect_list(F.when(extreme & (F.col("_nth") <= 5), F.col("d")))).alias("extreme_dates"),
         F.percentile(gap, dbl(0.5)).alias("typical_gap"),
         F.count_if(good).alias("n_observations"),
         F.min(F.when(good, F.col("d"))).alias("first_day"),

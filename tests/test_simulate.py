@@ -70,7 +70,7 @@ def test_guards(spark):
         with pytest.raises(ValueError):
             simulate.monte_carlo(t, **bad)
     with pytest.raises(ValueError):
-        simulate.hashed_paths(t, draw="t")
+        simulate.hashed_paths(t, draw="other")
 
 
 def test_convergence_steps(spark):
@@ -92,6 +92,14 @@ def test_hashed_engine(spark):
     assert n.var_return == pytest.approx(one(tail.parametric_var(t), series_id="A").var_return, rel=0.04)
 
 
+def test_hashed_t_draws(spark):
+    t = table(spark, {"A": fat_returns(), "B": normal_returns(n=7)})
+    paths = simulate.hashed_paths(t, 40_000, draw="t")
+    assert {r.series_id for r in paths.select("series_id").distinct().collect()} == {"A"}
+    h = one(simulate.hashed_monte_carlo(t, paths=40_000, draw="t"), series_id="A")
+    assert h.var_return == pytest.approx(one(tail.parametric_var(t, distribution="t"), series_id="A").var_return, rel=0.05)
+
+
 def test_five_methods(spark):
     c = simulate.compare_methods(table(spark, {"A": fat_returns()}), 0.99, paths=5000).collect()
     assert {r.method for r in c} == {"historical", "parametric-normal", "parametric-t", "monte-carlo-bootstrap", "monte-carlo-t"}

@@ -1,5 +1,7 @@
 import datetime as dt
+import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +103,23 @@ def test_vendor_source(spark):
     assert sorted((r.series_id, r.close, r.adj_close, r.ingest_seq) for r in df.collect()) == [(t, c, a, k) for t in "AB" for c, a, k in ((10.0, 10.0, 0), (11.0, 10.5, 1))]
     with pytest.raises(Exception, match="no prices for NONE"):
         spark.read.format("test_vendor").option("tickers", "NONE").option("period", "1y").load().collect()
+
+
+def test_only_the_first_extreme_days_are_listed(spark):
+    jumps = [("A", d, 100.0 * (1 + k % 2), 1.0, 1, k) for k, d in enumerate(business_days(60, "2024-01-01"))]
+    r = report(spark.createDataFrame(jumps, sources.SCHEMA))
+    assert (r.n_extreme, r.extreme_dates) == (59, business_days(6, "2024-01-01")[1:])
+
+
+def test_json_cache(spark, tmp_path):
+    frame = pd.DataFrame({"close": [1.5, None], "adj_close": [1.25, 2.0], "volume": [10, 20]}, index=pd.to_datetime(["2024-01-02", "2024-01-03"]))
+    for name, data in (("prices__GSPC_3y.json", frame.to_json(orient="split", date_format="iso")), ("prices_BAD_3y.json", "none")):
+        (tmp_path / name).write_text(json.dumps({"fetched_at": "2024-01-04T10:00:00.5", "data": data}))
+    got = sorted(tuple(r) for r in sources.read_json_cache(spark, str(tmp_path)).drop("fetched_at").collect())
+    assert got == [("_GSPC", dt.date(2024, 1, 2), 1.5, 1.25, 10, 0, "3y"), ("_GSPC", dt.date(2024, 1, 3), None, 2.0, 20, 1, "3y")]
+    fetched = sources.read_json_cache(spark, str(tmp_path)).select(F.date_format("fetched_at", "yyyy-MM-dd HH:mm").alias("t")).distinct().collect()
+    assert [r.t for r in fetched] == ["2024-01-04 10:00"]
+
+
+def test_benchmark_names():
+    assert (sources.benchmark_series("FTSE 100 (UK)"), sources.benchmark_series("^X")) == ("^FTSE", "^X")

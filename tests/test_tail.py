@@ -129,3 +129,13 @@ def test_subadditivity():
     assert not d["var_is_subadditive"]
     assert d["es_is_subadditive"]
     assert (d["var_a"], round(d["var_sum"], 2)) == (-0.02, 0.49)
+
+
+def test_subadditivity_of_books(spark):
+    """4% each, independent: 4 of 100 scenarios lose a, 4 of 100 of each of those b."""
+    lost = lambda on: -1.0 if on else 0.02
+    rows = [("x", lost(i % 25 == 0), lost((i // 25) % 25 == 0)) for i in range(2500)] + [("one", -0.5, 0.1)]
+    got = {r.book: r for r in simulate.subadditivity(spark.createDataFrame(rows, "book string, a double, b double")).collect()}
+    assert (got["x"].var_is_subadditive, got["x"].es_is_subadditive) == (False, True)
+    assert (got["x"].var_a, round(got["x"].var_sum, 2)) == (-0.02, 0.49)
+    assert (got["one"].es_a, round(got["one"].es_sum, 9)) == (0.5, 0.2)
