@@ -58,27 +58,33 @@ def aligned(returns: DataFrame, weights: DataFrame, least: int | None = S.MIN_OV
     w = normalised(weights).withColumn("_members", F.count("*").over(W.partitionBy(P)))
     s = F.col("r") if already_simple else F.exp("r") - 1
     j = returns.where(present("r")).select(SID, time, s.alias("s")).join(w.where("_members >= 2"), SID)
-    full = j.groupBy(P, time).agg(F.count("*").alias("_n"), F.first("_members").alias("_m")).where("_n = _m").select(P, time)
+    # A day's rows of one portfolio are at most its members, so they can be gathered; no join of the
+    # rows with the complete days is needed.
+    days = j.groupBy(P, time).agg(F.collect_list(F.struct(SID, "s", "w")).alias("_rows"), F.first("_members").alias("_m")).where("size(_rows) = _m")
     if least:
-        usable = full.groupBy(P).agg(F.count("*").alias("_days")).where(F.col("_days") >= least).select(P)
-        full = full.join(usable, P, "left_semi")
-    return j.join(full, [P, time], "left_semi").select(P, SID, time, "s", "w")
+        usable = days.groupBy(P).agg(F.count("*").alias("_days")).where(F.col("_days") >= least).select(P)
+        days = days.join(usable, P, "left_semi")
+    return days.select(P, time, F.inline("_rows")).select(P, SID, time, "s", "w")
 
 
 def covariance_pairs(panel: DataFrame, time: str = "d") -> DataFrame:
-    """portfolio_id, i, j (i <= j): annual sample covariance and correlation. The join is on
-    portfolio and day, and partial sums leave the map side: N(N+1)/2 rows a portfolio."""
-    a = panel.select(P, time, F.col(SID).alias("i"), F.col("s").alias("x"), F.col("w").alias("wi"))
-    b = panel.select(P, time, F.col(SID).alias("j"), F.col("s").alias("y"), F.col("w").alias("wj"))
-    m = a.join(b, [P, time]).where("i <= j").groupBy(P, "i", "j").agg(
+    """portfolio_id, i, j (i <= j): annual sample covariance and correlation. The pairs are made from
+    each day's members, which are together already, and partial sums leave the map side: N(N+1)/2
+    rows a portfolio."""
+    days = panel.groupBy(P, time).agg(F.collect_list(F.struct(SID, "s", "w")).alias("_rows"))
+    days = days.select(P, "_rows", F.explode("_rows").alias("_a"))
+    pairs = days.select(P, "_a", F.explode(F.filter("_rows", lambda b: b[SID] >= F.col("_a")[SID])).alias("_b"))
+    pairs = pairs.select(P, *(F.col(f"{side}.{c}").alias(name) for side, names in (("_a", "i x wi"), ("_b", "j y wj")) for c, name in zip((SID, "s", "w"), names.split(), strict=True)))
+    m = pairs.groupBy(P, "i", "j").agg(
         F.covar_samp("x", "y").alias("c"), F.stddev_samp("x").alias("_sx"), F.stddev_samp("y").alias("_sy"), F.first("wi").alias("wi"), F.first("wj").alias("wj"), F.count("*").alias("n")
     )
     return m.select(P, "i", "j", "wi", "wj", "n", (F.col("c") * S.TRADING_DAYS).alias("cov"), (F.col("c") / F.nullif(F.col("_sx") * F.col("_sy"), F.lit(0.0))).alias("corr"))
 
 
 def both_triangles(pairs: DataFrame) -> DataFrame:
-    other = pairs.where("i <> j").select(P, F.col("j").alias("i"), F.col("i").alias("j"), F.col("wj").alias("wi"), F.col("wi").alias("wj"), "n", "cov", "corr")
-    return pairs.unionByName(other)
+    """Each pair in both orders, made from its one row."""
+    row = lambda i, j: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), F.col(f"w{i}").alias("wi"), F.col(f"w{j}").alias("wj"), "n", "cov", "corr")
+    return pairs.select(P, F.inline(F.when(F.col("i") == F.col("j"), F.array(row("i", "j"))).otherwise(F.array(row("i", "j"), row("j", "i")))))
 
 
 def contributions(pairs: DataFrame) -> DataFrame:
