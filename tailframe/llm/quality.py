@@ -296,3 +296,20 @@ def keep_good(df: DataFrame, weights: list[float], least_share: float = 0.5, tex
     any name stay as they are. An empty table gives an empty one."""
     row = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{text_col}`").alias("text"))
     return judge(row, weights, least_share, "text", ["row"]).where("kept").select("row.*")
+
+
+def base_oracle() -> str:
+    """DuckDB SQL for judge()'s counts and base_failed, which don't depend on the weights."""
+    word = r"[^\x20\x09-\x0D]+"
+    window = " || ' ' || ".join(["x", *(f"lead(x, {k}) OVER o" for k in range(1, 8))])
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, unnest(regexp_extract_all(text, '{word}')) AS x, generate_subscripts(regexp_extract_all(text, '{word}'), 1) AS i FROM t),
+g AS (SELECT doc_id, i, {window} AS g FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+again AS (SELECT doc_id, i FROM g WHERE g IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM again, range(8) r(k) GROUP BY 1),
+sized AS (SELECT doc_id, count(*) AS n_words, sum(length(x))::BIGINT AS word_chars FROM w GROUP BY 1),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '{word}') GROUP BY 1),
+counted AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'gs')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+ FROM t LEFT JOIN sized USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted"""

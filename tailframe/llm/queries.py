@@ -41,6 +41,12 @@ def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents, weights, keep=["doc_id"])
 
 
+def quality_base_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that SQL can say: the counts and the base rules, with the prior's weights."""
+    judged = quality.judge(read_table(spark, sf_dir, "documents"), quality.prior().tolist(), keep=["doc_id"])
+    return judged.drop("content_share", "kept")
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.main_texts(read_table(spark, sf_dir, "pages"))
 
@@ -65,6 +71,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_round_trip, op3_brown_lm, op4_url_filter, op5_vector_dedup, op6_line_quality, op7_main_text, op8_source_mix, op9_feistel_shards, op10_simhash, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_round_trip, op3_brown_lm, op4_url_filter, op5_vector_dedup, op6_line_quality, quality_base_rules, op7_main_text, op8_source_mix, op9_feistel_shards, op10_simhash, pipeline)}
 
-ORACLES = {"op4_url_filter": urlfilter.oracle(), "op5_vector_dedup": vecdedup.oracle(), "op8_source_mix": mixing.oracle()}
+ORACLES = {"op4_url_filter": urlfilter.oracle(), "op5_vector_dedup": vecdedup.oracle(), "quality_base_rules": quality.base_oracle(), "op8_source_mix": mixing.oracle()}

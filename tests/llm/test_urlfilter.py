@@ -79,3 +79,9 @@ def test_many_rules_of_one_host():
         assert trie.match("www.a.b", f"/p{k}/q").path == f"/p{k}"
     assert trie.match("a.b", "/p77777xy").verdict == "allow"
     assert time.perf_counter() - began < 2
+
+
+def test_very_long_urls(spark):
+    long = ["http://" + "a." * 100_000 + "com/en/" + "x/" * 200_000, "https://example.net/de/8" + "y" * 1_000_000, "z" * 1_000_000]
+    got = [tuple(r) for r in judge_urls(spark.createDataFrame(list(enumerate(long)), "page_id long, url string"), RULES, keep=["page_id"]).collect()]
+    assert sorted(got) == [(k, *brute(u, RULES)) for k, u in enumerate(long)]
