@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brownlm, mixing, quality, sharding, simhash, tokencount, urlfilter, vecdedup, wrapper
+from . import bpe, brownlm, lexrank, mixing, quality, secretscan, sharding, simhash, tokencount, urlfilter, variants, vecdedup, wrapper
 from .common import read_table
 
 
@@ -65,12 +65,32 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.digests(secretscan.find_secrets(read_table(spark, sf_dir, "documents")))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexrank.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_round_trip, op3_brown_lm, op4_url_filter, op5_vector_dedup, op6_line_quality, quality_base_rules, op7_main_text, op8_source_mix, op9_feistel_shards, op10_simhash, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_round_trip, op3_brown_lm, op4_url_filter, op5_vector_dedup, op6_line_quality, quality_base_rules, op7_main_text, op8_source_mix, op9_feistel_shards, op10_simhash, op11_secret_scan, op12_lexical_search, op13_spelling_variants, pipeline)}
 
-ORACLES = {"op4_url_filter": urlfilter.oracle(), "op5_vector_dedup": vecdedup.oracle(), "quality_base_rules": quality.base_oracle(), "op8_source_mix": mixing.oracle()}
+ORACLES = {
+    "op4_url_filter": urlfilter.oracle(),
+    "op5_vector_dedup": vecdedup.oracle(),
+    "quality_base_rules": quality.base_oracle(),
+    "op8_source_mix": mixing.oracle(),
+    "op11_secret_scan": secretscan.oracle(),
+    "op12_lexical_search": lexrank.oracle(),
+    "op13_spelling_variants": variants.oracle(),
+}
