@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tailframe.functions.columns import basel_zone, dbl, messages
-from tailframe.functions.specfun import chi2_p1
+from tailframe.functions.distributions import chi2_tail_1
 from tailframe.plans import settings as S
-from tailframe.plans.shipping import ship
 
 from .frames import BY, ordered, so_far, whole
 
@@ -30,12 +29,15 @@ def longest_runs(scored: DataFrame, by=BY, time: str = "d") -> DataFrame:
 
 
 def transition_counts(scored: DataFrame, by=BY, time: str = "d") -> DataFrame:
+    """Days, breaches, the four transitions between neighbouring days and the longest run of breaches: one
+    window pass, whose rows are counted by island (a value of rows - breaches so far) and then by series."""
     w = ordered(by, time)
-    t = scored.select(*by, time, "is_breach", F.lag("is_breach").over(w).alias("_before"))
+    island = F.row_number().over(w) - F.sum("is_breach").over(so_far(by, time))
+    t = scored.select(*by, time, "is_breach", F.lag("is_breach").over(w).alias("_before"), island.alias("_island"))
     pair = lambda a, b: F.count_if((F.col("_before") == a) & (F.col("is_breach") == b))
-    return t.groupBy(*by).agg(
-        F.count("*").alias("n_observations"), F.sum("is_breach").cast("long").alias("n_breaches"), pair(0, 0).alias("n00"), pair(0, 1).alias("n01"), pair(1, 0).alias("n10"), pair(1, 1).alias("n11")
-    )
+    sums = {"n_observations": F.count("*"), "n_breaches": F.sum("is_breach"), **{f"n{a}{b}": pair(a, b) for a in (0, 1) for b in (0, 1)}}
+    islands = t.groupBy(*by, "_island").agg(*(c.alias(n) for n, c in sums.items()))
+    return islands.groupBy(*by).agg(*(F.sum(n).cast("long").alias(n) for n in sums), F.max("n_breaches").cast("long").alias("max_consecutive"))
 
 
 def kupiec(n, breaches, expected_rate: float):
@@ -57,10 +59,10 @@ def christoffersen(n00, n01, n10, n11):
 
 
 def backtest(scored: DataFrame, confidence: float = S.CONFIDENCE, alpha: float = S.ALPHA, by=BY, time: str = "d", p_values: bool = True) -> DataFrame:
-    """One row for each series (and model, if it's among `by`) of breaches(). Without p_values
-    nothing leaves the JVM, and the passes at alpha = 0.05 come from the statistics."""
+    """One row for each series (and model, if it's among `by`) of breaches(). Without p_values the
+    passes at alpha = 0.05 come from the statistics."""
     rate = 1.0 - confidence  # a float on purpose: 0.050000000000000044
-    out = transition_counts(scored, by, time).join(longest_runs(scored, by, time), list(by))
+    out = transition_counts(scored, by, time)
     n, b = F.col("n_observations"), F.col("n_breaches")
     out = out.select(
         *by,
@@ -75,9 +77,8 @@ def backtest(scored: DataFrame, confidence: float = S.CONFIDENCE, alpha: float =
     )
     out = out.withColumn("joint_statistic", F.col("kupiec_statistic") + F.col("christoffersen_statistic"))
     if p_values:
-        ship(scored.sparkSession)
         # Identified or not, a statistic of 0 has the p-value 1.
-        out = out.withColumn("kupiec_p", chi2_p1("kupiec_statistic")).withColumn("christoffersen_p", chi2_p1("christoffersen_statistic"))
+        out = out.withColumn("kupiec_p", chi2_tail_1("kupiec_statistic")).withColumn("christoffersen_p", chi2_tail_1("christoffersen_statistic"))
         out = out.withColumn("joint_p", F.exp(-F.col("joint_statistic") / 2))
         passes = {"coverage": F.col("kupiec_p") >= alpha, "independence": F.col("christoffersen_p") >= alpha, "joint": F.col("joint_p") >= alpha}
     elif alpha == S.ALPHA:

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tailframe.functions.columns import beta_confidence, present
-from tailframe.functions.specfun import t_p_value
-from tailframe.plans.shipping import ship
+from tailframe.functions.distributions import t_two_sided
 
 from .frames import BY, last_rows
 
@@ -53,8 +52,7 @@ def regression(aligned: DataFrame, by=BY, p_values: bool = True) -> DataFrame:
     ).withColumn("confidence", beta_confidence("n_observations", "r_squared"))
     if not p_values:
         return out
-    ship(aligned.sparkSession)
-    out = out.withColumn("p_value", t_p_value("t_statistic", (n - 2).cast("double")))
+    out = out.withColumn("p_value", t_two_sided("t_statistic", (n - 2).cast("double")))
     return out.withColumn("is_significant", F.col("p_value") < 0.05)
 
 

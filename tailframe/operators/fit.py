@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tailframe.functions import specfun
 from tailframe.functions.columns import conditional_regime, dbl, loss, messages, normal_quantile, present
+from tailframe.functions.distributions import t_quantile
 from tailframe.plans import settings as S
 from tailframe.plans.shipping import ship
 
@@ -353,11 +354,10 @@ def cumulative_sigma(days: int) -> Column:
 def conditional_var(fits: DataFrame, confidence: float = S.CONFIDENCE, days: int = 1, portfolio_value: float | None = None, by=BY) -> DataFrame:
     """VaR at today's conditional volatility. The fitted mean plays no part in it."""
     check(confidence, days)
-    ship(fits.sparkSession)
     tail = 1.0 - confidence
     f = derived(fits).where(F.col("omega").isNotNull()).withColumn("conditional_sigma", cumulative_sigma(days))
     student = F.col("nu").isNotNull()
-    z = F.when(student, specfun.t_quantile(dbl(tail), F.col("nu")) * F.sqrt((F.col("nu") - 2) / F.col("nu"))).otherwise(dbl(normal_quantile(tail)))
+    z = F.when(student, t_quantile(dbl(tail), "nu") * F.sqrt((F.col("nu") - 2) / F.col("nu"))).otherwise(dbl(normal_quantile(tail)))
     var = loss(z * F.col("conditional_sigma"))
     regime = conditional_regime("current_annualised", "realised_annualised")
     return f.select(
@@ -419,8 +419,9 @@ def rolling_conditional_var(returns: DataFrame, confidence: float = S.CONFIDENCE
     return done.select(*by, F.explode(F.arrays_zip("days", "var")).alias("v")).select(*by, F.col("v.days").alias(time), "v.var")
 
 
-def business_days(spark, after: str, n: int) -> DataFrame:
-    """The n weekdays after a date, for the axis of a forecast."""
-    span = F.sequence(F.lit(after).cast("date") + 1, F.lit(after).cast("date") + (2 * n + 7))
+def business_days(series: DataFrame, n: int, by=BY, time: str = "d") -> DataFrame:
+    """by, day (from 1), d: the n weekdays after each series' last day, for the axis of a forecast."""
+    last = series.groupBy(*by).agg(F.max(time).cast("date").alias("_last"))
+    span = F.sequence(F.col("_last") + 1, F.col("_last") + (2 * n + 7))
     days = F.slice(F.filter(span, lambda d: ~F.dayofweek(d).isin(1, 7)), 1, n)
-    return spark.range(1).select(F.explode(days).alias("d"))
+    return last.select(*by, F.posexplode(days).alias("day", "d")).withColumn("day", F.col("day") + 1)

@@ -1,27 +1,26 @@
 """Portfolios of series: alignment, covariance, contributions, ratios, weights.
 
 Everything stays long: a portfolio is rows (portfolio_id, series_id, w), and its covariance
-matrix is rows (portfolio_id, i, j). Only the inversion of one N x N matrix leaves that form.
+matrix is rows (portfolio_id, i, j).
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tailframe.functions.columns import dbl, loss, messages, present
 from tailframe.plans import settings as S
-from tailframe.plans.shipping import ship
 from tailframe.plans.storage import stored
 
+from . import gram
 from .drawdown import curve_drawdown
+from .gram import P, SID, minimum_variance
 
-P, SID = "portfolio_id", "series_id"
+__all__ = ["P", "SID", "minimum_variance"]
 
 
 def equal_weights(members: DataFrame) -> DataFrame:
@@ -81,6 +80,12 @@ def covariance_pairs(panel: DataFrame, time: str = "d") -> DataFrame:
     return m.select(P, "i", "j", "wi", "wj", "n", (F.col("c") * S.TRADING_DAYS).alias("cov"), (F.col("c") / F.nullif(F.col("_sx") * F.col("_sy"), F.lit(0.0))).alias("corr"))
 
 
+def all_pairs(panel: DataFrame, time: str = "d") -> DataFrame:
+    """covariance_pairs(), by tiles of members where a portfolio has more than a few."""
+    most = panel.select(P, SID).distinct().groupBy(P).count().agg(F.max("count")).first()[0] or 0
+    return covariance_pairs(panel, time) if most <= gram.FEW_MEMBERS else gram.covariance_tiles(panel, time)
+
+
 def both_triangles(pairs: DataFrame) -> DataFrame:
     """Each pair in both orders, made from its one row."""
     row = lambda i, j: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), F.col(f"w{i}").alias("wi"), F.col(f"w{j}").alias("wj"), "n", "cov", "corr")
@@ -144,7 +149,7 @@ def same_bets(pairs: DataFrame) -> DataFrame:
 def analyse(returns: DataFrame, weights: DataFrame, risk_free: float = 0.0, already_simple: bool = False, time: str = "d") -> DataFrame:
     """One row a portfolio, with its members' contributions and its warnings nested."""
     panel = stored(aligned(returns, weights, S.MIN_OVERLAP, already_simple, time), "panel")  # read six times below
-    pairs = stored(covariance_pairs(panel, time), "pairs")
+    pairs = stored(all_pairs(panel, time), "pairs")
     each = contributions(pairs)
     members = each.groupBy(P).agg(F.array_sort(F.collect_list(F.struct(SID, "w", "own_volatility", "marginal", "contribution", "share"))).alias("members"), F.count_if(F.col("contribution") < 0).alias("_hedges"), F.count_if(F.col("w") < 0).alias("_shorts"))
     bets = same_bets(pairs).groupBy(P).agg(F.array_sort(F.collect_list(F.struct("i", "j", "corr"))).alias("same_bets"))
@@ -164,26 +169,6 @@ def component_var_sum(var: DataFrame, weights: DataFrame) -> DataFrame:
     return normalised(weights).join(var, SID).groupBy(P).agg(F.sum(F.abs("w") * F.col("var_return")).alias("component_var"))
 
 
-def minimum_variance(pairs: DataFrame) -> DataFrame:
-    """Weights of least variance, shorts allowed: the pseudo-inverse times ones, normalised. One
-    matrix a portfolio, inverted on the executors."""
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(rows["i"]) | set(rows["j"]))
-        at = {n: k for k, n in enumerate(names)}
-        m = np.zeros((len(names), len(names)))
-        m[rows["i"].map(at), rows["j"].map(at)] = rows["cov"]
-        m[rows["j"].map(at), rows["i"].map(at)] = rows["cov"]
-        raw = np.linalg.pinv(m) @ np.ones(len(names))
-        if np.isclose(raw.sum(), 0.0):
-            raise ValueError("the covariance matrix is degenerate")
-        return pd.DataFrame({P: rows[P].iloc[0], SID: names, "w": raw / raw.sum()})
-
-    ship(pairs.sparkSession)
-    kind = pairs.schema["i"].dataType.simpleString()
-    return pairs.groupBy(P).applyInPandas(solve, f"{P} {pairs.schema[P].dataType.simpleString()}, {SID} {kind}, w double")
-
-
 def es_shortfall(es_historical: DataFrame, es_normal: DataFrame, by=("series_id",)) -> DataFrame:
     """The share of the empirical ES that a normal one misses."""
     h = es_historical.select(*by, F.col("es_return").alias("es_historical"))

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tailframe.functions.columns import col, dbl, loss, messages, normal_density, normal_quantile, over_days, present
-from tailframe.functions.specfun import t_density, t_quantile
+from tailframe.functions.distributions import t_density, t_quantile
 from tailframe.plans import settings as S
-from tailframe.plans.shipping import ship
 
-from .frames import BY, last_rows, whole
+from .frames import BY, whole
+from .sliding import rolling_quantile
 
 
 def check(confidence: float, days: int = 1) -> None:
@@ -64,11 +64,11 @@ def historical_var(returns: DataFrame, confidence: float = S.CONFIDENCE, days: i
 
 
 def rolling_historical_var(returns: DataFrame, window: int = 252, confidence: float = S.CONFIDENCE, by=BY, time: str = "d") -> DataFrame:
-    """Adds var: the VaR of the last `window` rows, the current one included; NULL before."""
+    """Adds var: the VaR of the last `window` rows, the current one included; NULL before. The quantile slides
+    in O(log window) a row; a windowed percentile would sort its whole frame for each."""
     check(confidence)
-    w = last_rows(window, by, time)
-    r = returns.where(present("r"))
-    return r.withColumn("var", F.when(F.count("r").over(w) == window, loss(F.percentile("r", dbl(1.0 - confidence)).over(w))))
+    r = rolling_quantile(returns.where(present("r")), "r", window, 1.0 - confidence, "var", by, time)
+    return r.withColumn("var", loss("var"))
 
 
 def tail_count(n, confidence: float):
@@ -160,7 +160,6 @@ def parametric_var(returns: DataFrame, confidence: float = S.CONFIDENCE, days: i
             from .fit import degrees_of_freedom
 
             dof = degrees_of_freedom(returns, by)
-        ship(returns.sparkSession)
         v = F.col("dof")
         fit = fit.join(dof.select(*by, "dof"), list(by)).withColumn("_z", t_quantile(dbl(tail), v)).withColumn("_f", t_density("_z", v))
         unit = F.sqrt((v - 2) / v)  # a Student-t has the variance v / (v - 2)

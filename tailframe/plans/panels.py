@@ -36,6 +36,12 @@ def supplier_prices(spark: SparkSession, folder: str) -> DataFrame:
     return _panel(df, F.col("l_suppkey").cast("string"), F.col("l_shipdate"), F.col("l_extendedprice") / F.col("l_quantity"))
 
 
+def supplier_quarters(spark: SparkSession, folder: str) -> DataFrame:
+    """One series a supplier, by quarter, so that many of them have days in common."""
+    df = _read(spark, folder, "lineitem")
+    return _panel(df, F.col("l_suppkey").cast("string"), F.date_trunc("quarter", "l_shipdate"), F.col("l_extendedprice") / F.col("l_quantity"))
+
+
 def nation_ratios(spark: SparkSession, folder: str) -> DataFrame:
     """A stand-in for annual ratios: statistics of a nation's orders, scaled to the usual ranges."""
     orders, customer = _read(spark, folder, "orders"), _read(spark, folder, "customer")

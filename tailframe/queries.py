@@ -12,9 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailframe.functions import specfun, sql, summaries
+from tailframe.functions import distributions, specfun, sql, summaries
 from tailframe.functions.columns import annual_return, cache_safe, chi2_tail_even, dbl, freshness, normal_density, normal_quantile, trend_label
-from tailframe.operators import backtest, beta, composite, drawdown, fit, order, portfolio, returns, scorecard, simulate, tail, valuation, volatility
+from tailframe.operators import backtest, beta, blocks, composite, drawdown, fit, gram, order, portfolio, returns, scorecard, simulate, tail, valuation, volatility
 from tailframe.plans import panels
 from tailframe.plans import settings as S
 from tailframe.plans.storage import shared_dir
@@ -133,6 +133,21 @@ MARKET = (
 )
 
 
+# Probabilities by Simpson's rule: NODES is joined, and the sum is over its rows.
+NODES = "(SELECT k, CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END AS c FROM range(4001) r(k))"
+
+
+def t_tail_sql(t: str, v: str) -> str:
+    """Two-sided p-value: 1 less the integral of the density from -|t| to |t|."""
+    density = f"exp(lgamma(({v} + 1) / 2) - lgamma({v} / 2) - 0.5 * ln({v} * pi()) - ({v} + 1) / 2 * ln(1 + pow(abs({t}) * k / 4000, 2) / {v}))"
+    return f"greatest(0, 1 - 2 * abs({t}) / 4000 / 3 * sum(c * {density}))"
+
+
+def chi2_tail_sql(x: str) -> str:
+    """With one degree of freedom: 1 less the integral of the normal density from -sqrt(x) to sqrt(x)."""
+    return f"greatest(0, 1 - 2 * sqrt({x}) / 4000 / 3 * sum(c * exp(-{x} * pow(k / 4000.0::DOUBLE, 2) / 2) / sqrt(2 * pi())))"
+
+
 # --- Returns ---------------------------------------------------------------------------------
 
 
@@ -240,9 +255,13 @@ def beta_confidence(spark, folder):
     return beta.regression(aligned_with_benchmark(spark, folder), p_values=False).select("series_id", "confidence")
 
 
-@query()
+@query(
+    f"{REG}, t AS (SELECT series_id, sl / sqrt((vr - sl * sl * vb) / vb / (n - 2)) AS t, (n - 2)::DOUBLE AS v FROM q), p AS (SELECT series_id, {t_tail_sql('t', 'v')} AS p_value FROM t, {NODES} GROUP BY series_id, t, v) SELECT series_id, round(t, 4) AS t_statistic, round(p_value, 6) AS p_value, p_value < 0.05 AS is_significant FROM t JOIN p USING (series_id)"
+)
 def beta_p_value(spark, folder):
-    return beta.regression(aligned_with_benchmark(spark, folder)).select("series_id", "t_statistic", "p_value", "is_significant")
+    """In SQL by Simpson's rule over the density, in Spark by the incomplete beta function."""
+    b = beta.regression(aligned_with_benchmark(spark, folder))
+    return b.select("series_id", F.round("t_statistic", 4).alias("t_statistic"), F.round("p_value", 6).alias("p_value"), "is_significant")
 
 
 @query(
@@ -440,6 +459,15 @@ def joint_coverage(spark, folder):
     return rounded(backtest.backtest(scored(spark, folder)).select("series_id", "joint_statistic", "joint_p"), 6)
 
 
+@query(
+    f"WITH {HITS}, {TRANS}, x AS (SELECT series_id, n, ({KUPIEC})::DOUBLE AS ks, ({CHRIS})::DOUBLE AS cs FROM t), p AS (SELECT series_id, {chi2_tail_sql('ks')} AS kp, {chi2_tail_sql('cs')} AS cp FROM x, {NODES} GROUP BY series_id, ks, cs) "
+    f"SELECT series_id, round(kp, 6) AS kupiec_p, round(cp, 6) AS christoffersen_p, round(exp(-(ks + cs) / 2), 6) AS joint_p, CASE WHEN kp >= 0.05 AND cp >= 0.05 THEN 'not rejected' WHEN kp < 0.05 AND cp < 0.05 THEN 'rejected on count and clustering' WHEN kp < 0.05 THEN 'rejected on count' ELSE 'rejected on clustering' END AS verdict FROM x JOIN p USING (series_id)"
+)
+def coverage_p_values(spark, folder):
+    b = backtest.backtest(scored(spark, folder)).withColumn("verdict", F.regexp_replace("verdict", ": too .*", ""))
+    return rounded(b.select("series_id", "kupiec_p", "christoffersen_p", "joint_p", "verdict"), 6)
+
+
 MODELS = f"{R_LINE}, v1 AS (SELECT 'long' AS model, * FROM (WITH {ROLL.format(w=500, b=499, q=Q95)} SELECT * FROM v)), v2 AS (SELECT 'short' AS model, * FROM (WITH {ROLL.format(w=100, b=99, q=Q95)} SELECT * FROM v))"
 _by_model = lambda s: s.replace("series_id, ", "series_id, model, ").replace("PARTITION BY series_id", "PARTITION BY series_id, model")
 COMPARE = f"{MODELS}, hit AS (SELECT series_id, model, d, CASE WHEN -(exp(r) - 1) > var THEN 1 ELSE 0 END AS b FROM (SELECT * FROM v1 UNION ALL SELECT * FROM v2) WHERE var IS NOT NULL), {_by_model(TRANS).replace('GROUP BY 1)', 'GROUP BY 1, 2)')}, {_by_model(RUNS).replace('GROUP BY 1, 2)', 'GROUP BY 1, 2, 3)').replace('GROUP BY 1)', 'GROUP BY 1, 2)')}"
@@ -633,7 +661,7 @@ _cv = lambda i, j: f"max(CASE WHEN i = '{min(i, j)}' AND j = '{max(i, j)}' THEN
 )
 def min_variance(spark, folder):
     """In SQL by the adjugate of the covariance matrix, times ones."""
-    return rounded(portfolio.minimum_variance(portfolio.covariance_pairs(panel(spark, folder))), 6)
+    return rounded(portfolio.minimum_variance(portfolio.covariance_pairs(panel(spark, folder))).select("portfolio_id", "series_id", "w"), 6)
 
 
 ANALYSED = {"herfindahl": 8, "effective_holdings": 8, "heaviest_weight": 8, "weighted_average_volatility": 6, "annualised_volatility": 6, "annualised_return": 6, "sharpe": 6, "sortino": 6, "max_drawdown": 6, "diversification_ratio": 6, "risk_reduction": 6}
@@ -701,6 +729,18 @@ def fundamental_vs_market(spark, folder):
     return rounded(scorecard.compare_with_market(f).select("entity", "market_risk", "gap", "verdict"), 6)
 
 
+@query(
+    f"WITH {FUND}, w AS (SELECT entity, overall_risk, 0.10::DOUBLE + CAST(entity AS INT) * 0.02::DOUBLE AS vol, CASE WHEN CAST(entity AS INT) % 4 = 0 THEN 0 WHEN CAST(entity AS INT) % 4 = 1 THEN NULL ELSE 0.05::DOUBLE * (CAST(entity AS INT) % 7 + 1) END AS peer FROM fu), "
+    f"z AS (SELECT *, CASE WHEN peer > 0 THEN greatest(0, least(2, vol / nullif(peer, 0))) / 2 * 100 ELSE {sc('vol', 0.15, 0.55)} END AS market_risk FROM w) SELECT entity, round(market_risk, 6) AS market_risk, round(overall_risk - market_risk, 6) AS gap, CASE WHEN overall_risk - market_risk > 25 THEN 'fundamental risk exceeds market risk' WHEN overall_risk - market_risk < -25 THEN 'market risk exceeds fundamental risk' ELSE 'the two measures broadly agree' END AS verdict FROM z"
+)
+def fundamental_vs_peers(spark, folder):
+    """Against a peer group's volatility; without one (missing or zero) against the usual range."""
+    k = F.col("entity").cast("int")
+    peer = F.when(k % 4 == 0, dbl(0)).when(k % 4 == 1, F.lit(None).cast("double")).otherwise(dbl(0.05) * (k % 7 + 1))
+    f = fundamentals(spark, folder).withColumn("volatility", dbl(0.10) + k * dbl(0.02)).withColumn("peer", peer)
+    return rounded(scorecard.compare_with_market(f, peer="peer").select("entity", "market_risk", "gap", "verdict"), 6)
+
+
 @query(f"WITH {RATIOS}, {SLOPE} SELECT entity, metric, n_years, round(slope, 7) AS slope, CASE WHEN slope IS NULL THEN 'unknown' WHEN (CASE metric WHEN 'debt_to_equity' THEN -slope ELSE slope END) > 0 THEN 'improving' WHEN (CASE metric WHEN 'debt_to_equity' THEN -slope ELSE slope END) < 0 THEN 'worsening' ELSE 'flat' END AS trend FROM sl")
 def trend_slopes(spark, folder):
     s = scorecard.slopes(scorecard.recent_years(panels.nation_ratios(spark, folder)))
@@ -749,6 +789,16 @@ def implied_growth(spark, folder):
     return a.select("entity", F.round("market_implied_growth", 7).alias("market_implied_growth"))
 
 
+@query(
+    f"WITH {SUP}, {SENS}, ig AS (SELECT entity, CASE WHEN lo <= price AND price <= hi THEN x END AS ig FROM (SELECT *, {IMPLIED_G} AS x, {dcf_sql('wacc', '-0.05::DOUBLE')} AS lo, {dcf_sql('wacc', 'wacc - 0.006::DOUBLE')} AS hi FROM su)), fg AS (SELECT vz.*, ig, abs(wacc - nullif({IMPLIED}, 0)) AS wgap FROM vz JOIN ig USING (entity)) "
+    "SELECT entity, concat_ws('; ', CASE WHEN tshare >= 0.85 THEN 'nearly all value is beyond the forecast' END, CASE WHEN tshare >= 0.70 AND tshare < 0.85 THEN 'most value is beyond the forecast' END, CASE WHEN abs(wsens) > 0.05 THEN '25 basis points move the price a lot' END, CASE WHEN wgap > 0.02 THEN 'the market implies another discount rate' END, CASE WHEN ig > 0.05 THEN 'the market implies growth above the economy''s' END) AS flags FROM fg WHERE abs(wgap - 0.02) > 1e-9"
+)
+def valuation_flags(spark, folder):
+    """Without the suppliers whose rates differ by exactly the limit, where rounding decides."""
+    a = assessed(spark, folder).where(F.coalesce(F.abs(F.abs(F.col("wacc") - F.col("market_implied_wacc")) - 0.02) > 1e-9, F.lit(False)))
+    return a.select("entity", F.array_join("flags", "; ").alias("flags"))
+
+
 @query(f"WITH {SUP}, {SENS}, {VSCORE} SELECT entity, round(v1, 6) AS dependence_score, round(v2, 6) AS fragility_score, round(v3, 5) AS gap_score, round(vscore, 5) AS valuation_score FROM vx")
 def valuation_score(spark, folder):
     v = scorecard.score_valuation(assessed(spark, folder))
@@ -866,9 +916,33 @@ def conditional_var_normal(spark, folder):
     return rounded(c.select("series_id", "var_return", "conditional_sigma", "regime"))
 
 
-@query("SELECT DATE '2001-08-01' + CAST(k AS INT) AS d FROM range(1, 60) t(k) WHERE dayofweek(DATE '2001-08-01' + CAST(k AS INT)) NOT IN (0, 6) ORDER BY 1 LIMIT 30")
+@query(f"WITH {P_LINE}, l AS (SELECT series_id, max(d) AS last FROM prices GROUP BY 1) SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY last + CAST(k AS INT))::INT AS day, CAST(last + CAST(k AS INT) AS DATE) AS d FROM l, range(1, 68) t(k) WHERE dayofweek(last + CAST(k AS INT)) NOT IN (0, 6) QUALIFY day <= 30")
 def forward_calendar(spark, folder):
-    return fit.business_days(spark, "2001-08-01", 30)
+    """The axis of each series' forecast: 30 weekdays after its last day."""
+    return fit.business_days(panels.line_prices(spark, folder), 30)
+
+
+def given_dof(returns_):
+    """Degrees of freedom by the first letter of a series' name, so that SQL can hold their quantiles."""
+    d = F.when(F.col("series_id") == "A", dbl(3.5)).when(F.col("series_id") == "N", dbl(5)).otherwise(dbl(40.25))
+    return returns_.select("series_id").distinct().withColumn("dof", d)
+
+
+def _t_literals(p: float) -> str:
+    rows = []
+    for name, v in (("A", 3.5), ("N", 5.0), ("R", 40.25)):
+        z = specfun.t_ppf(p, v)
+        rows.append(f"('{name}', {v!r}::DOUBLE, {z!r}::DOUBLE, {specfun.t_pdf(z, v)!r}::DOUBLE)")
+    return f"(VALUES {', '.join(rows)}) t(series_id, v, z, f)"
+
+
+@query(
+    f"WITH {R_LINE}, {MOM} SELECT series_id, v AS dof, round(-(exp(mean * 10 + z * sqrt((v - 2) / v) * std * sqrt(10)) - 1), 8) AS var_return, round(-(exp(mean * 10 - std * sqrt(10) * sqrt((v - 2) / v) * (v + z * z) / (v - 1) * f / {Q95!r}::DOUBLE) - 1), 8) AS es_return FROM m JOIN {_t_literals(Q95)} USING (series_id)"
+)
+def student_t_given(spark, folder):
+    """VaR and ES of Student-t with given degrees of freedom; the fitted ones are student_t_var."""
+    r = line_returns(spark, folder)
+    return rounded(tail.parametric_var(r, 0.95, 10, distribution="t", dof=given_dof(r)).select("series_id", "dof", "var_return", "es_return"))
 
 
 @query()
@@ -939,19 +1013,17 @@ def subadditivity(spark, folder):
     return rounded(simulate.subadditivity(li))
 
 
-# Two-sided Student-t and upper chi-square points as printed in statistical tables.
-T_POINTS = ((12.7062, 1, 0.05), (2.5706, 5, 0.05), (4.0321, 5, 0.01), (2.2281, 10, 0.05), (3.1693, 10, 0.01), (2.0423, 30, 0.05), (2.7500, 30, 0.01), (1.9799, 120, 0.05))
-CHI2_POINTS = ((2.7055, 1, 0.10), (3.8415, 1, 0.05), (6.6349, 1, 0.01), (4.6052, 2, 0.10), (5.9915, 2, 0.05), (9.2103, 2, 0.01), (15.9872, 10, 0.10), (18.3070, 10, 0.05), (23.2093, 10, 0.01))
+CUSTOMERS = "cu AS (SELECT c_custkey, abs(c_acctbal) / 1000 AS x, (1 + c_nationkey)::DOUBLE AS v FROM customer)"
+HALF = "sum(pow(x / 2, k) / exp(lgamma(k + 1.0))) FILTER (k < 5)"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {x!r}::DOUBLE, {v}::BIGINT, {p!r}::DOUBLE)" for k, points in (("t", T_POINTS), ("chi2", CHI2_POINTS)) for x, v, p in points) + ") t(law, x, df, p)")
-def tabulated_probabilities(spark, folder):
-    """The p-values behind beta, Kupiec, Christoffersen and ARCH-LM at the points of printed tables."""
-    points = spark.createDataFrame([(k, x, v) for k, table in (("t", T_POINTS), ("chi2", CHI2_POINTS)) for x, v, _ in table], "law string, x double, df long")
-    x, v = F.col("x"), F.col("df")
-    p = F.when(v == 2, chi2_tail_even(x, 2)).when(v == 10, chi2_tail_even(x, 10)).otherwise(specfun.chi2_p1(x))
-    t = points.where("law = 't'").withColumn("p", F.round(specfun.t_p_value(x, v.cast("double")), 4))
-    return t.unionByName(points.where("law = 'chi2'").withColumn("p", F.round(p, 4)))
+@query(f"WITH {CUSTOMERS} SELECT c_custkey, round({chi2_tail_sql('x')}, 7) AS chi2_1, round(exp(-x / 2), 7) AS chi2_2, round(exp(-x / 2) * {HALF}, 7) AS chi2_10, round({t_tail_sql('x', 'v')}, 7) AS t_two_sided FROM cu, {NODES} GROUP BY c_custkey, x, v")
+def tail_probabilities(spark, folder):
+    """The p-values behind beta, Kupiec, Christoffersen and ARCH-LM, of one statistic a customer."""
+    x = F.abs("c_acctbal") / 1000
+    c = spark.read.parquet(f"{folder}/customer.parquet").select("c_custkey", x.cast("double").alias("x"), (F.col("c_nationkey") + 1).cast("double").alias("v"))
+    p = {"chi2_1": distributions.chi2_tail_1("x"), "chi2_2": chi2_tail_even("x", 2), "chi2_10": chi2_tail_even("x", 10), "t_two_sided": distributions.t_two_sided("x", "v")}
+    return c.select("c_custkey", *(F.round(e, 7).alias(n) for n, e in p.items()))
 
 
 @query()
@@ -992,6 +1064,107 @@ def rolling_conditional_var(spark, folder):
     return fit.rolling_conditional_var(line_returns(spark, folder))
 
 
+NU = (4.0, 6.5, 30.0)
+
+
+@query(
+    f"WITH {GIVEN}, s AS (SELECT series_id, sqrt(sum(pow(p, h) * v + omega * (1 - pow(p, h)) / (1 - p))) / 100 AS sigma FROM gp, range(1, 11) t(h) GROUP BY 1), z AS (SELECT n_name AS series_id, CASE n_nationkey % 3 "
+    + " ".join(f"WHEN {k} THEN {specfun.t_ppf(Q99, v) * math.sqrt((v - 2) / v)!r}::DOUBLE" for k, v in enumerate(NU))
+    + " END AS z FROM nation) SELECT series_id, round(sigma, 8) AS conditional_sigma, round(-(exp(z * sigma) - 1), 8) AS var_return FROM s JOIN z USING (series_id)"
+)
+def conditional_var_t(spark, folder):
+    n = spark.read.parquet(f"{folder}/nation.parquet").select(F.col("n_name").alias("series_id"), (F.col("n_nationkey") % 3).alias("k"))
+    fits = given_fits(spark, folder).drop("nu").join(n, "series_id").withColumn("nu", F.element_at(F.array(*map(dbl, NU)), F.col("k").cast("int") + 1))
+    return rounded(fit.conditional_var(fits, 0.99, 10).select("series_id", "conditional_sigma", "var_return"))
+
+
+# --- Long series and many members ---------------------------------------------------------------
+# One benchmark series in parts of 200 rows, so that no task holds it.
+
+R_ALL, P_ALL = R_LINE.replace("l_returnflag", "'ALL'"), P_LINE.replace("l_returnflag", "'ALL'")
+PART = 200
+
+
+def long_benchmark_returns(spark, folder):
+    return blocks.long_returns(panels.benchmark_prices(spark, folder), part_rows=PART)
+
+
+@query(f"WITH {R_ALL} SELECT series_id, d, round(r, 8) AS r, round(100 * exp(sum(r) OVER (PARTITION BY series_id ORDER BY d ROWS UNBOUNDED PRECEDING)), 6) AS level FROM rets")
+def long_price_index(spark, folder):
+    i = blocks.long_price_index(long_benchmark_returns(spark, folder), part_rows=PART)
+    return i.select("series_id", "d", F.round("r", 8).alias("r"), F.round("level", 6).alias("level"))
+
+
+@query(ORACLES["drawdown_series"].replace("l_returnflag", "'ALL'").replace("round(dd, 8) AS dd", "round(peak, 8) AS peak, round(dd, 8) AS dd"))
+def long_drawdown_series(spark, folder):
+    return rounded(blocks.long_drawdowns(panels.benchmark_prices(spark, folder), part_rows=PART).select("series_id", "d", "peak", "dd"))
+
+
+@query(ORACLES["drawdown_summary"].replace("l_returnflag", "'ALL'"))
+def long_drawdown_summary(spark, folder):
+    return rounded(blocks.long_drawdown_summary(panels.benchmark_prices(spark, folder), part_rows=PART))
+
+
+@query(ORACLES["drawdown_episodes"].replace("l_returnflag", "'ALL'").replace("<= -0.1", "<= -0.01"))
+def long_drawdown_episodes(spark, folder):
+    return rounded(blocks.long_drawdown_episodes(panels.benchmark_prices(spark, folder), 0.01, part_rows=PART))
+
+
+@query(ORACLES["rolling_volatility_60"].replace("l_returnflag", "'ALL'"))
+def long_rolling_volatility(spark, folder):
+    return rounded(blocks.long_rolling_volatility(long_benchmark_returns(spark, folder), 60, part_rows=PART).select("series_id", "d", "vol"), 7)
+
+
+@query(ORACLES["rolling_beta_60"])
+def long_rolling_beta(spark, folder):
+    return rounded(blocks.long_rolling_beta(aligned_with_benchmark(spark, folder), 60, part_rows=PART).select("series_id", "d", "rolling_beta"), 5)
+
+
+@query(ORACLES["rolling_hist_var_252"].replace("l_returnflag", "'ALL'"))
+def long_rolling_var(spark, folder):
+    return rounded(blocks.long_rolling_var(long_benchmark_returns(spark, folder), 252, part_rows=PART).select("series_id", "d", "var"))
+
+
+@query(ORACLES["rolling_hist_var_252"].replace("= 252", "= 2000").replace("251 PRECEDING", "1999 PRECEDING"))
+def rolling_hist_var_2000(spark, folder):
+    """A wide window: the sliding quantile costs hardly more than at 252."""
+    return rounded(rolled_var(spark, folder, 2000).select("series_id", "d", "var"))
+
+
+@query(ORACLES["max_consecutive"].replace("l_returnflag", "'ALL'"))
+def long_max_consecutive(spark, folder):
+    v = blocks.long_rolling_var(long_benchmark_returns(spark, folder), 252, part_rows=PART)
+    return blocks.long_runs(tail.mark_breaches(v), part_rows=PART)
+
+
+P_QUARTERS = "prices AS (SELECT CAST(l_suppkey AS VARCHAR) AS series_id, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS d, avg(l_extendedprice / l_quantity) AS p FROM lineitem GROUP BY 1, 2)"
+R_QUARTERS = R_LINE.replace(P_LINE, P_QUARTERS)
+
+
+def supplier_panel(spark, folder):
+    """All suppliers as one portfolio, by quarter."""
+    r = returns.log_returns(panels.supplier_quarters(spark, folder))
+    w = portfolio.equal_weights(r.select(F.lit("ALL").alias("portfolio_id"), "series_id").distinct())
+    return portfolio.aligned(r, w, least=None)
+
+
+@query(
+    f"WITH {R_QUARTERS}, m AS (SELECT count(DISTINCT series_id) AS m FROM rets), f AS (SELECT d FROM rets, m GROUP BY d, m HAVING count(*) = m), pn AS (SELECT series_id, d, exp(r) - 1 AS s FROM rets JOIN f USING (d)) "
+    "SELECT 'ALL' AS portfolio_id, a.series_id AS i, b.series_id AS j, count(*) AS n, round(covar_samp(a.s, b.s) * 252, 6) AS cov, round(covar_samp(a.s, b.s) / (stddev_samp(a.s) * stddev_samp(b.s)), 7) AS corr FROM pn a JOIN pn b ON a.d = b.d AND a.series_id <= b.series_id GROUP BY 2, 3"
+)
+def supplier_covariance(spark, folder):
+    """Every pair of suppliers, by tiles of members."""
+    c = gram.covariance_tiles(supplier_panel(spark, folder), tile=64)
+    return c.select("portfolio_id", "i", "j", "n", F.round("cov", 6).alias("cov"), F.round("corr", 7).alias("corr"))
+
+
+@query(ORACLES["min_variance"])
+def min_variance_by_steps(spark, folder):
+    """The same weights with the matrix left in its stored pairs, multiplied over the cluster."""
+    w = portfolio.minimum_variance(portfolio.covariance_pairs(panel(spark, folder)), one_task=0)
+    return rounded(w.select("portfolio_id", "series_id", "w"), 6)
+
+
 # --- Streams and SQL ----------------------------------------------------------------------------
 
 

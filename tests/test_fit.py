@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tailframe import queries
 from tailframe.functions import specfun
@@ -148,8 +149,9 @@ def test_rolling_conditional_var(spark):
 
 
 def test_calendar(spark):
-    d = [r.d.isoformat() for r in fit.business_days(spark, "2024-02-29", 3).collect()]
-    assert d == ["2024-03-01", "2024-03-04", "2024-03-05"]
+    r = spark.createDataFrame([("a", "2024-02-29"), ("a", "2024-01-01"), ("b", "2023-12-29")], "series_id string, d string").withColumn("d", F.col("d").cast("date"))
+    got = [(x.series_id, x.day, x.d.isoformat()) for x in fit.business_days(r, 3).orderBy("series_id", "day").collect()]
+    assert got == [("a", 1, "2024-03-01"), ("a", 2, "2024-03-04"), ("a", 3, "2024-03-05"), ("b", 1, "2024-01-01"), ("b", 2, "2024-01-02"), ("b", 3, "2024-01-03")]
 
 
 def test_the_rolling_query_keeps_the_defaults(monkeypatch):
