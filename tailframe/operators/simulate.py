@@ -18,7 +18,8 @@ from tailframe.functions.columns import dbl, loss, present
 from tailframe.plans import settings as S
 
 from .fit import _keys, _schema, degrees_of_freedom, fit_t
-from .frames import BY
+from .draws import unit as portable_unit
+from .frames import BY, ordered
 from .tail import check, ranked, tail_count, tail_severity
 
 DRAWS = ("bootstrap", "normal", "t")
@@ -118,8 +119,9 @@ def convergence(returns: DataFrame, sizes=(500, 1000, 2500, 5000, 10_000, 25_000
     return r.groupBy(*by).applyInPandas(one, f"{_schema(r, by)}, paths long, var_return double, step double")
 
 
-def hashed_paths(returns: DataFrame, paths: int = S.PATHS, days: int = 1, draw: str = "bootstrap", seed: int = S.SEED, by=BY) -> DataFrame:
-    """by, path, total: simulated log returns, drawn in the JVM. Each series' values travel once, as
+def hashed_paths(returns: DataFrame, paths: int = S.PATHS, days: int = 1, draw: str = "bootstrap", seed: int = S.SEED, by=BY, portable: bool = False) -> DataFrame:
+    """by, path, total: simulated log returns, drawn in the JVM, by xxhash64 or (portable) by the integer hash of
+    draws.unit(), which other engines can repeat. Each series' values travel once, as
     an array, and are then exploded into paths; nothing depends on the order of rows. Student-t
     draws use the fitted degrees of freedom and Bailey's polar form of two uniforms, scaled to
     the deviation of the series; series of fewer than eight returns have none."""
@@ -130,7 +132,8 @@ def hashed_paths(returns: DataFrame, paths: int = S.PATHS, days: int = 1, draw:
     if draw == "t":
         s = s.join(degrees_of_freedom(returns, by).where("dof IS NOT NULL"), list(by))
     s = s.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1))))
-    unit = lambda salt, day: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("path"), day), F.lit(1 << 52)).cast("double") + 0.5) / dbl(1 << 52)
+    spread = lambda salt, day: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("path"), day), F.lit(1 << 52)).cast("double") + 0.5) / dbl(1 << 52)
+    unit = (lambda salt, day: portable_unit(seed, F.lit(salt), F.col("path"), day)) if portable else spread
     if draw == "bootstrap":
         one = lambda day: F.element_at("x", (F.floor(unit(0, day) * F.size("x")) + 1).cast("int"))
     elif draw == "t":
@@ -143,10 +146,10 @@ def hashed_paths(returns: DataFrame, paths: int = S.PATHS, days: int = 1, draw:
     return s.select(*by, "path", total.alias("total"))
 
 
-def hashed_monte_carlo(returns: DataFrame, confidence: float = S.CONFIDENCE, days: int = 1, paths: int = S.PATHS, draw: str = "bootstrap", seed: int = S.SEED, by=BY) -> DataFrame:
+def hashed_monte_carlo(returns: DataFrame, confidence: float = S.CONFIDENCE, days: int = 1, paths: int = S.PATHS, draw: str = "bootstrap", seed: int = S.SEED, by=BY, portable: bool = False) -> DataFrame:
     """VaR and standard error of the hashed engine. Batches are slices of the paths."""
     check(confidence, days)
-    p = hashed_paths(returns, paths, days, draw, seed, by).withColumn("batch", F.pmod("path", F.lit(S.BATCHES)))
+    p = hashed_paths(returns, paths, days, draw, seed, by, portable).withColumn("batch", F.pmod("path", F.lit(S.BATCHES)))
     level = dbl(1.0 - confidence)
     whole = p.groupBy(*by).agg(loss(F.percentile("total", level)).alias("var_return"), loss(F.min("total")).alias("worst_simulated_loss"))
     each = p.groupBy(*by, "batch").agg(loss(F.percentile("total", level)).alias("v"))
@@ -154,6 +157,15 @@ def hashed_monte_carlo(returns: DataFrame, confidence: float = S.CONFIDENCE, day
     return whole.join(error, list(by))
 
 
+def hashed_convergence(returns: DataFrame, sizes=(500, 1000, 2500, 5000, 10_000, 25_000, 50_000), confidence: float = S.CONFIDENCE, days: int = 1, draw: str = "bootstrap", seed: int = S.SEED, by=BY, portable: bool = False) -> DataFrame:
+    """convergence() of the hashed engine: the paths of a size are the first ones, so one set serves all sizes."""
+    p = hashed_paths(returns, max(sizes), days, draw, seed, by, portable)
+    of = p.withColumn("paths", F.explode(F.filter(F.array(*(F.lit(n).cast("long") for n in sizes)), lambda n: F.col("path") < n)))
+    v = of.groupBy(*by, "paths").agg(loss(F.percentile("total", dbl(1.0 - confidence))).alias("var_return"))
+    before = F.lag("var_return").over(ordered(by, "paths"))
+    return v.withColumn("step", F.abs(F.col("var_return") - before))
+
+
 def subadditivity_demo(n: int = 100_000, seed: int = 1234, confidence: float = 0.95) -> dict:
     """Two independent positions that each lose all with probability 4%: the VaR of the sum exceeds
     the sum of the VaRs, the expected shortfall doesn't."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tailframe.functions import distributions, specfun, sql, summaries
 from tailframe.functions.columns import annual_return, cache_safe, chi2_tail_even, dbl, freshness, normal_density, normal_quantile, trend_label
-from tailframe.operators import backtest, beta, blocks, composite, drawdown, fit, gram, order, portfolio, returns, scorecard, simulate, tail, valuation, volatility
+from tailframe.operators import backtest, beta, blocks, composite, draws, drawdown, fit, gram, order, portfolio, returns, scorecard, simulate, tail, valuation, volatility
 from tailframe.plans import panels
 from tailframe.plans import settings as S
 from tailframe.plans.storage import shared_dir
@@ -1078,6 +1078,60 @@ def conditional_var_t(spark, folder):
     return rounded(fit.conditional_var(fits, 0.99, 10).select("series_id", "conditional_sigma", "var_return"))
 
 
+# Simulation by a hash that SQL can repeat. X: each series' sorted returns.
+
+X = f"{R_LINE}, x AS (SELECT series_id, list_sort(list(r)) AS x, avg(r) AS m, stddev_samp(r) AS sd, count(*) AS n FROM rets GROUP BY 1)"
+
+
+def paths_sql(draw: str, paths: int, days: int) -> str:
+    u = lambda salt: draws.unit_sql(S.SEED, str(salt), "path", "day")
+    one = f"x[floor({u(0)} * n)::BIGINT + 1]" if draw == "bootstrap" else f"m + sd * sqrt(-2 * ln({u(1)})) * cos({u(2)} * {2 * math.pi!r}::DOUBLE)"
+    return f"ph AS (SELECT series_id, path, sum(one) AS total FROM (SELECT series_id, path, {one} AS one FROM x, range({paths}) a(path), range(1, {days + 1}) b(day)) GROUP BY 1, 2)"
+
+
+def monte_carlo_sql(draw: str, days: int) -> str:
+    return f"WITH {X}, {paths_sql(draw, S.PATHS, days)}, b AS (SELECT series_id, path % 10 AS batch, -(exp(quantile_cont(total, {Q95!r})) - 1) AS v FROM ph GROUP BY 1, 2), e AS (SELECT series_id, stddev_samp(v) / sqrt(10) AS e FROM b GROUP BY 1) SELECT series_id, round(-(exp(quantile_cont(total, {Q95!r})) - 1), 8) AS var_return, round(-(exp(min(total)) - 1), 8) AS worst_simulated_loss, round(any_value(e), 8) AS standard_error FROM ph JOIN e USING (series_id) GROUP BY 1"
+
+
+@query(monte_carlo_sql("bootstrap", 10))
+def monte_carlo_repeatable(spark, folder):
+    """10,000 paths of ten days, resampled, with the error of ten batches."""
+    return rounded(simulate.hashed_monte_carlo(line_returns(spark, folder), days=10, portable=True).select("series_id", "var_return", "worst_simulated_loss", "standard_error"))
+
+
+@query(monte_carlo_sql("normal", 1))
+def monte_carlo_repeatable_normal(spark, folder):
+    return rounded(simulate.hashed_monte_carlo(line_returns(spark, folder), draw="normal", portable=True).select("series_id", "var_return", "worst_simulated_loss", "standard_error"))
+
+
+@query(
+    f"WITH {X}, {paths_sql('bootstrap', 50_000, 1)}, v AS (SELECT series_id, s AS paths, -(exp(quantile_cont(total, {Q95!r})) - 1) AS v FROM ph, (VALUES (500), (1000), (2500), (5000), (10000), (25000), (50000)) t(s) WHERE path < s GROUP BY 1, 2) SELECT series_id, paths::BIGINT AS paths, round(v, 8) AS var_return, round(abs(v - lag(v) OVER (PARTITION BY series_id ORDER BY paths)), 8) AS step FROM v"
+)
+def convergence_repeatable(spark, folder):
+    return rounded(simulate.hashed_convergence(line_returns(spark, folder), portable=True))
+
+
+EPOCH_DAY = "d - DATE '1970-01-01'"
+_POISSON = " + ".join(f"CASE WHEN u >= {c!r}::DOUBLE THEN 1 ELSE 0 END" for c in draws.poisson_cuts())
+
+
+@query(
+    f"WITH {R_LINE}, u AS (SELECT series_id, b, r, {draws.unit_sql(S.SEED, 'b', EPOCH_DAY)} AS u FROM rets, range({S.BOOTSTRAP_SAMPLES}) t(b))"
+    + f", w AS (SELECT series_id, b, r, {_POISSON} AS w FROM u), c AS (SELECT series_id, b, r, sum(w) OVER (PARTITION BY series_id, b ORDER BY r) AS upto, sum(w) OVER (PARTITION BY series_id, b) AS total FROM w WHERE w > 0), "
+    f"k AS (SELECT series_id, b, (any_value(total) - 1) * {Q95!r}::DOUBLE AS pos, min(r) FILTER (upto > floor((total - 1) * {Q95!r}::DOUBLE)) AS lo, min(r) FILTER (upto > ceil((total - 1) * {Q95!r}::DOUBLE)) AS hi FROM c GROUP BY 1, 2), q AS (SELECT series_id, -(exp(lo * (1 - (pos - floor(pos))) + hi * (pos - floor(pos))) - 1) AS v FROM k) "
+    "SELECT series_id, round(quantile_cont(v, 0.025), 8) AS ci_low, round(quantile_cont(v, 0.975), 8) AS ci_high FROM q GROUP BY 1"
+)
+def bootstrap_repeatable(spark, folder):
+    """2,000 samples by hashed Poisson weights."""
+    return rounded(draws.weighted_intervals(line_returns(spark, folder)))
+
+
+@query()
+def monte_carlo_sliced(spark, folder):
+    """The seeded bootstrap drawn in slices: the numbers of monte_carlo_bootstrap."""
+    return draws.sliced_monte_carlo(line_returns(spark, folder), days=10, slice_paths=1000)
+
+
 # --- Long series and many members ---------------------------------------------------------------
 # One benchmark series in parts of 200 rows, so that no task holds it.
 
