@@ -32,10 +32,12 @@ from pyspark.sql import types as T
 from .common import ship, stored
 from .urlfilter import split_url
 
-#: A recurring text is constant if this many pages and this share of its slot's pages have it; not
-#: if constant texts are MOST_CONSTANT of a content node or so many pages have the same longest
-#: block (the host's pages are copies of each other then, and would erase each other).
-LEAST_PAGES, LEAST_SHARE, MOST_CONSTANT = 4, 0.3, 0.2
+#: A recurring text counts for nothing in the search for the content if this many pages and this share of its
+#: slot's pages have it. Inside the content it only goes if INSIDE_SHARE of the slot's pages have it: a sentence
+#: that many articles share is still theirs. None goes if such texts are MOST_CONSTANT of a content node or
+#: LEAST_SHARE of the pages have the same longest block (the host's pages are copies of each other then, and
+#: would erase each other).
+LEAST_PAGES, LEAST_SHARE, INSIDE_SHARE, MOST_CONSTANT = 4, 0.3, 0.9, 0.2
 #: Texts that a slot counts at once (Misra-Gries: a text of a share above 1 / (TEXTS + 1) is never lost).
 TEXTS = 8
 #: Share of the varying characters that a child needs for the content to be in it.
@@ -543,15 +545,15 @@ class Templates:
 OPEN, CONTENT, GONE, BESIDE = range(4)
 
 
-def constants(x: Slot) -> set[int]:
-    return set() if x.many else {k for k, (n, _) in x.texts.items() if n >= LEAST_PAGES and n >= LEAST_SHARE * x.pages}
+def constants(x: Slot, share: float) -> set[int]:
+    return set() if x.many else {k for k, (n, _) in x.texts.items() if n >= LEAST_PAGES and n >= share * x.pages}
 
 
 def decided(top: Slot) -> list:
     """The wrapper: the template's slots in order, as [key, decision, digests of constant texts, number
     of children]."""
     nodes = flat(top)
-    fixed = {id(x): constants(x) if x.key == DIRECT and x is not top else set() for x in nodes}
+    fixed = {id(x): constants(x, LEAST_SHARE) if x.key == DIRECT and x is not top else set() for x in nodes}
     varying, weight = {}, {}
     name = NAME_WEIGHT * max(1.0, FEW_PAGES / max(top.pages, 1))
     for x in reversed(nodes):
@@ -575,6 +577,9 @@ def decided(top: Slot) -> list:
     same = sum(x.texts[k][0] * x.texts[k][1] for x in within for k in fixed[id(x)])
     if copies or same >= MOST_CONSTANT * max(varying[id(root)] + same, 1):
         fixed = dict.fromkeys(fixed, set())
+    else:
+        for x in within:
+            fixed[id(x)] &= constants(x, INSIDE_SHARE)
     what = {id(x): BESIDE if x.pages + root.pages > top.pages else OPEN for x in nodes}
     way = top
     while way is not root:

@@ -246,3 +246,20 @@ def test_by_join_as_by_broadcast(spark, monkeypatch):
     monkeypatch.setattr(wrapper, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(wrapper, "PART_PAGES", 7)
     assert sorted(map(tuple, wrapper.main_texts(pages).collect())) == got
+
+
+@pytest.mark.parametrize("tag", ["div", "p"])
+def test_a_sentence_that_many_articles_share_stays(tag):
+    """20 of 50 articles open with the same sentence; a notice stands in all of them and goes."""
+    r = random.Random(3)
+    shared, notice = "This report was first given to the members of the river council in spring.", "All rights to this text stay with the people who wrote it down for us."
+
+    def page(k):
+        body = [" ".join(f"word{r.randrange(900)}" for _ in range(60)) for _ in range(3)]
+        lead = [shared] if k < 20 else []
+        blocks = "".join(f"<{tag}>{b}</{tag}>" for b in [*lead, *body])
+        return f"<html><body><div><div>Home</div></div><section>{blocks}</section><div><div>{notice}</div></div></body></html>", " ".join([*lead, *body])
+
+    pages = [page(k) for k in range(50)]
+    learned = wrapper.induce([source for source, _ in pages])
+    assert [wrapper.extract(source, learned) for source, _ in pages] == [text for _, text in pages]
