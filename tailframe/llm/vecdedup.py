@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored
+from .common import hot_join, ship, stored
 from .graph import components, merge_labels
 
-#: Vectors on which centroids are fitted: so many for each cell, and so many at least (about).
-SAMPLE_A_CELL, SAMPLE_ROWS = 16, 20_000
+#: Vectors on which centroids are fitted: so many for each cell, and so many at least (about), within SAMPLE_BYTES
+#: in double precision on the driver.
+SAMPLE_A_CELL, SAMPLE_ROWS, SAMPLE_BYTES = 16, 20_000, 128 << 20
 #: Cells grow with the largest label: one for each CELL_ROWS of its vectors, but no more than twice the
 #: root of their number, where placing costs as much as comparing does, and MOST_CELLS.
 CELL_ROWS, MOST_CELLS = 512, 8192
@@ -105,8 +106,11 @@ def near_duplicates(
     rows = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), vector.alias("v"))
     rows = rows.withColumn("valid", F.coalesce(F.col("label").isNotNull() & v.isNotNull() & finite, F.lit(False)))
 
-    # Equal vectors of a label are one vector that counts several times.
-    distinct = rows.where("valid").groupBy("label", "v").agg(F.count("*").alias("copies"), F.min("id").alias("least"))
+    # Equal vectors of a label are one vector that counts several times. Rows and vectors know each other by 128
+    # bits of hashes, so that no later join carries whole vectors as keys.
+    known = F.concat_ws(":", F.xxhash64("label", "v").cast("string"), F.xxhash64(F.lit(1), "v", "label").cast("string"))
+    rows = rows.withColumn("known", F.when(F.col("valid"), known))
+    distinct = rows.where("valid").groupBy("known").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("copies"), F.min("id").alias("least"))
     distinct = stored(distinct.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("v")), "vectors")
 
     largest = distinct.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
@@ -116,7 +120,8 @@ def near_duplicates(
     if cells > 1:
         # A slice of the hash's range: as good as random, the same in every run, and no top-k of
         # vectors that one task would have to merge.
-        share = min(1 << 20, (max(SAMPLE_ROWS, SAMPLE_A_CELL * cells) << 20) // dims["count"] + 1)
+        wanted = min(max(SAMPLE_ROWS, SAMPLE_A_CELL * cells), SAMPLE_BYTES // (8 * max(dim, 1)))
+        share = min(1 << 20, (wanted << 20) // dims["count"] + 1)
         sample = distinct.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("label", "v"), F.lit(1 << 20)) < share)).select("v").toArrow()
         x = _matrix(sample.column("v"), dim)
         centroids = spherical_kmeans(x / np.linalg.norm(x, axis=1)[:, None], cells)
@@ -182,11 +187,15 @@ def near_duplicates(
     counts = found.groupBy("a").agg(F.sum("links").alias("links"))
     roots = components(found.where("a <> b").select("a", "b"))
     each = distinct.join(counts, distinct.node == counts.a, "left").join(roots, "node", "left")
-    each = each.select("label", "v", "least", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
-    smallest = each.groupBy("root").agg(F.min("least").alias("component"))
-    each = each.join(smallest, "root").select("label", "v", (F.col("links") + F.col("copies") - 1).alias("links"), "component")
-
-    valid = rows.where("valid").join(each, ["label", "v"]).select("id", "links", "component")
+    each = stored(each.select("node", "known", "least", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root")), "nodes")
+    # One component may hold most vectors, and one vector most rows.
+    smallest = each.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("n"))
+    total = each.agg(F.count("*").alias("nodes"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
+    sizes = each.select("known", F.col("copies").alias("n"))
+    each = hot_join(each, smallest.select("root", "component"), "root", smallest.select("root", "n"), total.nodes, "node")
+    each = each.select("known", (F.col("links") + F.col("copies") - 1).alias("links"), "component")
+    numbered = rows.where("valid").select("id", "known", F.monotonically_increasing_id().alias("_row"))
+    valid = hot_join(numbered, each, "known", sizes, total.rows, "_row").select("id", "links", "component")
     invalid = rows.where("not valid").select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component"))
     out = valid.unionByName(invalid)
     return out.select(F.col("id").alias(id_col), F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
