@@ -230,8 +230,9 @@ def near_duplicates(df: DataFrame, distance: int = 2, words: int = 3, seed: int
 #: a band is equal: with two seeds, at a similarity of 0.8, all but 3 of 100,000 pairs do.
 GRAM, SIMILAR = 5, (4, 5)
 BANDS, ROWS, WIDER_SEEDS = 10, 4, (42, 43)
-#: Pairs whose bytes of the minima agree less than this aren't compared exactly where a hub doesn't
-#: connect a meeting place: five standard deviations (of 80 minima) below the similarity asked for.
+#: Pairs whose bytes of the minima agree less than this aren't compared exactly where a hub doesn't connect a
+#: meeting place: 5.6 standard deviations (of 80 minima) below the similarity asked for, so one pair in 90 million
+#: at that similarity is lost. 0 compares all exactly.
 LEAST_AGREEMENT = 0.55
 
 
@@ -305,7 +306,7 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 BLOCK_NODES = 256
 
 
-def _between(labelled: DataFrame, texts: DataFrame, rows: int) -> DataFrame:
+def _between(labelled: DataFrame, texts: DataFrame, rows: int, least_agreement: float = LEAST_AGREEMENT) -> DataFrame:
     """labelled: key, node, label (of the component) and rows of it; texts: node, text, keys, sketch. Links (a, b)
     that connect what further links of nodes with a common key would connect.
 
@@ -348,7 +349,7 @@ def _between(labelled: DataFrame, texts: DataFrame, rows: int) -> DataFrame:
             agree = (sketch[there] == sketch[k]).mean(axis=1)
             same = keys[there] == keys[k]
             first = keys[k][same.argmax(axis=1)] == key
-            likely = np.flatnonzero((agree >= LEAST_AGREEMENT) & first & (label[there] != label[k]))
+            likely = np.flatnonzero((agree >= least_agreement) & first & (label[there] != label[k]))
             for j in there[likely[np.argsort(-agree[likely], kind="stable")]]:
                 x, y = root(label[k]), root(label[j])
                 if x == y:
@@ -384,14 +385,15 @@ def _between(labelled: DataFrame, texts: DataFrame, rows: int) -> DataFrame:
     return whole.select(*names).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(run, "a long, b long")
 
 
-def keep_one(df: DataFrame, distance: int = 2, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", wider_seeds: tuple[int, ...] = WIDER_SEEDS) -> DataFrame:
+def keep_one(df: DataFrame, distance: int = 2, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", wider_seeds: tuple[int, ...] = WIDER_SEEDS, least_agreement: float = LEAST_AGREEMENT) -> DataFrame:
     """The rows of df, all columns and no other, less all but one of each group of near
     duplicates. Texts of equal words are one node. Nodes are candidates if their fingerprints
     are linked as in near_duplicates(), or if one of the bands of minima of wider_seeds is equal.
     A candidate is a link only if the exact five-word similarity is SIMILAR or more.
 
     First all nodes of a meeting place (an equal band) are checked with its hub; then, in places that
-    the links found don't connect, the pairs whose ends aren't connected yet.
+    the links found don't connect, the pairs whose ends aren't connected yet; of these, pairs whose sketches agree
+    less than least_agreement are passed over (0: none is).
     The row with the group's smallest id stays. If several rows of a group have that id, or if none
     has an id, one of them stays. All null and empty texts (and those of white space alone) are one
     group; texts of fewer than GRAM words have one shingle, their whole. Texts of any length are
@@ -435,7 +437,7 @@ def keep_one(df: DataFrame, distance: int = 2, words: int = 3, seed: int = 42, i
     links = stored(_similar(first, texts), "links")
     found = components(links)
     labelled = met.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))
-    second = stored(_between(labelled, texts, rows), "links")
+    second = stored(_between(labelled, texts, rows, least_agreement), "links")
     if not second.isEmpty():
         found = components(links.union(second))
 
