@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tailframe.functions import distributions, specfun, sql, summaries
 from tailframe.functions.columns import annual_return, cache_safe, chi2_tail_even, dbl, freshness, normal_density, normal_quantile, trend_label
-from tailframe.operators import backtest, beta, blocks, composite, draws, drawdown, fit, gram, order, portfolio, returns, scorecard, simulate, tail, valuation, volatility
+from tailframe.operators import backtest, beta, blocks, composite, draws, drawdown, fit, gram, order, portfolio, recursion, returns, scorecard, simulate, tail, valuation, volatility
 from tailframe.plans import panels
 from tailframe.plans import settings as S
 from tailframe.plans.storage import shared_dir
@@ -524,6 +524,32 @@ def clean_prices(spark, folder):
     return sources.clean_prices(raw_prices(spark, folder), F.lit(NOW).cast("timestamp")).select("series_id", "d", "close", "ingest_seq")
 
 
+RARE = KEPT.replace("o_orderpriority AS series_id", "CASE WHEN o_orderkey % 50 = 1 THEN 'rare' ELSE o_orderpriority END AS series_id")
+
+
+def rare_prices(spark, folder):
+    """The same with a series of few days, which validation refuses."""
+    o = raw_prices(spark, folder)
+    return o.withColumn("series_id", F.when(F.col("ingest_seq") % 50 == 1, "rare").otherwise(F.col("series_id")))
+
+
+@query(f"WITH {RARE}, ok AS (SELECT series_id FROM past GROUP BY 1 HAVING NOT coalesce(median(gap) > 4, false)), en AS (SELECT series_id FROM good GROUP BY 1 HAVING count(*) >= 30) SELECT series_id, d, close, ingest_seq FROM good WHERE series_id IN (SELECT series_id FROM ok) AND series_id IN (SELECT series_id FROM en)")
+def validated_prices(spark, folder):
+    return sources.validated(rare_prices(spark, folder), F.lit(NOW).cast("timestamp"), strict=False).select("series_id", "d", "close", "ingest_seq")
+
+
+@query(
+    f"WITH {RARE}, ls AS (SELECT DISTINCT series_id FROM raw UNION ALL SELECT 'absent'), b AS (SELECT series_id, median(gap) AS tg FROM past GROUP BY 1), c AS (SELECT series_id, count(*) AS n FROM good GROUP BY 1) "
+    "SELECT ls.series_id, coalesce(n, 0) AS n_observations, concat_ws('; ', CASE WHEN b.series_id IS NULL THEN 'no data' END, CASE WHEN tg > 4 THEN 'too sparse' END, CASE WHEN b.series_id IS NOT NULL AND coalesce(n, 0) < 30 THEN 'too few observations' END) AS blocking FROM ls LEFT JOIN b USING (series_id) LEFT JOIN c USING (series_id)"
+)
+def blocked_series(spark, folder):
+    """What refuses a series, with one asked for that has no rows at all."""
+    p = rare_prices(spark, folder)
+    asked = p.select("series_id").distinct().unionByName(spark.createDataFrame([("absent",)], "series_id string"))
+    r = sources.quality_report(p, F.lit(NOW).cast("timestamp"), asked)
+    return r.select("series_id", "n_observations", F.array_join("blocking", "; ").alias("blocking"))
+
+
 @query(f"WITH {KEPT} SELECT series_id, d, round(move, 8) AS move FROM good WHERE abs(move) > 0.3")
 def extreme_moves(spark, folder):
     r = returns.simple_returns(sources.clean_prices(raw_prices(spark, folder), F.lit(NOW).cast("timestamp")), price="close")
@@ -1191,6 +1217,33 @@ def long_max_consecutive(spark, folder):
     return blocks.long_runs(tail.mark_breaches(v), part_rows=PART)
 
 
+GARCH_GIVEN = {"A": (0.01, 0.5, 0.05, 0.90, 20.0), "N": (-0.02, 1.0, 0.10, 0.80, 30.0), "R": (0.0, 0.2, 0.03, 0.95, 10.0)}
+
+
+def garch_given(spark):
+    return spark.createDataFrame([(k, *v) for k, v in GARCH_GIVEN.items()], "series_id string, mean double, omega double, alpha double, beta double, first_variance double")
+
+
+RECURSION = (
+    f"{R_LINE}, gg AS (SELECT * FROM (VALUES {', '.join(f"('{k}', " + ', '.join(f'{x!r}::DOUBLE' for x in v) + ')' for k, v in GARCH_GIVEN.items())}) t(series_id, mean, omega, alpha, beta, v0)), "
+    "sh AS (SELECT rets.series_id, d, r * 100 - mean AS e, omega, alpha, beta, v0, row_number() OVER (PARTITION BY rets.series_id ORDER BY d) AS k FROM rets JOIN gg USING (series_id)), "
+    "vr AS (WITH RECURSIVE vr AS (SELECT series_id, d, e, k, v0 AS v FROM sh WHERE k = 1 UNION ALL SELECT sh.series_id, sh.d, sh.e, sh.k, sh.omega + sh.alpha * vr.e * vr.e + sh.beta * vr.v FROM vr JOIN sh ON sh.series_id = vr.series_id AND sh.k = vr.k + 1) SELECT * FROM vr)"
+)
+
+
+@query(f"WITH {RECURSION} SELECT series_id, d, round(e, 7) AS shock, round(v, 6) AS variance, round(sqrt(v) / 100 * sqrt(252), 7) AS annualised FROM vr")
+def long_garch_variances(spark, folder):
+    """Given parameters, over parts of 200 days; in SQL step by step."""
+    v = recursion.long_variances(line_returns(spark, folder), garch_given(spark), part_rows=PART)
+    return v.select("series_id", "d", F.round("shock", 7).alias("shock"), F.round("variance", 6).alias("variance"), F.round("annualised", 7).alias("annualised"))
+
+
+@query(f"WITH {RECURSION} SELECT series_id, round(sum(-0.5 * (ln(2 * pi()) + ln(v) + e * e / v)), 4) AS log_likelihood, count(*) AS n FROM vr GROUP BY 1")
+def long_garch_likelihood(spark, folder):
+    v = recursion.long_variances(line_returns(spark, folder), garch_given(spark), part_rows=PART)
+    return rounded(recursion.long_log_likelihood(v), 4)
+
+
 P_QUARTERS = "prices AS (SELECT CAST(l_suppkey AS VARCHAR) AS series_id, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS d, avg(l_extendedprice / l_quantity) AS p FROM lineitem GROUP BY 1, 2)"
 R_QUARTERS = R_LINE.replace(P_LINE, P_QUARTERS)
 

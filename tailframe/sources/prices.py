@@ -150,10 +150,9 @@ def clean_prices(prices: DataFrame, now: dt.datetime | Column | None = None) ->
     return last_arrivals(prices).where((F.col("d").cast("timestamp") <= _now(now)) & (F.col("close") > 0) & ~F.isnan("close"))
 
 
-def quality_report(prices: DataFrame, now: dt.datetime | Column | None = None, series: DataFrame | None = None) -> DataFrame:
-    """One row a series of what validation finds; blocking findings make it unusable. Each check sees
-    the rows that the ones before it left: duplicates, order, future, weekends, gaps, bad prices,
-    extreme moves, spacing and length. series: a list (series_id) whose absent members are reported."""
+def _marked(prices: DataFrame, now: dt.datetime | Column | None) -> DataFrame:
+    """The rows with what validation has to know of each: first of its day, future, out of order, kept, gap, good
+    price, move. All windows are by series, after one shuffle."""
     day = W.partitionBy("series_id", "d").orderBy(F.col("ingest_seq").desc())
     p = prices.repartition("series_id").withColumn("_rn", F.row_number().over(day))  # one shuffle for all windows
     p = p.withColumn("_first", F.col("_rn") == 1).withColumn("_future", F.col("d").cast("timestamp") > _now(now))
@@ -163,7 +162,14 @@ def quality_report(prices: DataFrame, now: dt.datetime | Column | None = None, s
     p = p.withColumn("_gap", F.datediff("d", F.lag("d").over(W.partitionBy("series_id", "_in").orderBy("d"))))
     p = p.withColumn("_good", F.col("_in") & F.coalesce((F.col("close") > 0) & ~F.isnan("close"), F.lit(False)))
     before = F.lag("close").over(W.partitionBy("series_id", "_good").orderBy("d"))
-    p = p.withColumn("_move", F.col("close") / F.nullif(before, dbl(0)) - 1)
+    return p.withColumn("_move", F.col("close") / F.nullif(before, dbl(0)) - 1)
+
+
+def quality_report(prices: DataFrame, now: dt.datetime | Column | None = None, series: DataFrame | None = None) -> DataFrame:
+    """One row a series of what validation finds; blocking findings make it unusable. Each check sees
+    the rows that the ones before it left: duplicates, order, future, weekends, gaps, bad prices,
+    extreme moves, spacing and length. series: a list (series_id) whose absent members are reported."""
+    p = _marked(prices, now)
     inside, good = F.col("_in"), F.col("_good")
     gap = F.when(inside, F.col("_gap"))
     extreme = good & (F.abs("_move") > S.EXTREME_MOVE)
@@ -194,15 +200,25 @@ def quality_report(prices: DataFrame, now: dt.datetime | Column | None = None, s
     return out.withColumn("usable", F.size("blocking") == 0)
 
 
-def load_and_validate(spark: SparkSession, path: str, kind: str = "parquet", now: dt.datetime | Column | None = None, strict: bool = True) -> DataFrame:
-    """Cleaned prices. strict: a series with a blocking finding stops the job with its reasons; else
-    such series are left out."""
-    prices = read_prices(spark, path, kind)
-    report = quality_report(prices, now).select("series_id", "usable", "blocking")
-    joined = clean_prices(prices, now).join(report, "series_id")
+def validated(prices: DataFrame, now: dt.datetime | Column | None = None, strict: bool = True) -> DataFrame:
+    """clean_prices() of the series without a blocking finding, in the pass that finds them: one scan and one shuffle
+    by series, no join with a report. strict: a blocking finding stops the job with its reasons; else such series
+    are left out. A series without any good row has none to refuse."""
+    of_series = W.partitionBy("series_id")
+    p = _marked(prices, now)
+    p = p.withColumn("_typical", F.percentile(F.when(F.col("_in"), F.col("_gap")), dbl(0.5)).over(of_series))
+    p = p.withColumn("_n", F.count_if(F.col("_good")).over(of_series)).where("_good")
+    blocking = messages((F.col("_typical") > S.SPARSE_GAP_DAYS, "too sparse"), (F.col("_n") < S.MIN_OBSERVATIONS, "too few observations"))
+    p = p.withColumn("_blocking", blocking)
+    usable = F.size("_blocking") == 0
     if strict:
-        why = F.concat(F.col("series_id"), F.lit(": "), F.array_join("blocking", "; "))
-        joined = joined.where(F.when(F.col("usable"), F.lit(True)).otherwise(F.raise_error(why).cast("boolean")))
+        why = F.concat(F.col("series_id"), F.lit(": "), F.array_join("_blocking", "; "))
+        p = p.where(F.when(usable, F.lit(True)).otherwise(F.raise_error(why).cast("boolean")))
     else:
-        joined = joined.where("usable")
-    return joined.drop("usable", "blocking")
+        p = p.where(usable)
+    return p.select(*prices.columns)
+
+
+def load_and_validate(spark: SparkSession, path: str, kind: str = "parquet", now: dt.datetime | Column | None = None, strict: bool = True) -> DataFrame:
+    """validated() prices of a path."""
+    return validated(read_prices(spark, path, kind), now, strict)
