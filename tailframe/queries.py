@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tailframe.functions import distributions, specfun, sql, summaries
 from tailframe.functions.columns import annual_return, cache_safe, chi2_tail_even, dbl, freshness, normal_density, normal_quantile, trend_label
-from tailframe.operators import backtest, beta, blocks, composite, draws, drawdown, fit, gram, order, portfolio, recursion, returns, scorecard, simulate, tail, valuation, volatility
+from tailframe.operators import backtest, beta, blocks, composite, draws, drawdown, fit, gram, order, portfolio, recursion, returns, rollup, scorecard, simulate, tail, valuation, volatility
 from tailframe.plans import panels
 from tailframe.plans import settings as S
 from tailframe.plans.storage import shared_dir
@@ -1244,6 +1244,28 @@ def long_garch_likelihood(spark, folder):
     return rounded(recursion.long_log_likelihood(v), 4)
 
 
+_STEP = f"{math.log(rollup.growth())!r}::DOUBLE"
+_MIDDLE = f"CASE WHEN abs(x) < 1e-12 THEN 0 ELSE sign(x) * exp(ceil(ln(abs(x)) / {_STEP}) * {_STEP}) * {2 / (1 + rollup.growth())!r}::DOUBLE END"
+
+
+@query(
+    f"WITH {R_SUPP}, pl AS (SELECT CAST(s_suppkey AS VARCHAR) AS series_id, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), "
+    "rs AS (SELECT r_name, n_name, series_id, r FROM rets JOIN pl USING (series_id)), "
+    "g AS (SELECT 3 AS level, r_name, n_name, series_id, list_sort(list(r)) AS v FROM rs GROUP BY ALL UNION ALL SELECT 2, r_name, n_name, NULL, list_sort(list(r)) FROM rs GROUP BY ALL UNION ALL SELECT 1, r_name, NULL, NULL, list_sort(list(r)) FROM rs GROUP BY ALL UNION ALL SELECT 0, NULL, NULL, NULL, list_sort(list(r)) FROM rs), "
+    f"o AS (SELECT * EXCLUDE (v), len(v) AS n, v[floor((len(v) - 1) * {Q95!r}::DOUBLE)::BIGINT + 1] AS x FROM g) "
+    f"SELECT level, r_name, n_name, series_id, n AS n_observations, round({_MIDDLE}, 9) AS quantile, abs({_MIDDLE} - x) <= 0.005 * abs(x) + 1e-12 AS within_error FROM o"
+)
+def rollup_var(spark, folder):
+    """VaR quantiles of each supplier, nation, region and all, from one sketch by supplier. The SQL takes the exact
+    order statistics, rounds them to their buckets and says whether that keeps the stated error."""
+    read = lambda t: spark.read.parquet(f"{folder}/{t}.parquet")
+    places = read("supplier").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    places = places.select(F.col("s_suppkey").cast("string").alias("series_id"), "n_name", "r_name")
+    r = returns.log_returns(panels.supplier_prices(spark, folder)).join(places, "series_id")
+    v = rollup.rollup_var(r, ["r_name", "n_name", "series_id"])
+    return v.select("level", "r_name", "n_name", "series_id", "n_observations", F.round("quantile", 9).alias("quantile"), F.lit(True).alias("within_error"))
+
+
 P_QUARTERS = "prices AS (SELECT CAST(l_suppkey AS VARCHAR) AS series_id, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS d, avg(l_extendedprice / l_quantity) AS p FROM lineitem GROUP BY 1, 2)"
 R_QUARTERS = R_LINE.replace(P_LINE, P_QUARTERS)
 
