@@ -18,6 +18,7 @@ from tailframe.operators import backtest, beta, blocks, composite, draws, drawdo
 from tailframe.plans import panels
 from tailframe.plans import settings as S
 from tailframe.plans.storage import shared_dir
+from tailframe.sources import envelope
 from tailframe.sources import prices as sources
 from tailframe.streaming import live
 
@@ -519,6 +520,16 @@ def quality_report(spark, folder):
     return r.withColumns({**{c: F.array_join(c, "; ") for c in ("issues", "warnings", "blocking")}, "extreme_dates": F.array_join(r.extreme_dates.cast("array<string>"), ",")})
 
 
+@query(f"WITH {KEPT} SELECT series_id, d, close, row_number() OVER (PARTITION BY series_id ORDER BY d) - 1 AS ingest_seq, 'all' AS period, TIMESTAMP '{NOW}' AS fetched_at FROM good")
+def envelope_round_trip(spark, folder):
+    """Cleaned prices written as envelope files, one a series, and read again."""
+    path = f"{shared_dir(spark)}/tailframe-envelopes-{uuid.uuid4().hex}"
+    good = sources.clean_prices(raw_prices(spark, folder), F.lit(NOW).cast("timestamp"))
+    envelope.write_envelopes(good, path, "all", f"{NOW}+00:00")
+    got = envelope.read_envelopes(spark, path)
+    return got.select("series_id", "d", "close", "ingest_seq", "period", F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at"))
+
+
 @query(f"WITH {KEPT} SELECT series_id, d, close, ingest_seq FROM good")
 def clean_prices(spark, folder):
     return sources.clean_prices(raw_prices(spark, folder), F.lit(NOW).cast("timestamp")).select("series_id", "d", "close", "ingest_seq")
