@@ -209,10 +209,20 @@ def quasi_newton(f, start: np.ndarray, rounds: int = 300, tolerance: float = 1e-
     return u, value, False
 
 
-def fit_garch_array(x: np.ndarray, distribution: str = "t") -> dict:
-    """Constant mean GARCH(1,1) of largest likelihood. The search runs on free coordinates:
-    ln omega relative to the variance, the logits of persistence and of alpha's share, ln(nu - 2.05)."""
-    var, sd = float(np.var(x)) or 1e-12, float(np.std(x)) or 1e-6
+def likelihood_and_slope(x: np.ndarray, p: tuple[float, ...]) -> tuple[float, np.ndarray | None]:
+    value = garch_likelihood(x, p)
+    return value, garch_slope(x, p) if math.isfinite(value) else None
+
+
+#: Where searches start: persistence and alpha's share of it.
+STARTS = ((0.95, 0.1), (0.98, 0.06), (0.8, 0.2), (0.995, 0.01))
+
+
+def search_garch(evaluate, n: int, mean: float, var: float, distribution: str, starts=STARTS) -> tuple[tuple[float, ...], float, bool]:
+    """Parameters of largest likelihood, minus that, and whether the search settled. evaluate(parameters): the
+    likelihood and its slope. The search runs on free coordinates: ln omega relative to the variance, the logits of
+    persistence and of alpha's share, ln(nu - 2.05)."""
+    sd = math.sqrt(var)
     sigmoid = lambda u: 1.0 / (1.0 + math.exp(-max(-36.0, min(36.0, u))))
     logit = lambda p: math.log(p / (1 - p))
 
@@ -223,26 +233,31 @@ def fit_garch_array(x: np.ndarray, distribution: str = "t") -> dict:
 
     def loss_and_slope(u: np.ndarray) -> tuple[float, np.ndarray]:
         p = place(u)
-        value = garch_likelihood(x, p)
+        value, by = evaluate(p)
         if not math.isfinite(value):
             return math.inf, np.zeros(len(u))
-        by = garch_slope(x, p)
         total, share = sigmoid(u[2]), sigmoid(u[3])
         g = [by[0] * sd, by[1] * p[1] * (abs(u[1] + 20) < 40), (by[2] * share + by[3] * (1 - share)) * total * (1 - total), (by[2] - by[3]) * total * share * (1 - share)]
         if distribution == "t":
             g.append(by[4] * (p[4] - 2.05) * (abs(u[4] + 6) < 14))
-        return -value / len(x), -np.array(g) / len(x)
+        return -value / n, -np.array(g) / n
 
     best = None
-    for total, share in ((0.95, 0.1), (0.98, 0.06), (0.8, 0.2), (0.995, 0.01)):
-        u = [float(np.mean(x)) / sd, math.log(1 - total), logit(total), logit(share), *([math.log(6.0)] if distribution == "t" else [])]
+    for total, share in starts:
+        u = [mean / sd, math.log(1 - total), logit(total), logit(share), *([math.log(6.0)] if distribution == "t" else [])]
         got = quasi_newton(loss_and_slope, np.array(u))
         best = got if best is None or got[1] < best[1] - 1e-10 else best
     u, value, converged = best
-    value *= len(x)
-    mu, omega, alpha, beta, *nu = place(u)
+    return place(u), value * n, converged
+
+
+def fit_garch_array(x: np.ndarray, distribution: str = "t") -> dict:
+    """Constant mean GARCH(1,1) of largest likelihood."""
+    var = max(float(np.var(x)), 1e-12)
+    p, value, converged = search_garch(lambda p: likelihood_and_slope(x, p), len(x), float(np.mean(x)), var, distribution)
+    mu, omega, alpha, beta, *nu = p
     s2 = variances(x - mu, omega, alpha, beta)
-    k, n = len(u), len(x)
+    k, n = len(p), len(x)
     return {"mu": mu, "omega": omega, "alpha": alpha, "beta": beta, "nu": nu[0] if nu else None, "log_likelihood": -value, "aic": 2 * value + 2 * k, "bic": 2 * value + k * math.log(n), "converged": converged, "sigma2": s2}
 
 

@@ -120,3 +120,27 @@ def test_the_long_recursion_is_the_fits(spark):
     params = spark.createDataFrame([("x", f.mu if "mu" in f.asDict() else 0.0, f.omega, f.alpha, f.beta, series[0].conditional_volatility ** 2)], "series_id string, mean double, omega double, alpha double, beta double, first_variance double")
     got = sorted(recursion.long_variances(r, params, part_rows=100).collect(), key=lambda x: x.d)
     assert [g.variance for g in got] == pytest.approx([s.conditional_volatility**2 for s in series], rel=1e-6)
+
+
+@pytest.mark.parametrize("p", [(0.02, 0.05, 0.1, 0.85), (0.02, 0.05, 0.1, 0.85, 5.0), (-0.1, 0.5, 0.3, 0.0, 30.0)])
+def test_likelihood_and_slope_are_sums_over_parts(spark, p):
+    x = garch_returns(400)
+    r = table(spark, {"x": x})
+    value, slope = recursion.LongSeries(r, part_rows=60).likelihood(p)
+    want, by = fit.likelihood_and_slope(np.asarray(x) * 100, p)
+    assert value == pytest.approx(want, rel=1e-12)
+    assert slope.tolist() == pytest.approx(by.tolist(), rel=1e-9)
+    assert recursion.LongSeries(r, part_rows=60).likelihood((0.0, -5.0, 0.1, 0.5)) == (-math.inf, None)
+
+
+def test_a_long_fit_is_the_fit(spark):
+    """The simulated process of the one-task tests, in parts."""
+    r = table(spark, {"x": garch_returns(2000)})
+    want = one(fit.fit_garch(r, "normal"))
+    got = recursion.fit_long_garch(r, "normal", part_rows=700)
+    assert got["log_likelihood"] == pytest.approx(want.log_likelihood, rel=1e-8)
+    for c in ("omega", "alpha", "beta"):
+        assert got[c] == pytest.approx(want[c], rel=1e-3)
+    assert got["converged"]
+    with pytest.raises(ValueError, match="fewer than"):
+        recursion.fit_long_garch(r.limit(100), "normal")
