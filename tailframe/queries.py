@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tailframe.functions import distributions, specfun, sql, summaries
 from tailframe.functions.columns import annual_return, cache_safe, chi2_tail_even, dbl, freshness, normal_density, normal_quantile, trend_label
-from tailframe.operators import backtest, beta, blocks, composite, draws, drawdown, fit, gram, order, portfolio, recursion, returns, rollup, scorecard, simulate, tail, valuation, volatility
+from tailframe.operators import backtest, beta, blocks, composite, draws, drawdown, fit, gram, order, portfolio, recursion, returns, rollup, scorecard, simulate, tail, valuation, views, volatility
 from tailframe.plans import panels
 from tailframe.plans import settings as S
 from tailframe.plans.storage import shared_dir
@@ -493,6 +493,18 @@ def basel_zone(spark, folder):
     return backtest.basel(scored(spark, folder)).select("series_id", "n_breaches", "n_days", "zone", "exact_window")
 
 
+@query(
+    f"WITH {R_LINE}, {ROLL.format(w=252, b=251, q=Q95)}, hit AS (SELECT series_id, CASE WHEN -(exp(r) - 1) > var THEN 1 ELSE 0 END AS b, row_number() OVER (PARTITION BY series_id ORDER BY d DESC) AS k FROM v WHERE var IS NOT NULL), z AS (SELECT series_id, sum(b) FILTER (k <= 250)::BIGINT AS x FROM hit GROUP BY 1) "
+    "SELECT series_id, round(stddev_samp(r) * sqrt(252), 7) AS annualised, count(*) AS n_observations, any_value(n) AS n_days, any_value(x) AS recent_breaches FROM rets JOIN (SELECT series_id, count(*) AS n FROM hit GROUP BY 1) USING (series_id) JOIN z USING (series_id) GROUP BY 1"
+)
+def session_views(spark, folder):
+    """Three views of one session: prices, returns and the scored days are computed once for all of them."""
+    v = views.Views(spark, lambda: panels.line_prices(spark, folder))
+    days = v.backtests(0.95, 252).select("series_id", F.col("n_observations").alias("n_days"))
+    zones = v.zones(0.95, 252).select("series_id", F.col("n_breaches").alias("recent_breaches"))
+    return rounded(v.overview().select("series_id", "annualised", "n_observations").join(days, "series_id").join(zones, "series_id"), 7)
+
+
 # --- Quality ---------------------------------------------------------------------------------
 
 
