@@ -34,6 +34,8 @@ HELD = 200_000
 BLOCK = 384
 #: Comparisons (pairs of words) that are in memory at once.
 AT_ONCE = 1 << 16
+#: Seats (words in tiles, four a word) of a task, about: few bytes, but much work.
+SEATS_A_TASK = 50_000
 #: A chain of forms rises in frequency by RATIO with every step, so 60 doublings reach any end.
 ROUNDS = 60
 
@@ -150,12 +152,14 @@ def near_words(counts: DataFrame, block: int = BLOCK) -> DataFrame:
     blocks = stored(sizes.select(*tile, "size", F.ceil(F.col("size") / F.lit(block)).cast("int").alias("blocks")), "tiles")
     tagged = lambda df: df.withColumn("tile", F.concat_ws(":", "longer", "by_prefix", "key"))
     known = tagged(blocks)
-    seated = hot_join(tagged(seats), known.select("tile", "blocks"), "tile", known.select("tile", F.col("size").alias("n")), 4 * counts.count(), "word")
+    total = 4 * counts.count()
+    seated = hot_join(tagged(seats), known.select("tile", "blocks"), "tile", known.select("tile", F.col("size").alias("n")), total, "word")
     own = F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int")
     # Job (i, j), i <= j: block i with block j.
     jobs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(other, own).alias("i"), F.greatest(other, own).alias("j"), (own > other).alias("right")))
     tasks = seated.select("tile", "longer", "by_prefix", "word", "n", F.explode(jobs).alias("job")).select("tile", "job.i", "job.j", "longer", "by_prefix", "job.right", "word", "n")
-    tasks = tasks.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
+    parts = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SEATS_A_TASK))
+    tasks = tasks.repartition(parts, "tile", "i", "j").sortWithinPartitions("tile", "i", "j")
 
     def job(rows: list[tuple]) -> list[tuple]:
         words, n = [r[6] for r in rows], np.array([r[7] for r in rows], dtype=np.int64)
