@@ -76,5 +76,5 @@ def test_stages_take_empty_tables(spark, folder):
 
 def test_registered_queries():
     assert [q for q in QUERIES if q.startswith("op")] == sorted((q for q in QUERIES if q.startswith("op")), key=lambda q: int(q[2:].split("_")[0]))
-    assert len([q for q in QUERIES if q.startswith("op")]) == 10 and "pipeline" in QUERIES
+    assert len([q for q in QUERIES if q.startswith("op")]) == 13 and "pipeline" in QUERIES
     assert set(ORACLES) <= set(QUERIES)
