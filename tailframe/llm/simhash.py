@@ -302,8 +302,114 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return whole.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-#: Nodes of a side of one comparison in a meeting place that its hub doesn't connect.
-BLOCK_NODES = 256
+#: Nodes of a side of one comparison of texts in a meeting place that its hub doesn't connect, and how many
+#: such sides are compared at once by sketches and stamps alone, before any text moves.
+BLOCK_NODES, WIDE = 256, 8
+#: Places of a stamp, and the most shingles that are thrown into one of them without thinning; powers of two.
+STAMP_BITS, DENSE = 2048, 2048
+#: Standard deviations beyond which a stamp rules a pair out: one pair in a billion at the similarity asked for.
+DEVIATIONS = 6
+
+
+def _level(n):
+    """How often a text of n shingles is halved until DENSE or fewer are left."""
+    return np.ceil(np.log2(np.maximum(n, DENSE) / DENSE)).astype(np.int64)
+
+
+def stamp(digests: list[bytes]) -> tuple[int, bytes]:
+    """The number of distinct shingles, and the parity of those in each of STAMP_BITS places, twice: with the shingles
+    halved (by their hashes) _level() times and once more, so that it can be held against texts of the next level."""
+    hashes = np.unique(np.frombuffer(b"".join(digests), dtype=">u8")).astype(np.uint64)
+    level, out = int(_level(len(hashes))), []
+    for halved in (level, level + 1):
+        kept = hashes[(hashes // np.uint64(STAMP_BITS)) % np.uint64(1 << halved) == 0]
+        out.append(np.packbits(np.bincount((kept % np.uint64(STAMP_BITS)).astype(np.int64), minlength=STAMP_BITS) & 1))
+    return len(hashes), np.concatenate(out).tobytes()
+
+
+def may_be_similar(n: np.ndarray, stamps: np.ndarray, k: int, others: np.ndarray, by_stamp: bool = True) -> np.ndarray:
+    """Whether each of the others may be as similar to k as SIMILAR asks. By their sizes alone, which is a proof, and by
+    their stamps: similar sets differ in a bounded number of shingles, those put odd numbers into a known number
+    of places on average, and what is DEVIATIONS above that rules a pair out.
+
+    stamps: (texts, 2, bytes). A place is odd with the probability (1 - d) / 2 for d = exp(-2m / places) and m shingles
+    thrown; the variance is that of independent places, less what is known of m."""
+    sizes = n[others]
+    sized = SIMILAR[1] * np.minimum(sizes, n[k]) >= SIMILAR[0] * np.maximum(sizes, n[k])
+    if not by_stamp:
+        return sized
+    ours, theirs = _level(n[k]), _level(sizes)
+    level = np.maximum(ours, theirs)  # beyond one apart the sizes are too
+    odd = np.bitwise_count(stamps[k, np.minimum(level - ours, 1)] ^ stamps[others, np.minimum(level - theirs, 1)]).sum(axis=1)
+    share = 0.5**level
+    m = (sizes + n[k]) * (SIMILAR[1] - SIMILAR[0]) / (SIMILAR[1] + SIMILAR[0]) * share
+    d = np.exp(-2 * m / STAMP_BITS)
+    variance = STAMP_BITS / 4 * (1 - d * d) - m * share * d * d
+    return sized & (odd <= STAMP_BITS / 2 * (1 - d) + DEVIATIONS * np.sqrt(np.maximum(variance, 0)) + 1)
+
+
+class _Block:
+    """Nodes that meet at a key, those of one side (right is false) to be compared with those of the other."""
+
+    def __init__(self, key: int, table: dict[str, list], least_agreement: float):
+        self.key, self.least = key, least_agreement
+        self.node, self.label, self.keys, self.n, right = (np.array(table[c]) for c in ("node", "label", "keys", "n", "right"))
+        self.sketch = np.array([np.frombuffer(x, np.uint8) for x in table["sketch"]])
+        self.stamps = np.array([np.frombuffer(x, np.uint8) for x in table["stamp"]]).reshape(len(right), 2, -1)
+        self.left, self.right = np.flatnonzero(~right), np.flatnonzero(right)
+
+    def likely(self, k: int) -> np.ndarray:
+        """Positions in `right` of the nodes to be compared with k, the likeliest first: of another label, not met at an
+        earlier key, and not ruled out."""
+        there = self.right
+        agree = (self.sketch[there] == self.sketch[k]).mean(axis=1)
+        same = self.keys[there] == self.keys[k]
+        first = self.keys[k][same.argmax(axis=1)] == self.key
+        at = np.flatnonzero((agree >= self.least) & first & (self.label[there] != self.label[k]))
+        at = at[may_be_similar(self.n, self.stamps, k, there[at], self.least > 0)]
+        return at[np.argsort(-agree[at], kind="stable")]
+
+
+def _by_block(rows: DataFrame, names: list[str], compare, schema: str) -> DataFrame:
+    """compare(key, columns) for the rows of each (key, i, j); it gives tuples of the schema's fields."""
+    fields = T.StructType.fromDDL(schema)
+    kinds = [pa.bool_() if isinstance(f.dataType, T.BooleanType) else pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.int64() for f in fields]
+    at = ["key", "i", "j"]
+
+    def batch(found):
+        columns = list(zip(*found, strict=True)) or [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=fields.fieldNames())
+
+    def run(batches):
+        last, held = None, None
+        for some in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in some.columns), strict=True):
+                if row[:3] != last:
+                    if last is not None:
+                        out += compare(last[0], held)
+                    last, held = row[:3], {n: [] for n in names}
+                for n, v in zip(names, row[3:], strict=True):
+                    held[n].append(v)
+            yield batch(out)
+        if last is not None:
+            yield batch(compare(last[0], held))
+
+    return rows.select(*at, *names).repartition(*at).sortWithinPartitions(*at, "node").mapInArrow(run, schema)
+
+
+def _stamped(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, keys, sketch, n, stamp of the nodes (node, one row each)."""
+
+    def make():
+        def run(cols):
+            found = [stamp(shingle_digests(t, GRAM, 42)) for t in cols[0].to_pylist()]
+            return [pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())]
+
+        return run
+
+    fields = [T.StructField("n", T.LongType()), T.StructField("stamp", T.BinaryType())]
+    return map_texts(texts.join(nodes, "node", "left_semi"), make, ["text"], fields, ["node", "keys", "sketch"])
 
 
 def _between(labelled: DataFrame, texts: DataFrame, rows: int, least_agreement: float = LEAST_AGREEMENT) -> DataFrame:
@@ -311,78 +417,68 @@ def _between(labelled: DataFrame, texts: DataFrame, rows: int, least_agreement:
     that connect what further links of nodes with a common key would connect.
 
     Of two nodes with different labels one isn't of the key's most frequent label. So those are
-    compared with all others, block by block, both sides of at most about BLOCK_NODES. Pairs whose
-    sketches agree too little, whose labels are connected by then, or that meet at an earlier key
-    aren't read; the others are compared by their whole sets of shingles, likely ones first."""
+    compared with all others, block by block. Wide blocks of sketches and stamps come first and find which nodes have
+    anything to be compared with in which block of about BLOCK_NODES a side; only to those seats a text is
+    brought. There, pairs whose labels are connected by then aren't read; the others are compared by their whole sets of
+    shingles, likely ones first. With a least_agreement of 0 only sizes, which are a proof, rule pairs out."""
     by_label = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
     keys = by_label.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
     blocks = lambda n: F.ceil(n / F.lit(BLOCK_NODES)).cast("int")
     keys = stored(keys.select("key", "n", F.col("top.label").alias("main"), blocks(F.col("n")).alias("all_blocks"), blocks(F.col("n") - F.col("top.n")).alias("few_blocks")), "parted")
-    at = hot_join(labelled, keys.drop("n"), "key", keys.select("key", "n"), rows, "node")
+    at = stored(hot_join(labelled, keys.drop("n"), "key", keys.select("key", "n"), rows, "node"), "unsettled")
+    stamped = stored(_stamped(texts, at.select("node").distinct()), "stamped")
     of = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    few = at.where("label <> main").select("key", "node", "label", of("few_blocks").alias("i"), each("all_blocks").alias("j"), F.lit(False).alias("right"))
-    every = at.select("key", "node", "label", each("few_blocks").alias("i"), of("all_blocks").alias("j"), F.lit(True).alias("right"))
-    seats = stored(few.union(every), "seats")
-    sizes = seats.groupBy("node").agg(F.count("*").alias("n"))
-    whole = hot_join(seats, texts, "node", sizes, seats.count(), "key")
-
-    def compare(key, table):
-        node, label = (np.array(table[c]) for c in ("node", "label"))
-        keys, sketch, right = np.array(table["keys"]), np.array([np.frombuffer(x, np.uint8) for x in table["sketch"]]), np.array(table["right"])
-        sets: dict[int, np.ndarray] = {}
+    wide = lambda c: F.floor(c / WIDE).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), wide(F.col(n) - 1)))
+    few = at.where("label <> main").select("key", "node", "label", of("few_blocks").alias("block"), each("all_blocks").alias("j"), F.lit(False).alias("right")).withColumn("i", wide(F.col("block")))
+    every = at.select("key", "node", "label", of("all_blocks").alias("block"), each("few_blocks").alias("i"), F.lit(True).alias("right")).withColumn("j", wide(F.col("block")))
+    seats = stored(few.unionByName(every), "seats")
+    sizes = lambda s: s.groupBy("node").agg(F.count("*").alias("n"))
+
+    def meet(key, table):
+        here, block = _Block(key, table, least_agreement), np.array(table["block"])
+        ours, theirs = np.zeros((len(here.left), WIDE), bool), np.zeros((len(here.right), WIDE), bool)
+        for row, k in enumerate(here.left):
+            likely = here.likely(k)
+            theirs[likely, block[k] % WIDE] = True
+            ours[row, block[here.right[likely]] % WIDE] = True
+        i, j = block[here.left].min(initial=0) // WIDE * WIDE, block[here.right].min(initial=0) // WIDE * WIDE
+        seat = lambda x, i, j, right: (key, int(i), int(j), int(here.node[x]), int(here.label[x]), right)
+        mine = [seat(here.left[x], block[here.left[x]], j + to, False) for x, to in zip(*np.nonzero(ours), strict=True)]
+        return mine + [seat(here.right[x], i + to, block[here.right[x]], True) for x, to in zip(*np.nonzero(theirs), strict=True)]
+
+    def link(key, table):
+        here, sets, parent = _Block(key, table, least_agreement), {}, {}
 
         def shingles(k):
             if k not in sets:
                 sets[k] = np.unique(np.frombuffer(b"".join(shingle_digests(table["text"][k], GRAM, 42)), dtype=">u8"))
             return sets[k]
 
-        parent: dict[int, int] = {}
-
         def root(x):
             while (up := parent.get(x, x)) != x:
                 x = up
             return x
 
-        found, there = [], np.flatnonzero(right)
-        for k in np.flatnonzero(~right):
-            agree = (sketch[there] == sketch[k]).mean(axis=1)
-            same = keys[there] == keys[k]
-            first = keys[k][same.argmax(axis=1)] == key
-            likely = np.flatnonzero((agree >= least_agreement) & first & (label[there] != label[k]))
-            for j in there[likely[np.argsort(-agree[likely], kind="stable")]]:
-                x, y = root(label[k]), root(label[j])
+        found = []
+        for k in here.left:
+            for j in here.right[here.likely(k)]:
+                x, y = root(here.label[k]), root(here.label[j])
                 if x == y:
                     continue
                 a, b = shingles(k), shingles(j)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 if both * SIMILAR[1] >= (len(a) + len(b) - both) * SIMILAR[0]:
                     parent[x] = y
-                    found.append((node[k], node[j]))
+                    found.append((int(min(here.node[k], here.node[j])), int(max(here.node[k], here.node[j]))))
         return found
 
-    names = ["key", "i", "j", "node", "label", "right", "keys", "sketch", "text"]
-
-    def run(batches):
-        last, held = None, None
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            out = []
-            for row in zip(*columns, strict=True):
-                if row[:3] != last:
-                    if last is not None:
-                        out += compare(last[0], held)
-                    last, held = row[:3], {n: [] for n in names[3:]}
-                for n, v in zip(names[3:], row[3:], strict=True):
-                    held[n].append(v)
-            yield pairs(out)
-        if last is not None:
-            yield pairs(compare(last[0], held))
-
-    def pairs(found):
-        return pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], names=["a", "b"])
-
-    return whole.select(*names).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(run, "a long, b long")
+    held = ["node", "label", "right", "keys", "sketch", "n", "stamp"]
+    met = _by_block(hot_join(seats, stamped, "node", sizes(seats), seats.count(), "key"), [*held, "block"], meet, "key long, i int, j int, node long, label long, right boolean")
+    met = stored(met, "met")
+    n = met.count()
+    whole = hot_join(hot_join(met, stamped, "node", sizes(met), n, "key"), texts.select("node", "text"), "node", sizes(met), n, "key")
+    return _by_block(whole, [*held, "text"], link, "a long, b long")
 
 
 def keep_one(df: DataFrame, distance: int = 2, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", wider_seeds: tuple[int, ...] = WIDER_SEEDS, least_agreement: float = LEAST_AGREEMENT) -> DataFrame:
@@ -393,7 +489,7 @@ def keep_one(df: DataFrame, distance: int = 2, words: int = 3, seed: int = 42, i
 
     First all nodes of a meeting place (an equal band) are checked with its hub; then, in places that
     the links found don't connect, the pairs whose ends aren't connected yet; of these, pairs whose sketches agree
-    less than least_agreement are passed over (0: none is).
+    less than least_agreement, or whose stamps differ too much, are passed over (0: none is).
     The row with the group's smallest id stays. If several rows of a group have that id, or if none
     has an id, one of them stays. All null and empty texts (and those of white space alone) are one
     group; texts of fewer than GRAM words have one shingle, their whole. Texts of any length are

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 
 from tailframe.llm import simhash
@@ -142,6 +143,57 @@ def test_places_that_the_hub_does_not_connect(spark, monkeypatch):
     assert roots([*same, *links]) != roots(same)
 
 
+@pytest.mark.parametrize("size", [3, 40, 300, 1900, 2100, 4500, 20_000])
+def test_stamps_keep_similar_texts_and_rule_out_others(size):
+    """Sets at a similarity just at or above the one asked for are never ruled out; those well below are, if dense enough to
+    tell. Sizes about a level's bound are held against the next level."""
+    r = np.random.default_rng(size)
+    kept, passed = [], []
+    for ratio, out in ((0.8, kept), (0.68, passed)):
+        for _ in range(60):
+            both = int(size * 2 * ratio / (1 + ratio))
+            while both < (2 * size - both) * ratio:
+                both += 1
+            ours, theirs = size - both, r.integers(0, size - both + 1) if ratio == 0.8 else size - both
+            drawn = [int(x).to_bytes(8, "big") for x in r.integers(0, 1 << 63, both + ours + theirs, dtype=np.uint64)]
+            found = [simhash.stamp(drawn[: both + ours]), simhash.stamp(drawn[:both] + drawn[both + ours :])]
+            n, stamps = np.array([f[0] for f in found]), np.array([np.frombuffer(f[1], np.uint8) for f in found]).reshape(2, 2, -1)
+            out.append(simhash.may_be_similar(n, stamps, 0, np.array([1]))[0])
+            assert simhash.may_be_similar(n, stamps, 1, np.array([0]))[0] == out[-1]
+    assert all(kept)
+    if size >= 1900:
+        assert sum(passed) <= 3
+
+
+def test_half_similar_families_bring_no_texts(spark, monkeypatch):
+    """A family at a similarity of about 0.7, in crowded places: the stamps rule out all its pairs before a text moves,
+    and what stays is what an exact comparison keeps."""
+    r = random.Random(31)
+    base = [f"w{k}" for k in range(600)]
+
+    def member():
+        words = list(base)
+        for k in r.sample(range(600), 11):
+            words[k] = f"x{r.randrange(10**9)}"
+        return " ".join(words)
+
+    rows = [(k, member()) for k in range(150)]
+    sets = {i: five_words(t) for i, t in rows}
+    shares = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b]
+    assert 0.65 < np.mean(shares) < 0.76 and max(shares) < 0.8
+    rows.append((500, rows[3][1] + " end"))
+    table, count, stored = spark.createDataFrame(rows, "doc_id long, text string"), {}, simhash.stored
+
+    def counted(df, name, *more, **named):
+        out = stored(df, name, *more, **named)
+        count[name] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    assert {x.doc_id for x in simhash.keep_one(table).collect()} == set(range(150))
+    assert count["seats"] > 300 and count["met"] < 10
+
+
 def test_blocks_of_long_texts(monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 16)
     r = random.Random(1)
