@@ -303,8 +303,9 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 #: Nodes of a side of one comparison of texts in a meeting place that its hub doesn't connect, and how many
-#: such sides are compared at once by sketches and stamps alone, before any text moves.
-BLOCK_NODES, WIDE = 256, 8
+#: such sides are compared at once by sketches and stamps alone, before any text moves: more make fewer seats and
+#: larger tasks.
+BLOCK_NODES, WIDE = 256, 1
 #: Places of a stamp, and the most shingles that are thrown into one of them without thinning; powers of two.
 STAMP_BITS, DENSE = 2048, 2048
 #: Standard deviations beyond which a stamp rules a pair out: one pair in a billion at the similarity asked for.
@@ -442,7 +443,7 @@ def _between(labelled: DataFrame, texts: DataFrame, rows: int, least_agreement:
             likely = here.likely(k)
             theirs[likely, block[k] % WIDE] = True
             ours[row, block[here.right[likely]] % WIDE] = True
-        i, j = block[here.left].min(initial=0) // WIDE * WIDE, block[here.right].min(initial=0) // WIDE * WIDE
+        i, j = block[here.left].max(initial=0) // WIDE * WIDE, block[here.right].max(initial=0) // WIDE * WIDE
         seat = lambda x, i, j, right: (key, int(i), int(j), int(here.node[x]), int(here.label[x]), right)
         mine = [seat(here.left[x], block[here.left[x]], j + to, False) for x, to in zip(*np.nonzero(ours), strict=True)]
         return mine + [seat(here.right[x], i + to, block[here.right[x]], True) for x, to in zip(*np.nonzero(theirs), strict=True)]
