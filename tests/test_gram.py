@@ -44,6 +44,21 @@ def test_shuffled_rows_grow_with_tiles(two):
     assert "collect_list" not in plan
 
 
+@pytest.mark.parametrize(("band", "fewest"), [(12, 1), (8, 2), (100, 1)])
+def test_pairs_are_not_shuffled(two, monkeypatch, band, fewest):
+    """Bands of several tiles give the same pairs, and a pair is made whole in the task that hands it out."""
+    monkeypatch.setattr(gram, "BAND", band)
+    monkeypatch.setattr(gram, "FEWEST_BANDS", fewest)
+    tiled = gram.covariance_tiles(two, tile=4, chunk_days=50)
+    plan = tiled._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert "hashpartitioning(portfolio_id" in plan and ", i#" not in plan.split("Exchange")[1].split("\n")[0]
+    want = {(r.portfolio_id, r.i, r.j): r.cov for r in portfolio.covariance_pairs(two).collect()}
+    got = [((r.portfolio_id, r.i, r.j), r.cov) for r in tiled.collect()]
+    assert len(got) == len(want)
+    assert dict(got) == pytest.approx(want, rel=1e-9, abs=1e-15)
+
+
 def test_analysis_uses_tiles_for_many_members(spark, monkeypatch):
     rng = np.random.default_rng(9)
     p = panel(spark, rng.normal(0, 0.01, (6, 80)))
