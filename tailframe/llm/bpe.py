@@ -84,7 +84,12 @@ class Codec:
             self.merge[a, b] = r
             if self.rank[made] < 0:
                 self.rank[made], self.parts[made] = r, (a, b)
-        self.longest = max(map(len, self.vocab))
+        # length of the longest token with these last four bytes; others have three at most
+        self.reach: dict[bytes, int] = {}
+        for b in self.vocab:
+            if len(b) > 3:
+                self.reach[b[-4:]] = max(len(b), self.reach.get(b[-4:], 0))
+        self.missing = {b for b in range(256) if bytes([b]) not in self.vocab}
         self.pattern = regex.compile(PATTERN)
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True))) if self.specials else None
         self.seams: dict[tuple[int, int], bool] = {}
@@ -122,24 +127,40 @@ class Codec:
 
     def encode_words(self, words: Iterable[str]) -> None:
         """Puts the ids of distinct words into the cache. Sorted words visit their trie depth
-        first; `state` holds the last tokens along the path from the root to the current node."""
-        vocab, longest, compatible, cache, width = self.vocab, self.longest, self.compatible, self.cache, self.bytes_of
+        first; `state` holds the last tokens along the path from the root to the current node, as far
+        as the words needed them: few prefixes of a word end where one of its candidate tokens starts."""
+        get, reach, seams, compatible, cache, width = self.vocab.get, self.reach.get, self.seams, self.compatible, self.cache, self.bytes_of
         path, state = b"", [-1]
         for raw, word in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
+            if self.missing and not self.missing.isdisjoint(raw):
+                raise ValueError("a byte is missing in the vocabulary")
             n, shared = len(raw), 0
             for x, y in zip(raw, path, strict=False):
                 if x != y:
                     break
                 shared += 1
             del state[shared + 1 :]
-            for end in range(shared + 1, n + 1):
-                for start in range(max(0, end - longest), end):
-                    token = vocab.get(raw[start:end])
-                    if token is not None and (not start or compatible(state[start], token)):
-                        state.append(token)
-                        break
+            state += [None] * (n - shared)
+            # What is asked for, and from which start to look on; states that nothing asks for stay open.
+            asked = [(n, n - reach(raw[-4:], 3))] if state[n] is None else []
+            while asked:
+                end, first = asked.pop()
+                for start in range(max(0, first), end):
+                    token = get(raw[start:end])
+                    if token is None:
+                        continue
+                    if start:
+                        before = state[start]
+                        if before is None:
+                            asked += ((end, start), (start, start - reach(raw[max(0, start - 4) : start], 3)))
+                            break
+                        known = seams.get((before, token))
+                        if not (compatible(before, token) if known is None else known):
+                            continue
+                    state[end] = token
+                    break
                 else:
-                    raise ValueError("a byte is missing in the vocabulary")
+                    raise ValueError("no token ends here")
             path, end, ids = raw, n, []
             while end:
                 ids.append(state[end])

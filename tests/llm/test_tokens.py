@@ -65,6 +65,17 @@ def test_trie_walk_equals_the_library_on_noise(library):
         assert codec.encode_batch(part) == [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
 
 
+def test_states_that_no_word_needs_are_not_computed(library, monkeypatch):
+    """A word that is one token asks for no other state; another word with the same start still gets its own."""
+    codec, seen = bpe.Codec(PATH), []
+    plain = codec.compatible
+    monkeypatch.setattr(codec, "compatible", lambda a, b: seen.append((a, b)) or plain(a, b))
+    assert codec.encode_batch([" information"]) == [library_ids(library, " information")]
+    assert seen == []
+    words = [" information", " informatoin", " informatoinzzqx", " inform", "zzqxinformation" * 40]
+    assert codec.encode_batch(words) == [library_ids(library, w) for w in words]
+
+
 def test_decoding_any_ids(spark, library):
     r = random.Random(3)
     rows = [(k, [r.randrange(50257) for _ in range(9)]) for k in range(50)] + [(99, None), (98, [])]
