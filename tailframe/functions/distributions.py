@@ -7,6 +7,7 @@ results of a row a series; specfun has the same functions for numpy.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,15 +24,22 @@ def _steps(n: int) -> Column:
     return F.sequence(F.lit(1), F.lit(n))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once a row: a fold's lambda computes what it names anew at each step."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def erfc(z: Column | str) -> Column:
     """The complementary error function of z >= 0."""
-    z = col(z)
-    # erf(z) = 2 / sqrt(pi) * exp(-z^2) * (z + z * (2 z^2) / 3 + z * (2 z^2)^2 / (3 * 5) + ...)
-    add = lambda s, k: F.struct((s["term"] * 2 * z * z / (2 * k + 1)).alias("term"), (s["total"] + s["term"] * 2 * z * z / (2 * k + 1)).alias("total"))
-    series = F.aggregate(_steps(SERIES), F.struct(z.alias("term"), z.alias("total")), add, lambda s: s["total"])
-    # erfc(z) = exp(-z^2) / sqrt(pi) / (z + (1/2) / (z + (2/2) / (z + (3/2) / ...))), from the far end
-    fraction = F.aggregate(F.sequence(F.lit(FRACTION), F.lit(1), F.lit(-1)), z, lambda f, k: z + k / dbl(2) / f)
-    return F.when(z < BETWEEN, 1 - dbl(2 / math.sqrt(math.pi)) * F.exp(-z * z) * series).otherwise(F.exp(-z * z) / dbl(math.sqrt(math.pi)) / fraction)
+    def of(z):
+        # erf(z) = 2 / sqrt(pi) * exp(-z^2) * (z + z * (2 z^2) / 3 + z * (2 z^2)^2 / (3 * 5) + ...); a term is added the step after it is made
+        add = lambda s, k: F.struct((s["term"] * s["twice"] / (2 * k + 1)).alias("term"), (s["total"] + s["term"]).alias("total"), s["twice"].alias("twice"))
+        series = F.aggregate(_steps(SERIES), F.struct(z.alias("term"), dbl(0).alias("total"), (2 * z * z).alias("twice")), add, lambda s: s["total"] + s["term"])
+        # erfc(z) = exp(-z^2) / sqrt(pi) / (z + (1/2) / (z + (2/2) / (z + (3/2) / ...))), from the far end
+        fraction = F.aggregate(F.sequence(F.lit(FRACTION), F.lit(1), F.lit(-1)), z, lambda f, k: z + k / dbl(2) / f)
+        return F.when(z < BETWEEN, 1 - dbl(2 / math.sqrt(math.pi)) * F.exp(-z * z) * series).otherwise(F.exp(-z * z) / dbl(math.sqrt(math.pi)) / fraction)
+
+    return _let(col(z).cast("double"), of)
 
 
 def chi2_tail_1(x: Column | str) -> Column:
@@ -52,15 +60,22 @@ def ln_gamma(x: Column) -> Column:
 def _fraction(a: Column, b: Column, x: Column, steps: Column) -> Column:
     """The continued fraction of the incomplete beta function, two of its terms a step (Lentz)."""
 
-    def step(s, m):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d, c = 1 / (1 + even * s["d"]), 1 + even / s["c"]
-        d2, c2 = 1 / (1 + odd * d), 1 + odd / c
-        return F.struct(c2.alias("c"), d2.alias("d"), (s["out"] * c * d * c2 * d2).alias("out"))
+    def of(at):
+        a, b, x = at["a"], at["b"], at["x"]
+
+        def numerator(k):
+            m = F.floor(k / 2)
+            return F.when(k % 2 == 0, m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))).otherwise(-(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)))
 
-    first = 1 / (1 - (a + b) * x / (a + 1))
-    return F.aggregate(F.sequence(F.lit(1), steps), F.struct(dbl(1).alias("c"), first.alias("d"), first.alias("out")), step, lambda s: s["out"])
+        # The product takes in the c and d of a term at the next one, so that they are computed once.
+        def step(s, n):
+            return F.struct((1 + n / s["c"]).alias("c"), (1 / (1 + n * s["d"])).alias("d"), (s["out"] * s["c"] * s["d"]).alias("out"))
+
+        first = 1 / (1 - (a + b) * x / (a + 1))
+        numerators = F.transform(F.sequence(F.lit(2), 2 * at["steps"] + 1), numerator)
+        return F.aggregate(numerators, F.struct(dbl(1).alias("c"), first.alias("d"), dbl(1).alias("out")), step, lambda s: s["out"] * s["c"] * s["d"])
+
+    return _let(F.struct(a.alias("a"), b.alias("b"), x.alias("x"), steps.alias("steps")), of)
 
 
 def _beta_tail(v: Column, share: Column) -> Column:
@@ -74,8 +89,11 @@ def _beta_tail(v: Column, share: Column) -> Column:
 def t_two_sided(t: Column | str, v: Column | str) -> Column:
     """The two-sided p-value of a Student-t statistic with v degrees of freedom; NULL for missing, or no degree."""
     t, v = col(t).cast("double"), col(v).cast("double")
-    share = v / (v + t * t)
-    return F.when(v > 0, F.when(t == 0, dbl(1)).when(share >= 1, dbl(1)).when(share <= 0, dbl(0)).otherwise(_beta_tail(v, share)))
+    def of(at):
+        v, share = at["v"], at["share"]
+        return F.when(share >= 1, dbl(1)).when(share <= 0, dbl(0)).otherwise(_beta_tail(v, share))
+
+    return F.when(v > 0, F.when(t == 0, dbl(1)).otherwise(_let(F.struct(v.alias("v"), (v / (v + t * t)).alias("share")), of)))
 
 
 def t_density(x: Column | str, v: Column | str) -> Column:

@@ -64,3 +64,17 @@ def test_plans_without_python(spark):
     plans = [beta.regression(beta.align(r, market)), backtest.backtest(scored), tail.parametric_var(r, distribution="t", dof=r.select("series_id").distinct().withColumn("dof", dbl(5)))]
     for df in plans:
         assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_a_small_file_are_dealt_out(spark, tmp_path):
+    """Hundreds of steps a row: the rows of one file must not be one task's."""
+    from tailframe import queries
+
+    spark.range(64).selectExpr("id AS c_custkey", "100D * id - 999D AS c_acctbal", "CAST(id % 25 AS INT) AS c_nationkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    out = queries.tail_probabilities(spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = {r.c_custkey: r for r in out.collect()}
+    assert len(got) == 64
+    for k, r in got.items():
+        x, v = abs(100.0 * k - 999.0) / 1000, k % 25 + 1.0
+        assert (r.chi2_1, r.t_two_sided) == pytest.approx((specfun.chi2_tail_1(x), specfun.t_two_sided(x, v)), abs=1e-7)
