@@ -63,17 +63,29 @@ def quantile(values: DataFrame, p: float, value: str = "r", by=BY) -> DataFrame:
     return out.select(*by, "n", (F.col("_low") * (1 - F.col("_part")) + F.col("_high") * F.col("_part")).alias("q"))
 
 
-def long_tail(returns: DataFrame, confidence: float = S.CONFIDENCE, days: int = 1, by=BY) -> DataFrame:
-    """VaR and ES of series of any length, equal to historical_var() and historical_es(). The mean of
-    the k worst follows from the k-th worst value and the sum of those below it."""
-    check(confidence, days)
+def tail_of(values: DataFrame, confidence: float = S.CONFIDENCE, value: str = "r", by=BY) -> DataFrame:
+    """by, n, q, k, mean, n_under: the empirical quantile at 1 - confidence, the mean of the k worst values and how many
+    are at most q. The mean follows from the k-th worst value and the sum of those below it."""
     by = list(by)
-    r = returns.where(present("r"))
-    q = quantile(r, 1.0 - confidence, "r", by).where("n >= 2").withColumn("k", tail_count("n", confidence))
-    edge = order_statistics(r, q.select(*by, (F.col("k") - 1).alias("rank")), "r", by).select(*by, F.col("x").alias("_x"))
-    below = r.join(q.join(edge, by), by).groupBy(*by, "n", "q", "k", "_x").agg(
-        F.coalesce(F.sum(F.when(F.col("r") < F.col("_x"), F.col("r"))), dbl(0)).alias("_sum"), F.count_if(F.col("r") < F.col("_x")).alias("_under"), F.count_if(F.col("r") <= F.col("q")).alias("var_tail_observations")
+    v = values.where(present(value)).select(*by, F.col(value).cast("double").alias("_r"))
+    at = (F.col("n") - 1) * dbl(1.0 - confidence)
+    sizes = v.groupBy(*by).agg(F.count("*").alias("n")).select(*by, "n", F.floor(at).alias("_k"), (at - F.floor(at)).alias("_part"), F.ceil(at).alias("_m"), tail_count("n", confidence).cast("long").alias("k"))
+    sizes = stored(sizes, "sizes")  # a row a group, as are the edges
+    ranks = sizes.select(*by, F.explode(F.array("_k", "_m", F.col("k") - 1)).alias("rank"))
+    x = order_statistics(v, ranks, "_r", by).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("_xs"))
+    of = lambda rank: F.element_at("_xs", rank)
+    q = of(F.col("_k")) * (1 - F.col("_part")) + of(F.col("_m")) * F.col("_part")
+    edges = stored(sizes.join(x, by).select(*by, "n", "k", q.alias("q"), of(F.col("k") - 1).alias("_x")), "edges")
+    below = v.join(edges, by).groupBy(*by, "n", "q", "k", "_x").agg(
+        F.coalesce(F.sum(F.when(F.col("_r") < F.col("_x"), F.col("_r"))), dbl(0)).alias("_sum"), F.count_if(F.col("_r") < F.col("_x")).alias("_under"), F.count_if(F.col("_r") <= F.col("q")).alias("n_under")
     )
     mean = (F.col("_sum") + (F.col("k") - F.col("_under")) * F.col("_x")) / F.col("k")
-    var, es = loss(over_days("q", days)), loss(over_days(mean, days))
-    return below.select(*by, var.alias("var_return"), es.alias("es_return"), tail_severity(var, es).alias("tail_severity"), F.col("n").alias("n_observations"), F.col("k").alias("tail_observations"), "var_tail_observations")
+    return below.select(*by, "n", "q", "k", mean.alias("mean"), "n_under")
+
+
+def long_tail(returns: DataFrame, confidence: float = S.CONFIDENCE, days: int = 1, by=BY) -> DataFrame:
+    """VaR and ES of series of any length, equal to historical_var() and historical_es()."""
+    check(confidence, days)
+    t = tail_of(returns, confidence, "r", by).where("n >= 2")
+    var, es = loss(over_days("q", days)), loss(over_days("mean", days))
+    return t.select(*by, var.alias("var_return"), es.alias("es_return"), tail_severity(var, es).alias("tail_severity"), F.col("n").alias("n_observations"), F.col("k").alias("tail_observations"), F.col("n_under").alias("var_tail_observations"))

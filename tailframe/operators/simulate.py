@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from tailframe.functions.columns import dbl, loss, present
 from tailframe.plans import settings as S
 
+from . import order
 from .fit import _keys, _schema, degrees_of_freedom, fit_t
 from .draws import unit as portable_unit
 from .frames import BY, ordered
-from .tail import check, ranked, tail_count, tail_severity
+from .tail import check, tail_count, tail_severity
 
 DRAWS = ("bootstrap", "normal", "t")
 
@@ -181,11 +182,10 @@ def subadditivity(positions: DataFrame, confidence: float = S.CONFIDENCE, by=("b
     """positions: by, a, b, the outcomes of two positions in each scenario. Of each book: the VaR of
     a, b and the equally weighted book ("sum") by the empirical quantile and the ES by the k worst, and
     whether the book's is at most the sum of its parts'."""
-    long = positions.select(*by, F.explode(F.create_map(F.lit("a"), F.col("a"), F.lit("b"), F.col("b"), F.lit("sum"), (F.col("a") + F.col("b")) / 2)).alias("position", "r"))
-    keys = [*by, "position"]
-    inside = F.col("_rank") <= tail_count("_n", confidence)
-    one = ranked(long, "r", keys).groupBy(*keys).agg((-F.percentile("r", dbl(1.0 - confidence))).alias("var"), (-F.avg(F.when(inside, F.col("r")))).alias("es"))
-    out = one.groupBy(*by).pivot("position", ["a", "b", "sum"]).agg(F.first("var").alias("var"), F.first("es").alias("es"))
+    # The keys as one struct: joins by it keep groups whose key is NULL. Books may be of any length.
+    long = positions.select(F.struct(*by).alias("_key"), F.explode(F.create_map(F.lit("a"), F.col("a"), F.lit("b"), F.col("b"), F.lit("sum"), (F.col("a") + F.col("b")) / 2)).alias("position", "r"))
+    one = order.tail_of(long, confidence, "r", ["_key", "position"]).select("_key", "position", (-F.col("q")).alias("var"), (-F.col("mean")).alias("es"))
+    out = one.groupBy("_key").pivot("position", ["a", "b", "sum"]).agg(F.first("var").alias("var"), F.first("es").alias("es")).select("_key.*", "*").drop("_key")
     out = out.select(*by, *(F.col(f"{p}_{m}").alias(f"{m}_{p}") for m in ("var", "es") for p in ("a", "b", "sum")))
     fits = lambda m: (F.col(f"{m}_sum") <= F.col(f"{m}_a") + F.col(f"{m}_b") + 1e-12).alias(f"{m}_is_subadditive")
     return out.select("*", fits("var"), fits("es"))

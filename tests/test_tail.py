@@ -131,6 +131,24 @@ def test_subadditivity():
     assert (d["var_a"], round(d["var_sum"], 2)) == (-0.02, 0.49)
 
 
+def test_no_task_holds_a_book(spark, monkeypatch):
+    """Books of any length: values are counted, not ranked or gathered; a book without a name is a book."""
+    from tailframe.operators import order
+
+    monkeypatch.setattr(order, "ENOUGH", 5)
+    x = np.random.default_rng(8).normal(size=(2, 400))
+    rows = [("m" if k < 250 else None, float(a), float(b)) for k, (a, b) in enumerate(x.T)]
+    out = simulate.subadditivity(spark.createDataFrame(rows, "book string, a double, b double"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan and "percentile" not in plan
+    got = {r.book: r for r in out.collect()}
+    for book, part in (("m", x[:, :250]), (None, x[:, 250:])):
+        for name, v in (("a", part[0]), ("b", part[1]), ("sum", part.mean(axis=0))):
+            assert got[book][f"var_{name}"] == pytest.approx(-np.quantile(v, 0.05), rel=1e-9)
+            k = math.ceil(round(len(v) * 0.05, 9))
+            assert got[book][f"es_{name}"] == pytest.approx(-np.sort(v)[:k].mean(), rel=1e-9)
+
+
 def test_subadditivity_of_books(spark):
     """4% each, independent: 4 of 100 scenarios lose a, 4 of 100 of each of those b."""
     lost = lambda on: -1.0 if on else 0.02
