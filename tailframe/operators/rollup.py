@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tailframe.functions.columns import dbl, loss, present
 from tailframe.plans import settings as S
+from tailframe.plans.storage import stored
 
 from .tail import check
 
@@ -51,12 +52,31 @@ def rollup_var(returns: DataFrame, levels: list[str], confidence: float = S.CONF
     order statistic at rank floor((n - 1)(1 - confidence)). levels mustn't be NULL in the input."""
     check(confidence)
     counts = sketches(returns, levels, error)
-    # The groups' ids travel with the roll-up; the bucket is a key of every grouping set.
-    sets = counts.select(*levels, "bucket", "n", F.explode(F.sequence(F.lit(0), F.lit(len(levels)))).alias("level"))
-    rolled = sets.groupBy("level", *(F.when(F.col("level") > k, F.col(c)).alias(c) for k, c in enumerate(levels)), "bucket").agg(F.sum("n").alias("n"))
-    group = W.partitionBy("level", *levels)
-    rolled = rolled.withColumn("_upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("n_observations", F.sum("n").over(group))
+    # The finest level's counts are sums already; each level above adds up those of the one below it, which are few.
+    parts, types = [], [(c, counts.schema[c].dataType.simpleString()) for c in levels]
+    for level in range(len(levels), -1, -1):
+        if level < len(levels):
+            counts = counts.groupBy(*levels[:level], "bucket").agg(F.sum("n").alias("n"))
+        if level >= len(levels) - 1:
+            counts = stored(counts, "counts")
+        parts.append(_quantiles(counts, levels, level, types[level:], confidence, error))
+    out = parts[-1]
+    for part in parts[-2::-1]:
+        out = out.unionByName(part)
+    return out
+
+
+def _quantiles(counts: DataFrame, levels: list[str], level: int, absent: list[tuple[str, str]], confidence: float, error: float) -> DataFrame:
+    """The rows of one level from its counts (levels[:level], bucket, n); absent: the names and types of the other levels."""
+    by = levels[:level]
+    group = W.partitionBy(*by)
+    if by and not absent:
+        # The finest level has nearly as many buckets as values; with a given number of parts they aren't merged into few large ones.
+        counts = counts.repartition(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+    rolled = counts.withColumn("_upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("n_observations", F.sum("n").over(group))
     rank = F.floor((F.col("n_observations") - 1) * dbl(1.0 - confidence))
-    found = rolled.where(F.col("_upto") > rank).groupBy("level", *levels).agg(F.first("n_observations").alias("n_observations"), F.min("bucket").alias("_bucket"))
+    found = rolled.where(F.col("_upto") > rank).groupBy(*by).agg(F.first("n_observations").alias("n_observations"), F.min("bucket").alias("_bucket"))
     q = middle(F.col("_bucket"), error)
-    return found.select("level", *levels, "n_observations", q.alias("quantile"), loss(q).alias("var_return"))
+    found = found.where("n_observations IS NOT NULL")  # without a key there is a row even of no input
+    rest = (F.lit(None).cast(counts_type).alias(c) for c, counts_type in absent)
+    return found.select(F.lit(level).alias("level"), *by, *rest, "n_observations", q.alias("quantile"), loss(q).alias("var_return"))

@@ -31,9 +31,12 @@ def order_prices(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def supplier_prices(spark: SparkSession, folder: str) -> DataFrame:
-    """Many series: one a supplier, of its prices by day of shipping."""
-    df = _read(spark, folder, "lineitem")
-    return _panel(df, F.col("l_suppkey").cast("string"), F.col("l_shipdate"), F.col("l_extendedprice") / F.col("l_quantity"))
+    """Many series: one a supplier, of its prices by day of shipping. A supplier has about a line a day, so partial
+    sums save nothing: lines are dealt by supplier once, which also serves the windows by series that follow. The
+    number of parts is given, so that they aren't merged into few large ones."""
+    df = _read(spark, folder, "lineitem").select(F.col("l_suppkey").cast("string").alias("series_id"), "l_shipdate", "l_extendedprice", "l_quantity")
+    df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "series_id")
+    return _panel(df, F.col("series_id"), F.col("l_shipdate"), F.col("l_extendedprice") / F.col("l_quantity"))
 
 
 def supplier_quarters(spark: SparkSession, folder: str) -> DataFrame:

@@ -42,3 +42,13 @@ def test_missing_values_and_no_rows(spark):
     df = frame(spark, [("a", "b", float("nan")), ("a", "b", -0.1)])
     assert {r.n_observations for r in rollup.rollup_var(df, ["a", "b"]).collect()} == {1}
     assert rollup.rollup_var(df.limit(0), ["a", "b"]).collect() == []
+
+
+def test_the_finest_level_is_not_rolled_up_again(spark):
+    """Its rows aren't copied for each level above, and lie in as many parts as are asked for."""
+    rows = [(f"a{k % 2}", f"b{k}", x) for k in range(20) for x in (-0.2, 0.1, 0.3)]
+    out = rollup.rollup_var(frame(spark, rows), ["a", "b"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan and "Generate" not in plan
+    assert f"{spark.conf.get('spark.sql.shuffle.partitions')}), REPARTITION_BY_NUM" in plan
+    assert sorted(r.level for r in out.collect()) == [0, 1, 1] + [2] * 20
