@@ -138,11 +138,19 @@ def _now(now: dt.datetime | Column | None) -> Column:
 
 
 def last_arrivals(prices: DataFrame) -> DataFrame:
-    """One row a series and day, the one that arrived last. Rows are dealt by series at once: that
-    also serves the windows by series that follow, so they need no shuffle of their own."""
-    prices = prices.repartition("series_id")
-    w = W.partitionBy("series_id", "d").orderBy(F.col("ingest_seq").desc())
-    return prices.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """One row a series and day, the one that arrived last."""
+    return _last_of_days(prices).select(*prices.columns)
+
+
+def _last_of_days(prices: DataFrame) -> DataFrame:
+    """last_arrivals() with _arrived, the rows of the day. Days are reduced by partial aggregates before anything is
+    shuffled, so a series of many arrivals a day brings one row a day to the windows that follow."""
+    keys, seq = ["series_id", "d"], "ingest_seq"
+    others = [c for c in prices.columns if c not in (*keys, seq)]
+    # A missing number is before all others; max_by() alone would leave its row out.
+    order = F.struct(F.col(seq).isNotNull().alias("known"), F.col(seq).alias("at")) if dict(prices.dtypes)[seq] != "bigint" else F.coalesce(F.col(seq), F.lit(-(2**63)))
+    last = prices.groupBy(*keys).agg(*(F.max_by(c, order).alias(c) for c in others), F.max(seq).alias(seq), F.count("*").alias("_arrived"))
+    return last.select(*prices.columns, "_arrived")
 
 
 def clean_prices(prices: DataFrame, now: dt.datetime | Column | None = None) -> DataFrame:
@@ -151,14 +159,13 @@ def clean_prices(prices: DataFrame, now: dt.datetime | Column | None = None) ->
 
 
 def _marked(prices: DataFrame, now: dt.datetime | Column | None) -> DataFrame:
-    """The rows with what validation has to know of each: first of its day, future, out of order, kept, gap, good
-    price, move. All windows are by series, after one shuffle."""
-    day = W.partitionBy("series_id", "d").orderBy(F.col("ingest_seq").desc())
-    p = prices.repartition("series_id").withColumn("_rn", F.row_number().over(day))  # one shuffle for all windows
-    p = p.withColumn("_first", F.col("_rn") == 1).withColumn("_future", F.col("d").cast("timestamp") > _now(now))
-    # Ranks within kept rows: a partition by the flag keeps dropped rows out of every lag.
-    p = p.withColumn("_back", F.col("d") < F.lag("d").over(W.partitionBy("series_id", "_first").orderBy("ingest_seq")))
-    p = p.withColumn("_in", F.col("_first") & ~F.col("_future"))
+    """The last arrival of each day with what validation has to know of it: arrivals, future, out of order, kept, gap,
+    good price, move. All windows are by series, after one shuffle."""
+    p = _last_of_days(prices).repartition("series_id")  # one shuffle for all windows
+    p = p.withColumn("_future", F.col("d").cast("timestamp") > _now(now))
+    p = p.withColumn("_back", F.col("d") < F.lag("d").over(W.partitionBy("series_id").orderBy("ingest_seq")))
+    # Partitions by a flag keep the rows without it out of every lag.
+    p = p.withColumn("_in", ~F.col("_future"))
     p = p.withColumn("_gap", F.datediff("d", F.lag("d").over(W.partitionBy("series_id", "_in").orderBy("d"))))
     p = p.withColumn("_good", F.col("_in") & F.coalesce((F.col("close") > 0) & ~F.isnan("close"), F.lit(False)))
     before = F.lag("close").over(W.partitionBy("series_id", "_good").orderBy("d"))
@@ -175,9 +182,9 @@ def quality_report(prices: DataFrame, now: dt.datetime | Column | None = None, s
     extreme = good & (F.abs("_move") > S.EXTREME_MOVE)
     p = p.withColumn("_nth", F.count_if(extreme).over(W.partitionBy("series_id", "_good").orderBy("d")))
     out = p.groupBy("series_id").agg(
-        F.count_if(~F.col("_first")).alias("n_duplicates"),
-        F.coalesce(F.bool_or(F.col("_first") & F.col("_back")), F.lit(False)).alias("is_unordered"),
-        F.count_if(F.col("_first") & F.col("_future")).alias("n_future"),
+        F.sum(F.col("_arrived") - 1).alias("n_duplicates"),
+        F.coalesce(F.bool_or("_back"), F.lit(False)).alias("is_unordered"),
+        F.count_if("_future").alias("n_future"),
         F.count_if(inside & F.dayofweek("d").isin(1, 7)).alias("n_weekend"),
         F.count_if(gap > S.GAP_DAYS).alias("n_large_gaps"),
         F.max(F.when(gap > S.GAP_DAYS, gap)).alias("max_gap_days"),

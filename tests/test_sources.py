@@ -123,3 +123,20 @@ def test_json_cache(spark, tmp_path):
 
 def test_benchmark_names():
     assert (sources.benchmark_series("FTSE 100 (UK)"), sources.benchmark_series("^X")) == ("^FTSE", "^X")
+
+
+def test_days_are_reduced_before_the_windows(spark):
+    """Many arrivals a day reach the windows by series as one row a day; a row without a number comes before all others."""
+    first = dt.date(2024, 1, 1)
+    data = [("A", first + dt.timedelta(days=k % 40), 100.0 + n, 100.0 + n, 1, n) for n in range(50) for k in range(40)]
+    data += [("A", first, 7.0, 7.0, 1, None), ("B", first, 9.0, None, 2, None)]
+    df = spark.createDataFrame(data, "series_id string, d date, close double, adj_close double, volume long, ingest_seq long")
+    report = sources.quality_report(df, dt.datetime(2024, 6, 1))
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max_by" in plan and "row_number" not in plan
+    got = {r.series_id: r for r in report.collect()}
+    assert (got["A"].n_duplicates, got["A"].n_observations, got["B"].n_duplicates, got["B"].n_observations) == (49 * 40 + 1, 40, 0, 1)
+    last = {(r.series_id, r.d): tuple(r) for r in sources.last_arrivals(df).collect()}
+    assert len(last) == 41
+    assert last["A", first] == ("A", first, 149.0, 149.0, 1, 49)
+    assert last["B", first] == ("B", first, 9.0, None, 2, None)
