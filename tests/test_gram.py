@@ -59,6 +59,40 @@ def test_pairs_are_not_shuffled(two, monkeypatch, band, fewest):
     assert dict(got) == pytest.approx(want, rel=1e-9, abs=1e-15)
 
 
+def shuffled_rows(df):
+    """Rows written by the exchanges of a plan that has run."""
+    todo, rows = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif name == "ShuffleExchangeExec":
+            rows += node.metrics().apply("shuffleRecordsWritten").value()
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    return rows
+
+
+def test_copies_of_a_panel_do_not_grow_with_members(spark, monkeypatch):
+    """Blocks meet a bounded number of bands, as long as a band's values fit a task, and pairs stay the same."""
+    monkeypatch.setattr(gram, "BAND", 2)
+    rng = np.random.default_rng(4)
+    rows = {}
+    for members in (60, 120):
+        p = panel(spark, rng.normal(0, 0.01, (members, 10)))
+        tiled = gram.covariance_tiles(p, tile=1)
+        got = [((r.i, r.j), r.cov) for r in tiled.collect()]
+        assert len(got) == members * (members + 1) // 2
+        assert dict(got) == pytest.approx({(r.i, r.j): r.cov for r in portfolio.covariance_pairs(p).collect()}, rel=1e-9, abs=1e-15)
+        rows[members] = shuffled_rows(tiled)
+    assert 0 < rows[120] <= 2.2 * rows[60]
+    short = gram.covariance_tiles(p, tile=1, chunk_days=20)  # a band holds the values of 2 members over 20 days: 4 over 10
+    assert len(short.collect()) == len(got)
+    assert shuffled_rows(short) == 120 * 30
+
+
 def test_analysis_uses_tiles_for_many_members(spark, monkeypatch):
     rng = np.random.default_rng(9)
     p = panel(spark, rng.normal(0, 0.01, (6, 80)))
